@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
+from graphloom.llm.html_main import extract
 from graphloom.llm.mixing import mix
 from graphloom.llm.packing import pack
+from graphloom.llm.quality_rules import judge, learn
 from graphloom.llm.token_count import count_tokens
 from graphloom.llm.topk import top_k
 
@@ -20,6 +22,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
 
 
+def op3_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 ids."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 1, with_ids=False)
@@ -30,13 +37,19 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base counts and the verdict of a list learned from ``labels.quality``."""
+    documents = table(spark, sf_dir, "documents")
+    return judge(documents, learn(documents, table(spark, sf_dir, "labels")))
+
+
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_mixing, op5_packing, op7_topk, op9_token_count]
+    found = [op2_mixing, op3_html_main, op5_packing, op7_topk, op8_quality_rules, op9_token_count]
     return {f.__name__: f for f in found}
 
 
