@@ -18,7 +18,6 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,14 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import require
+from graphloom.llm.token_count import printable_bytes
 
 #: Documents whose tails are packed together, and ids at which a group ends early.
-GROUP_DOCS, GROUP_IDS = 512, 4_000_000
+GROUP_DOCS, GROUP_IDS = 256, 4_000_000
 #: Distinct words whose ids a Python worker remembers in each of two generations.
 CACHE_WORDS = 600_000
 #: The parts into which the vocabulary cuts a word.
 WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
-_FOREIGN = re.compile("[\xb2\xb3\xb9\xbc-\xbe]|[^\x00-\x1b\x20-įı-ɏ‐-―‘-‟…€]")
+#: Latin-1 bytes whose case, form or class two Unicode tables could see differently.
+_UNSURE = bytes([*range(0x1C, 0x20), 0xB2, 0xB3, 0xB5, 0xB9, 0xBC, 0xBD, 0xBE])
 
 
 def differencing(lengths: list[int], windows: int) -> list[list[int]]:
@@ -141,9 +142,15 @@ class WordIds:
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        #: The same vocabulary for parts that are cut and in lower case already.
+        self.of_parts = Tokenizer.from_file(path)
+        self.of_parts.normalizer = None
+        self.of_parts.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.shown = printable_bytes()
+        self.shown[32] = " "
         self.last = np.zeros(self.library.get_vocab_size(), bool)
         self.last[[i for token, i in self.library.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
         self.parts = re.compile(WORD_PARTS)
@@ -157,27 +164,57 @@ class WordIds:
 
     def unseen(self, words: list[str]) -> list[bytes]:
         """Ids of each word, from one call: every part of a word ends with an id of ``last``."""
-        ids = self.whole(" ".join(words))
-        ends = (np.flatnonzero(self.last[ids]) + 1)[np.cumsum([len(self.parts.findall(w)) for w in words]) - 1]
-        content = ids.tobytes()
-        return [content[4 * a : 4 * b] for a, b in itertools.pairwise([0, *ends.tolist()])]
+        cut = [(w,) if w.isalpha() else self.parts.findall(w) for w in words]
+        line = " ".join(itertools.chain.from_iterable(cut))
+        if not line.isascii():  # bytes as the vocabulary writes them; for ASCII these are the characters
+            line = "".join(map(self.shown.__getitem__, line.encode()))
+        encoded = self.of_parts.encode_batch_fast([line], add_special_tokens=False)
+        ids = np.array(encoded[0].ids, "<u4")
+        ends = (np.flatnonzero(self.last[ids]) + 1)[np.cumsum([len(c) for c in cut]) - 1]
+        content, ends = ids.tobytes(), (4 * ends).tolist()
+        return [content[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
+    def simple(self, text: str) -> bool:
+        """Whether white space and case of the text are beyond doubt, and no special string is in it."""
+        if not text.isascii():
+            try:
+                content = text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        else:
+            content = text.encode()
+        return len(content.translate(None, _UNSURE)) == len(content) and not any(s in text for s in self.specials)
 
     def ids(self, text: str) -> bytes:
-        if _FOREIGN.search(text) or any(s in text for s in self.specials) or not unicodedata.is_normalized("NFC", text):
+        if not self.simple(text):
             return self.whole(text).tobytes()
         words = text.lower().split()
-        if new := [w for w in dict.fromkeys(words) if w not in self.young]:
-            unseen = [w for w in new if w not in self.old]
+        if new := set(words).difference(self.young):
             if len(self.young) + len(new) > self.limit:
-                kept = {w: self.young[w] for w in words if w in self.young}
-                old, self.old, self.young = self.old, self.young, kept
-            else:
-                old = self.old
-            self.young.update((w, old[w]) for w in new if w in old)
-            if unseen:
-                self.young.update(zip(unseen, self.unseen(unseen), strict=True))
+                self.old, self.young = self.young, {}
+                new = set(words)
+            self.learn(new)
         return b"".join(map(self.young.__getitem__, words))
 
+    def learn(self, new: set[str]) -> None:
+        young, old = self.young, self.old
+        for mark in ",.":
+            if mark not in young:
+                young[mark] = self.unseen([mark])[0]
+        unseen = []
+        for w in new:
+            if (ids := old.get(w)) is not None:
+                young[w] = ids
+            elif w[-1] in ",." and w[-2:-1].isalpha():  # a mark after a letter is a part of its own
+                if (ids := young.get(w[:-1]) or old.get(w[:-1])) is not None:
+                    young[w] = ids + young[w[-1]]
+                else:
+                    unseen.append(w)
+            else:
+                unseen.append(w)
+        if unseen:
+            young.update(zip(unseen, self.unseen(unseen), strict=True))
+
 
 _LIBRARIES: dict[str, WordIds] = {}
 PIECES = "{key} {type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
