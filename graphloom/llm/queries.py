@@ -15,6 +15,8 @@ from graphloom.llm.packing import pack
 from graphloom.llm.quality_rules import judge, learn
 from graphloom.llm.token_count import count_tokens
 from graphloom.llm.topk import top_k
+from graphloom.llm.toxicity import learn as learn_lexicon
+from graphloom.llm.toxicity import score_toxicity
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +50,14 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, learned from ``labels.toxic`` of rows not held out."""
+    documents = table(spark, sf_dir, "documents")
+    return score_toxicity(documents, learn_lexicon(documents, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_mixing, op3_html_main, op5_packing, op7_topk, op8_quality_rules, op9_token_count]
+    found = [op2_mixing, op3_html_main, op5_packing, op7_topk, op8_quality_rules, op9_token_count, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
