@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import table
 from graphloom.llm.html_main import extract
 from graphloom.llm.mixing import mix
+from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.packing import pack
 from graphloom.llm.quality_rules import judge, learn
 from graphloom.llm.token_count import count_tokens
@@ -29,6 +30,11 @@ def op3_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near duplicates."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 ids."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 1, with_ids=False)
@@ -57,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_mixing, op3_html_main, op5_packing, op7_topk, op8_quality_rules, op9_token_count, op10_toxicity]
+    found = [op2_mixing, op3_html_main, op4_near_dedup, op5_packing, op7_topk, op8_quality_rules, op9_token_count, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
