@@ -14,6 +14,7 @@ from graphloom.llm.mixing import mix
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.packing import pack
 from graphloom.llm.quality_rules import judge, learn
+from graphloom.llm.suffix_dedup import without_repeats
 from graphloom.llm.token_count import count_tokens
 from graphloom.llm.topk import top_k
 from graphloom.llm.toxicity import learn as learn_lexicon
@@ -40,6 +41,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 1, with_ids=False)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 200-byte strings that start anywhere else as well."""
+    left = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every 50th vector."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
@@ -63,7 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_mixing, op3_html_main, op4_near_dedup, op5_packing, op7_topk, op8_quality_rules, op9_token_count, op10_toxicity]
+    found = [op2_mixing, op3_html_main, op4_near_dedup, op5_packing, op6_suffix_dedup, op7_topk, op8_quality_rules, op9_token_count, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
