@@ -71,10 +71,10 @@ def repeat_words(words: str, grams: str) -> Column:
 
 
 def base_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and the counts that the base rule and the learned list use."""
+    """The rows, as a struct ``row``, with the counts that the base rule and the learned list use."""
     require(documents, (key, text))
-    whole = documents.select(key, text_or_empty(text).alias("whole"))
-    cut = whole.select(key, "whole", F.array_remove(F.split("whole", SPACE), "").alias("words"), F.filter(F.split("whole", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    whole = documents.select(F.struct(*documents.columns).alias("row"), text_or_empty(text).alias("whole"))
+    cut = whole.select("row", "whole", F.array_remove(F.split("whole", SPACE), "").alias("words"), F.filter(F.split("whole", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     n = F.size("words")
     windows = F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
     grams = cut.withColumn("grams", windows)
@@ -90,7 +90,7 @@ def base_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text
         "n_marks": occurrences("[!?]"),
         "n_distinct": F.size(F.array_distinct("words")),
     }
-    return grams.select(key, *(once(c.cast("long")).alias(name) for name, c in counts.items()))
+    return grams.select("row", *(once(c.cast("long")).alias(name) for name, c in counts.items()))
 
 
 def once(column: Column) -> Column:
@@ -117,9 +117,9 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     require(labels, (key, label))
     drawn = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("good")).orderBy(F.xxhash64(key), key).limit(MAX_LABELLED)
     # The drawn labels are bounded by MAX_LABELLED rows of two numbers.
-    rows = documents.select(key, text).join(F.broadcast(drawn), key)
+    rows = documents.select(key, text).join(F.broadcast(drawn), key).select(key, text, "good")
     usable = learned_statistics(base_statistics(rows, key, text)).filter(~base_failed())
-    stats = usable.join(F.broadcast(drawn), key).select(key, "good", *STATISTICS).persist()
+    stats = usable.select(F.col("row")[key].alias(key), F.col("row")["good"].alias("good"), *STATISTICS).persist()
     try:
         at = [i / CUTS for i in range(1, CUTS)]
         quantiles = stats.groupBy("good").agg(*(F.percentile_approx(s, at, 10_000).alias(s) for s in STATISTICS)).collect()
@@ -216,8 +216,18 @@ def verdict(rules: list[tuple[Condition, ...]]) -> Column:
     return out
 
 
-def judge(documents: DataFrame, rules: list[tuple[Condition, ...]], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, the base counts, base_failed, rule (the first that rejects) and kept."""
+def ruled(documents: DataFrame, rules: list[tuple[Condition, ...]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, as a struct ``row``, with their counts, base_failed, rule (the first that rejects) and kept."""
     counts = learned_statistics(base_statistics(documents, key, text)).withColumn("base_failed", base_failed())
-    ruled = counts.withColumn("rule", F.when(~F.col("base_failed"), verdict(rules)))
-    return ruled.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+    found = counts.withColumn("rule", F.when(~F.col("base_failed"), verdict(rules)))
+    return found.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def judge(documents: DataFrame, rules: list[tuple[Condition, ...]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, the base counts, base_failed, rule and kept."""
+    return ruled(documents, rules, key, text).select(F.col("row")[key].alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
+
+def keep(documents: DataFrame, rules: list[tuple[Condition, ...]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that are kept, with their own columns."""
+    return ruled(documents, rules, key, text).filter("kept").select("row.*")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
 from graphloom.llm.html_main import extract
+from graphloom.llm.license_scan import scan_licences
 from graphloom.llm.mixing import mix
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.packing import pack
@@ -21,6 +22,13 @@ from graphloom.llm.toxicity import learn as learn_lexicon
 from graphloom.llm.toxicity import score_toxicity
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence; its path is source/language/id."""
+    documents = table(spark, sf_dir, "documents")
+    files = documents.select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string")).alias("path"))
+    return scan_licences(files)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's block, slot and position when sources are mixed by the root of their size."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
@@ -70,7 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_mixing, op3_html_main, op4_near_dedup, op5_packing, op6_suffix_dedup, op7_topk, op8_quality_rules, op9_token_count, op10_toxicity]
+    found = [op1_license_scan, op2_mixing, op3_html_main, op4_near_dedup, op5_packing, op6_suffix_dedup, op7_topk, op8_quality_rules, op9_token_count, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
