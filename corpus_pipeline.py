@@ -17,7 +17,7 @@ from graphloom.llm.mixing import mix
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.packing import pack
 from graphloom.llm.quality_rules import keep, learn
-from graphloom.llm.suffix_dedup import without_repeats
+from graphloom.llm.suffix_dedup import removal
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur anywhere else; a text that was nothing else goes."""
-    left = without_repeats(docs)
-    changed = left.withColumns({"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))}).filter("n_removed = 0 or length(text) > 0")
-    return changed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    left = removal(docs).filter("n_removed = 0 or length(kept_text) > 0").select("row", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text")).alias("left"))
+    new = {"text": F.col("left"), "n_chars": F.length("left").cast("long")}
+    return left.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

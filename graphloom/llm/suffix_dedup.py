@@ -9,8 +9,11 @@ every suffix (its Burrows-Wheeler column) and refines the interleave by it, keep
 symbol. The common prefix of neighbours grows by one, or is one more than the least between them,
 so suffixes are never sorted again; neighbours whose common prefix reaches 200 are repeats.
 
-An anchor with very many different contexts is not left to one task: its 200-byte strings are
-counted by 128-bit hash instead, which gives the same result.
+An anchor with very many different contexts is not left to one task: its contexts are halved by
+where their strings start, and each half is grouped anew by the anchor and the bytes that all its
+strings share. Halves that no other shares go, equal ones are one; what is still crowded is halved
+again, down to single strings. So a context makes two rows for each halving and not one for each
+string, and the result is the same.
 
 Strings are UTF-8 bytes and never cross documents. Null texts are empty; texts of fewer than 200
 bytes keep everything. Repeated rows make each other's strings repeats. Nothing is capped.
@@ -33,9 +36,9 @@ LENGTH, GRAM = 200, 32
 #: K-grams that start in one string, and the widest context to the left of an anchor.
 STARTS = LENGTH - GRAM + 1
 #: Different contexts of an anchor up to which they are refined together, and contexts in a batch.
-MOST_CONTEXTS, BATCH = 600, 8_000
+MOST_CONTEXTS, BATCH = 2_000, 8_000
 #: Document keys up to which they are broadcast (16 bytes each); more are joined by a shuffle.
-MOST_KEYS = 2_000_000
+MOST_KEYS = 500_000
 
 _PLACE = 28
 _BASE = 0x9E3779B97F4A7C15
@@ -153,10 +156,10 @@ def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text"
             yield pd.DataFrame({"doc": np.repeat([p[0] for p in parts], sizes), "uid": np.repeat([p[1] for p in parts], sizes), **columns})
 
     places = stored(rows.filter(F.octet_length("content") >= LENGTH).mapInPandas(found, "doc long, uid long, anchor long, place int, first int, last int"), "anchors")
-    shared = places.groupBy("anchor").count().filter("count > 1").select("anchor")
-    kept = places.join(shared, "anchor").groupBy("doc", "uid").agg(F.collect_list(F.struct("anchor", "place", "first", "last")).alias("anchors"))
-    kept = stored(kept, "shared-anchors")
-    discard(places)
+    # Written first, so that both sides of the join are plain exchanges, which Spark can split where an anchor is hot.
+    shared = stored(places.groupBy("anchor").count().filter("count > 1").select("anchor"), "shared-keys")
+    kept = stored(places.join(shared, "anchor").groupBy("doc", "uid").agg(F.collect_list(F.struct("anchor", "place", "first", "last")).alias("anchors")), "shared-anchors")
+    discard(places, shared)
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -172,52 +175,83 @@ def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text"
     affected = _only(rows, kept, "left_semi")
     cut = affected.join(kept, ["doc", "uid"]).mapInPandas(contexts, "doc long, uid long, first int, anchor long, name binary, before int, context binary")
     cut = stored(cut, "contexts")
-    distinct = cut.groupBy("anchor", "name").agg(F.first("before").alias("before"), F.first("context").alias("context"), F.count("*").alias("times"))
-    sizes = cut.select("anchor", "name").distinct().groupBy("anchor").agg(F.count("*").alias("contexts"))
-    sized = stored(distinct.join(sizes, "anchor"), "distinct-contexts")
+    own = cut.select("anchor", "name", "before", "context", F.lit(0).alias("x"), F.lit(STARTS - 1).alias("y"))
+    all_spans, written = spans_of(own)
+    back = cut.select("doc", "uid", "first", "name").join(all_spans, "name").select("doc", "uid", F.transform("spans", lambda x: x + F.col("first")).alias("spans"))
+    done = stored(back.groupBy("doc", "uid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    discard(kept, cut, *written)
+    return done
 
-    def refined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def out(held: pd.DataFrame) -> pd.DataFrame:
-            flags = repeated_starts(held["anchor"].to_numpy(), list(held["context"]), held["before"].to_numpy())
-            return pd.DataFrame({"name": held["name"], "spans": [runs(f) for f in flags]})
 
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            while len(held) > BATCH:
-                at = int(np.searchsorted(held["anchor"].to_numpy(), held["anchor"].iloc[BATCH]))
-                if not at:
-                    break
-                yield out(held[:at])
-                held = held[at:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield out(held)
-
-    spans = "name binary, spans array<int>"
-    # A context that occurs twice is a repeat throughout; it still has to meet the others.
-    few = sized.filter(F.col("contexts").between(2, MOST_CONTEXTS))
-    by_merge = few.select("anchor", "name", "before", "context").repartition("anchor").sortWithinPartitions("anchor").mapInPandas(refined, spans)
+_SPANS = "name binary, spans array<int>"
 
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, context in zip(batch["name"], batch["context"], strict=True):
-                n = len(context) - LENGTH + 1
-                yield pd.DataFrame({"name": [name] * n, "start": range(n), "string": [xxhash.xxh3_128_digest(context[i : i + LENGTH]) for i in range(n)]})
 
-    many = sized.filter(F.col("contexts") > MOST_CONTEXTS).select("name", "context").mapInPandas(strings, "name binary, start int, string binary")
-    twice = many.groupBy("string").count().filter("count > 1").select("string")
+def spans_of(contexts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """name, spans of the contexts (anchor, name, before, context, x, y) that hold repeats, and what was written.
 
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"name": batch["name"], "spans": [runs(np.isin(np.arange(max(s) + 1), s)) for s in batch["starts"]]})
+    Strings of a context start between ``x`` and ``y`` bytes before its anchor.
+    """
+    distinct = stored(contexts.groupBy("anchor", "name").agg(*(F.first(c).alias(c) for c in ("before", "context", "x", "y")), F.count("*").alias("times")), "distinct-contexts")
+    sizes = stored(distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1"), "anchor-sizes")
+    written = [distinct, sizes]
+    # A context that occurs twice is a repeat throughout; it still has to meet the others.
+    whole = distinct.filter("times > 1").select("name", F.array(F.lit(0), F.octet_length("context")).alias("spans"))
+    sized = distinct.join(sizes, "anchor")
+    few = sized.filter(F.col("contexts") <= MOST_CONTEXTS)
+    by_merge = few.select("anchor", "name", "before", "context").repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_refined, _SPANS)
+    spans = by_merge.filter(F.size("spans") > 0).union(whole)
+    if sizes.filter(F.col("contexts") > MOST_CONTEXTS).limit(1).count():
+        crowded = sized.filter(F.col("contexts") > MOST_CONTEXTS).select("name", "anchor", "before", "context", "x", "y")
+        parts = stored(crowded.mapInPandas(_halved, "parent binary, shift int, anchor long, name binary, before int, context binary, x int, y int"), "halved-contexts")
+        inner, more = spans_of(parts.drop("parent", "shift"))
+        found = parts.select("parent", "shift", "name").join(inner, "name")
+        spans = spans.union(found.select(F.col("parent").alias("name"), F.transform("spans", lambda x: x + F.col("shift")).alias("spans")))
+        written += [parts, *more]
+    return spans, written
+
+
+def _refined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Merges the contexts of whole anchors, about ``BATCH`` contexts at a time."""
+
+    def out(held: pd.DataFrame) -> pd.DataFrame:
+        flags = repeated_starts(held["anchor"].to_numpy(), list(held["context"]), held["before"].to_numpy())
+        return pd.DataFrame({"name": held["name"], "spans": [runs(f) for f in flags]})
+
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        while len(held) > BATCH:
+            at = int(np.searchsorted(held["anchor"].to_numpy(), held["anchor"].iloc[BATCH]))
+            if not at:
+                break
+            yield out(held[:at])
+            held = held[at:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield out(held)
+
+
+def halves(context: bytes, before: int, x: int, y: int) -> Iterator[tuple[int, bytes, int, bytes, int, int]]:
+    """shift, common bytes, before, content, x, y of either half of a context that has strings.
+
+    Halves are of the starts ``x``..``y`` before the anchor, the same for every context.
+    """
+    for low, high in ((x, (x + y) // 2), ((x + y) // 2 + 1, y)):
+        # A context near an edge of its document lacks some of the starts.
+        first, last = max(low, before + LENGTH - len(context)), min(high, before)
+        if first <= last:
+            yield before - last, context[before - low : before - high + LENGTH], last, context[before - last : before - first + LENGTH], low, high
 
-    by_count = many.join(twice, "string").groupBy("name").agg(F.collect_list("start").alias("starts")).mapInPandas(joined, spans)
-    whole = sized.filter("times > 1").select("name", F.array(F.lit(0), F.octet_length("context")).alias("spans"))
-    all_spans = by_merge.union(by_count).filter(F.size("spans") > 0).union(whole)
-    back = cut.select("doc", "uid", "first", "name").join(all_spans, "name").select("doc", "uid", F.transform("spans", lambda x: x + F.col("first")).alias("spans"))
-    done = stored(back.groupBy("doc", "uid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    discard(kept, cut, sized)
-    return done
+
+def _halved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for name, anchor, before, context, x, y in batch[["name", "anchor", "before", "context", "x", "y"]].itertuples(index=False):
+            for shift, common, own, content, low, high in halves(context, before, x, y):
+                place = anchor.to_bytes(8, "little", signed=True) + bytes([low, high])
+                group = xxhash.xxh3_64_intdigest(place + common) - (1 << 63)
+                # Contents are compared whole within a group, so two groups that share a hash do no harm.
+                out.append((name, shift, group, xxhash.xxh3_128_digest(place + bytes([own]) + content), own, content, low, high))
+        yield pd.DataFrame(out, columns=["parent", "shift", "anchor", "name", "before", "context", "x", "y"])
 
 
 def united(spans: list[int]) -> list[tuple[int, int]]:
@@ -231,8 +265,8 @@ def united(spans: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns, with n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_text.
+def removal(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``row`` (all columns as a struct), n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_text.
 
     ``kept_text`` drops a character that a removed stretch cuts in two.
     """
@@ -256,6 +290,12 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
             yield pd.DataFrame(out, columns=["n_removed", "n_spans", "kept", "kept_text"])
 
     n_bytes = F.octet_length("_content").cast("long").alias("n_bytes")
-    untouched = _only(keyed, spans, "left_anti").select("row.*", n_bytes, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("_content").alias("kept"), F.col("_content").cast("string").alias("kept_text"))
+    untouched = _only(keyed, spans, "left_anti").select("row", n_bytes, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("_content").alias("kept"), F.col("_content").cast("string").alias("kept_text"))
     changed = _only(keyed, spans, "left_semi").join(spans, ["doc", "uid"]).withColumn("_r", removed("_content", "spans"))
-    return untouched.union(changed.select("row.*", n_bytes, "_r.n_removed", "_r.n_spans", "_r.kept", "_r.kept_text"))
+    return untouched.union(changed.select("row", n_bytes, "_r.n_removed", "_r.n_spans", "_r.kept", "_r.kept_text"))
+
+
+def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns beside those of ``removal``, which take the place of columns of the same name."""
+    found = removal(documents, key, text)
+    return found.select(*(F.col("row")[c].alias(c) for c in documents.columns if c not in found.columns), *found.columns[1:])
