@@ -1,10 +1,11 @@
 """Toxicity scores from a learned lexicon, misspellings included.
 
 Spark counts in how many distinct lines of toxic and of clean labelled rows a word, or the
-beginning of a word, occurs; those far more toxic than chance allows are the lexicon. Words of a
-text meet its trie through a Levenshtein automaton, which finds misspellings. A hit inside
-quotation marks, or close to a verb of saying and a colon, weighs less than an open one; other
-hits around it add to it. How much each kind of hit weighs is measured on the labelled rows.
+beginning of many words, occurs; those far more toxic than chance allows are the lexicon. Words of
+a text meet its trie through a Levenshtein automaton, which finds misspellings. Beginnings stand in
+clean texts as well, so their evidence is how dense they are in a text. A hit inside quotation
+marks, or close to a verb of saying and a colon, weighs less than an open one; other hits around it
+add to it. How much each kind of hit weighs is measured on the labelled rows.
 
 Null texts are empty and get the score of texts without a hit. Labels other than 0 and 1 are left
 out; a row with both counts as toxic. Without labels the lexicon is empty and all scores are low.
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import require, text_or_empty
 
 #: The most lexicon entries, what an entry's toxic share and surprise (nats) must be, and stem lengths.
-MOST_ENTRIES, SHARE, SURPRISE, STEMS = 20_000, 0.97, 9.0, (4, 7)
+MOST_ENTRIES, SHARE, SURPRISE, STEMS = 20_000, 0.97, 9.0, (3, 8)
+#: A stem's least toxic share, the forms it must have, and what share of its lines one form may make up.
+STEM_SHARE, STEM_FORMS, ONE_FORM = 0.4, 5, 0.5
 #: Words to each side of a hit that are its context, and what a quoted hit's evidence is multiplied by.
 CONTEXT, QUOTED = 5, 0.3
 CACHE_WORDS = 500_000
@@ -136,15 +139,25 @@ def nearest(word: str, trie: dict) -> tuple[int, str] | None:
 
 
 Hit = tuple[int, tuple[str, str], bool]
+#: Densities of stems: a single one, or by powers of two in a thousand words.
+DENSITIES = ("one", *map(str, range(8)))
 
 
-def hits(text: str, lexicon: Lexicon) -> list[Hit]:
-    """(position, (kind, entry), quoted) of each hit."""
+def density(found: list[Hit], n_words: int) -> str | None:
+    """How dense the stems of a text are; quoted ones count less."""
+    n = sum(QUOTED if quoted else 1 for _, k, quoted in found if k[0] == "stem")
+    if not n:
+        return None
+    return "one" if n < 2 else str(min(max(int(math.log2(1000 * n / n_words)), 0), 7))
+
+
+def hits(text: str, lexicon: Lexicon) -> tuple[list[Hit], int]:
+    """(position, (kind, entry), quoted) of each hit, and the number of words."""
     words = text.split()
     kind = lexicon.kind
     found = [(i, k) for i, w in enumerate(words) if (k := kind(w))]
     if not found:
-        return []
+        return [], len(words)
     inside, depth, either = [], 0, False
     last = found[-1][0]
     for w in words[: last + 1]:
@@ -158,15 +171,16 @@ def hits(text: str, lexicon: Lexicon) -> list[Hit]:
         near = words[max(0, i - CONTEXT) : i]
         reported = any(normal_word(w) in SAYING for w in near) and any(w[-1] in ":,\"“„«" for w in near)
         out.append((i, k, inside[i] or reported))
-    return out
+    return out, len(words)
 
 
-def score(found: list[Hit], lexicon: Lexicon) -> float:
+def score(found: list[Hit], n_words: int, lexicon: Lexicon) -> float:
     """From 0 to 1: the strongest hit's evidence in its context over that of a text without one."""
     start = math.log(lexicon.base / (1 - lexicon.base))
     if not found:
         return 1 / (1 + math.exp(-start))
-    evidence = [lexicon.weights.get(k, 0.0) * (QUOTED if quoted else 1) for _, k, quoted in found]
+    evidence = [lexicon.weights.get(k, 0.0) * (QUOTED if quoted else 1) for _, k, quoted in found if k[0] != "stem"]
+    evidence.append(lexicon.weights.get(("stem", density(found, n_words) or ""), 0.0))
     places = [i for i, _, _ in found]
     around = max(sum(abs(i - j) <= CONTEXT for j in places[max(0, n - CONTEXT) : n + CONTEXT + 1]) - 1 for n, i in enumerate(places))
     top = max(evidence)
@@ -202,19 +216,23 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
         if not all_lines["bad"] or all_lines["bad"] == all_lines["n"]:
             return Lexicon({}, {})
         prior = all_lines["bad"] / all_lines["n"]
-        stems = by_word.filter(F.length("word") >= STEMS[0]).select(F.explode(F.transform(F.sequence(F.lit(STEMS[0]), F.least(F.lit(STEMS[1]), F.length("word"))), lambda n: F.substring("word", 1, n))).alias("word"), "bad", "good", F.col("word").alias("whole"))
-        by_stem = stems.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.approx_count_distinct("whole").alias("forms"))
+        cut = F.transform(F.sequence(F.lit(STEMS[0]), F.least(F.lit(STEMS[1]), F.length("word"))), lambda n: F.substring("word", 1, n))
+        stems = by_word.filter(F.length("word") >= STEMS[0]).select(F.explode(cut).alias("word"), "bad", "good", F.col("word").alias("whole"))
+        by_stem = stems.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.max("bad").alias("most"), F.approx_count_distinct(F.when(F.col("bad") > 0, F.col("whole"))).alias("forms"))
 
-        def telling(df: DataFrame) -> list:
-            sure = df.filter((F.col("bad") > 2) & (F.col("bad") >= SHARE * (F.col("bad") + F.col("good")))).withColumn("nats", surprise("bad", "good", prior, tried))
-            return sure.filter(F.col("nats") > SURPRISE).orderBy(F.desc("nats"), "word").limit(MOST_ENTRIES).collect()
+        def telling(df: DataFrame, share: float) -> list:
+            sure = df.filter((F.col("bad") > 2) & (F.col("bad") >= share * (F.col("bad") + F.col("good")))).withColumn("nats", surprise("bad", "good", prior, tried))
+            return sure.filter(F.col("nats") > SURPRISE).orderBy(F.desc("nats"), F.length("word"), "word").limit(MOST_ENTRIES).collect()
 
         # Both lists are bounded by MOST_ENTRIES words.
-        found = {r["word"]: r["bad"] for r in telling(by_word)}
-        begins = {r["word"]: r["bad"] for r in telling(by_stem.filter("forms >= 5"))}
+        found = {r["word"]: r["bad"] for r in telling(by_word, SHARE)}
+        begins: dict[str, int] = {}
+        for r in telling(by_stem.filter((F.col("forms") >= STEM_FORMS) & (F.col("most") <= ONE_FORM * F.col("bad"))), STEM_SHARE):
+            # Of beginnings of each other, the most telling counts.
+            if not any(r["word"][:n] in begins for n in range(1, len(r["word"]) + 1)) and not any(b.startswith(r["word"]) for b in begins):
+                begins[r["word"]] = r["bad"]
     finally:
         by_word.unpersist()
-    begins = {s: n for s, n in begins.items() if s[:-1] not in begins}
     lexicon = Lexicon({w: n for w, n in found.items() if not any(w.startswith(s) for s in begins)}, begins)
     return weighed(rows, lexicon)
 
@@ -229,7 +247,12 @@ def weighed(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
     @F.pandas_udf("array<struct<kind: string, entry: string>>")
     def kinds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([sorted({k for _, k, quoted in hits(t, lexicon) if not quoted}) or [("", "")] for t in texts], dtype=object)
+            yield pd.Series([signs(*hits(t, lexicon)) for t in texts], dtype=object)
+
+    def signs(found: list[Hit], n_words: int) -> list[tuple[str, str]]:
+        open_ = {k for _, k, quoted in found if not quoted and k[0] != "stem"}
+        dense = density(found, n_words)
+        return sorted(open_ | ({("stem", dense)} if dense else set())) or [("", "")]
 
     found = rows.select("toxic", F.explode(kinds("whole")).alias("hit"))
     counts = found.groupBy("hit").agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.count("*").alias("n")).collect()
@@ -241,9 +264,12 @@ def weighed(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
     # Hits that were seen little lean on a belief that they are mostly toxic; for misspellings it
     # is weaker the less the entry itself was seen.
     for kind, belief, doubt in zip(KINDS, (0.95, 0.95, 0.9, 0.85), (0, 0, 4, 6), strict=True):
-        for entry, lines in (lexicon.stems if kind == "stem" else lexicon.words).items():
+        for entry, lines in lexicon.words.items() if kind != "stem" else ():
             bad, n = seen.get((kind, entry), (0, 0))
             weights[kind, entry] = odds(min((bad + 4 * belief * lines / (lines + doubt)) / (n + 4), 0.999)) - odds(base)
+    for dense in DENSITIES:
+        bad, n = seen.get(("stem", dense), (0, 0))
+        weights["stem", dense] = odds(min((bad + 1) / (n + 2), 0.999)) - odds(base)
     return Lexicon(lexicon.words, lexicon.stems, weights, base)
 
 
@@ -255,7 +281,7 @@ def score_toxicity(documents: DataFrame, lexicon: Lexicon, threshold: float = 0.
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found = [hits(t, lexicon) for t in texts]
-            yield pd.DataFrame({"score": [score(h, lexicon) for h in found], "n_hits": [len(h) for h in found]})
+            yield pd.DataFrame({"score": [score(h, n, lexicon) for h, n in found], "n_hits": [len(h) for h, _ in found]})
 
     out = documents.select(key, held_out(key).alias("held_out"), scored(text_or_empty(text)).alias("s"))
     return out.select(key, "held_out", "s.score", (F.col("s.score") >= threshold).cast("int").alias("predicted"), "s.n_hits")
