@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Statements that may be run, those whose rows are limited, and the limit.
 ALLOWED, LIMITED, LIMIT = ("describe", "explain", "select", "show", "values", "with"), ("select", "values", "with"), 200
+#: Nodes of a parsed statement that change something.
+WRITES = r"InsertIntoStatement|\w*Command|Create\w+|Drop\w+|DeleteFromTable|UpdateTable|MergeIntoTable|Replace\w+"
 
 
 def checked(sql: str) -> tuple[str, bool]:
@@ -36,7 +38,8 @@ def run(spark: SparkSession, sql: str, limit: int = LIMIT) -> DataFrame:
     """
     statement, limited = checked(sql)
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
-    if limited and re.match(r"InsertIntoStatement|.*Command|CreateTable|DropTable|DeleteFromTable|UpdateTable|MergeIntoTable", plan.getClass().getSimpleName()):
+    nodes = {m[1] for line in plan.treeString().splitlines() if (m := re.match(r"[\s:+-]*'?(\w+)", line))}
+    if limited and any(re.fullmatch(WRITES, n) for n in nodes):
         raise ValueError("the statement writes")
     rows = spark.sql(statement)
     return rows.limit(limit) if limited else rows
