@@ -1,7 +1,8 @@
 """Toxicity scores from a learned lexicon, misspellings included.
 
-Spark counts in how many distinct lines of toxic and of clean labelled rows a word, or the
-beginning of many words, occurs; those far more toxic than chance allows are the lexicon. Words of
+Spark counts in how many toxic and clean labelled texts a word, or the beginning of many words,
+occurs; those far more toxic than chance allows are the lexicon. Near copies of a text would repeat
+its words, so of texts that share a minimum hash only one counts. Words of
 a text meet its trie through a Levenshtein automaton, which finds misspellings. Beginnings stand in
 clean texts as well, so their evidence is how dense they are in a text. A hit inside quotation
 marks, or close to a verb of saying and a colon, weighs less than an open one; other hits around it
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import require, text_or_empty
 
 #: The most lexicon entries, what an entry's toxic share and surprise (nats) must be, and stem lengths.
-MOST_ENTRIES, SHARE, SURPRISE, STEMS = 20_000, 0.97, 9.0, (3, 8)
-#: A stem's least toxic share, the forms it must have, and what share of its lines one form may make up.
+MOST_ENTRIES, SHARE, SURPRISE, STEMS = 20_000, 0.97, 5.0, (3, 8)
+#: A stem's least toxic share, the forms it must have, and what share of its texts one form may make up.
 STEM_SHARE, STEM_FORMS, ONE_FORM = 0.4, 5, 0.5
+#: Words of a shingle, and the orders in which its hashes have a minimum.
+SHINGLE, ORDERS = 5, (0, 0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85)
 #: Words to each side of a hit that are its context, and what a quoted hit's evidence is multiplied by.
 CONTEXT, QUOTED = 5, 0.3
 CACHE_WORDS = 500_000
@@ -52,7 +55,7 @@ def normal_word(word: str) -> str:
 
 @dataclass
 class Lexicon:
-    """Words and stems with the toxic lines they were seen in, the weight of each kind of hit on each of them, and the score of a text without one."""
+    """Words and stems with the toxic texts they were seen in, the weight of each kind of hit on each of them, and the score of a text without one."""
 
     words: dict[str, int]
     stems: dict[str, int]
@@ -193,29 +196,39 @@ def held_out(key: str) -> Column:
 
 
 def surprise(toxic: str, clean: str, prior: float, tried: int) -> Column:
-    """Nats by which a share of toxic lines beats chance, less those for the number of words tried."""
+    """Nats by which a share of toxic texts beats chance, less those for the number of words tried."""
     n = F.col(toxic) + F.col(clean)
     p = F.col(toxic) / n
     rest = F.when(F.col(clean) > 0, (1 - p) * F.log((1 - p) / (1 - prior))).otherwise(0.0)
     return n * (p * F.log(p / prior) + rest) - math.log(max(tried, 1))
 
 
+def without_copies(rows: DataFrame, key: str) -> DataFrame:
+    """Keys of the rows that share none of their minimum hashes with a row of smaller key and the same label."""
+    words = F.array_remove(F.split("whole", r"\s+"), "")
+    n = F.size("w")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, SHINGLE)))
+    least = F.array(*(F.struct(F.lit(k).alias("k"), F.array_min(F.transform("grams", lambda g, _: g.bitwiseXOR(F.lit(order)))).alias("h")) for k, order in enumerate(ORDERS)))
+    spread = rows.select(key, "toxic", words.alias("w")).select(key, "toxic", grams.alias("grams")).select(key, "toxic", F.explode(least).alias("m"))
+    first = spread.groupBy("toxic", "m").agg(F.min(key).alias(key))
+    return first.groupBy(key).count().filter(F.col("count") == len(ORDERS)).select(key)
+
+
 def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
     """The lexicon and its weights, from the labelled rows that are not held out."""
     require(labels, (key, label))
     marked = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).alias("toxic"))
     rows = documents.select(key, text_or_empty(text).alias("whole")).join(marked, key)
-    # Copies of a text repeat its lines; a line counts once for each label.
-    lines = rows.select("toxic", F.explode(F.split("whole", "\n")).alias("line")).groupBy(F.xxhash64("line").alias("h"), "toxic").agg(F.first("line").alias("line"))
-    words = lines.select("toxic", F.explode(F.array_distinct(F.split(F.lower("line"), r"[^\p{L}\p{N}]+"))).alias("word")).filter(F.length("word") > 2)
+    # Toxic and clean texts are told apart, so that no copy hides one of the other kind.
+    words = rows.join(without_copies(rows, key), key, "left_semi").select("toxic", F.explode(F.array_distinct(F.split(F.lower("whole"), r"[^\p{L}\p{N}]+"))).alias("word")).filter(F.length("word") > 2)
     tally = (F.sum(F.col("toxic").cast("long")).alias("bad"), F.sum((1 - F.col("toxic")).cast("long")).alias("good"))
     by_word = words.groupBy("word").agg(*tally).persist()
     try:
-        all_lines = lines.agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).first()
+        texts = marked.agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).first()
         tried = by_word.count()
-        if not all_lines["bad"] or all_lines["bad"] == all_lines["n"]:
+        if not texts["bad"] or texts["bad"] == texts["n"]:
             return Lexicon({}, {})
-        prior = all_lines["bad"] / all_lines["n"]
+        prior = texts["bad"] / texts["n"]
         cut = F.transform(F.sequence(F.lit(STEMS[0]), F.least(F.lit(STEMS[1]), F.length("word"))), lambda n: F.substring("word", 1, n))
         stems = by_word.filter(F.length("word") >= STEMS[0]).select(F.explode(cut).alias("word"), "bad", "good", F.col("word").alias("whole"))
         by_stem = stems.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.max("bad").alias("most"), F.approx_count_distinct(F.when(F.col("bad") > 0, F.col("whole"))).alias("forms"))
@@ -264,9 +277,9 @@ def weighed(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
     # Hits that were seen little lean on a belief that they are mostly toxic; for misspellings it
     # is weaker the less the entry itself was seen.
     for kind, belief, doubt in zip(KINDS, (0.95, 0.95, 0.9, 0.85), (0, 0, 4, 6), strict=True):
-        for entry, lines in lexicon.words.items() if kind != "stem" else ():
+        for entry, texts in lexicon.words.items() if kind != "stem" else ():
             bad, n = seen.get((kind, entry), (0, 0))
-            weights[kind, entry] = odds(min((bad + 4 * belief * lines / (lines + doubt)) / (n + 4), 0.999)) - odds(base)
+            weights[kind, entry] = odds(min((bad + 4 * belief * texts / (texts + doubt)) / (n + 4), 0.999)) - odds(base)
     for dense in DENSITIES:
         bad, n = seen.get(("stem", dense), (0, 0))
         weights["stem", dense] = odds(min((bad + 1) / (n + 2), 0.999)) - odds(base)
