@@ -64,8 +64,10 @@ class Lexicon:
 
     def __post_init__(self) -> None:
         self.trie: dict = {}
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
+        # What a misspelling shares with an entry, and the lengths that it can have.
+        self.heads: dict[str, set[int]] = {}
+        self.tails: dict[str, set[int]] = {}
+        self.middle_lengths: set[int] = set()
         middles = set()
         for w in self.words:
             if not (edits := allowed(w)):
@@ -75,25 +77,36 @@ class Lexicon:
                 node = node.setdefault(c, {})
             node[""] = edits
             # With d edits in d + 1 parts, one part is untouched.
-            cut = len(w) // (edits + 1)
-            self.heads.add(w[:cut])
-            self.tails.add(w[len(w) - cut :])
+            cut, lengths = len(w) // (edits + 1), set(range(len(w) - edits, len(w) + edits + 1))
+            self.heads.setdefault(w[:cut], set()).update(lengths)
+            self.tails.setdefault(w[len(w) - cut :], set()).update(lengths)
             if edits == 2:
                 middles.add(w[cut : len(w) - cut])
+                self.middle_lengths |= lengths
         self.head_sizes, self.tail_sizes = sorted({*map(len, self.heads)}), sorted({*map(len, self.tails)})
         self.middles = re.compile("|".join(map(re.escape, sorted(middles)))) if middles else None
         self.stem_sizes = sorted({*map(len, self.stems)})
-        self.seen: dict[str, tuple[str, str] | None] = {}
-
-    def kind(self, word: str) -> tuple[str, str] | None:
-        """What kind of hit a word as it stands in a text is, and on which entry; remembered."""
-        try:
-            return self.seen[word]
-        except KeyError:
-            if len(self.seen) >= CACHE_WORDS:
-                self.seen.clear()
-            found = self.seen[word] = self.match(normal_word(word))
-            return found
+        self.seen: set[str] = set()
+        self.found: dict[str, tuple[str, str]] = {}
+
+    def kinds(self, words: list[str]) -> dict[str, tuple[str, str]]:
+        """What kind of hit, on which entry, each word that is one is; remembered from text to text."""
+        new = set(words).difference(self.seen)
+        if new:
+            if len(self.seen) + len(new) > CACHE_WORDS:
+                self.seen, self.found, new = set(), {}, set(words)
+            self.seen |= new
+            for w in new:
+                if kind := self.match(normal_word(w)):
+                    self.found[w] = kind
+        return self.found
+
+    def near(self, word: str) -> bool:
+        """Whether a word can be a misspelling at all."""
+        size, none = len(word), ()
+        if any(size in self.heads.get(word[:n], none) for n in self.head_sizes) or any(size in self.tails.get(word[-n:], none) for n in self.tail_sizes):
+            return True
+        return size in self.middle_lengths and bool(self.middles.search(word))
 
     def match(self, word: str) -> tuple[str, str] | None:
         if word in self.words:
@@ -101,7 +114,7 @@ class Lexicon:
         for n in self.stem_sizes:
             if word[:n] in self.stems:
                 return "stem", word[:n]
-        if not (any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes) or self.middles and self.middles.search(word)):
+        if not self.near(word):
             return None
         found = nearest(word, self.trie)
         return found and (KINDS[1 + found[0]], found[1])
@@ -157,8 +170,8 @@ def density(found: list[Hit], n_words: int) -> str | None:
 def hits(text: str, lexicon: Lexicon) -> tuple[list[Hit], int]:
     """(position, (kind, entry), quoted) of each hit, and the number of words."""
     words = text.split()
-    kind = lexicon.kind
-    found = [(i, k) for i, w in enumerate(words) if (k := kind(w))]
+    kinds = lexicon.kinds(words)
+    found = [(i, kinds[w]) for i, w in enumerate(words) if w in kinds]
     if not found:
         return [], len(words)
     inside, depth, either = [], 0, False
