@@ -7,10 +7,11 @@ the size of its group of copies, so it would weaken the very evidence looked for
 
 Improved consistent weighted sampling draws samples that two texts share with the probability of
 their weighted Jaccard similarity; bands of samples make buckets. In a bucket, every text is
-verified against one of them, the hub: at first the smallest id, later the smallest that failed.
-If all are like it, they are one class and the bucket is done. If some fail, they may yet be linked
-to each other or to those that passed, so the hub goes and all others are bucketed anew with
-further samples. Verified links make classes; exact copies are collapsed beforehand.
+verified against one of them, the hub. Verified links make components. Where a bucket still holds
+texts of several components, further hubs follow (``STARS``), and then all its pairs across
+components are verified: those of small buckets one by one, those of large ones by pairs of blocks.
+So every two texts that share a bucket end in one class or are known to be unlike; no bucket is
+thinned. Blocks of one and the same component are not paired. Exact copies are collapsed beforehand.
 
 Null and empty texts, and texts without a word, are copies of their like only. Texts of fewer than
 five words are one shingle. Ids should be unique; rows with one id share a class if their texts do.
@@ -20,20 +21,21 @@ An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import discard, require, stored, text_or_empty
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 10, 3
-#: Samples added to the key when a bucket is split for the n-th time; later on, as many as the last.
-FURTHER = (1, 1, 1, 1, 2, 4, 8)
+#: Hubs of a contested bucket before its pairs are verified, the most texts of a bucket whose pairs
+#: are rows, and what a block of a larger one holds: texts, of at most so many characters each on average.
+STARS, PAIRED, BLOCK, BLOCK_CHARS = 2, 16, 128, 4096
 #: Word buckets, and the pieces in which their counts are added up.
 BUCKETS, PIECES = 1 << 18, 64
 
@@ -155,6 +157,75 @@ def verified(edges: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float
     return paired.select("a", "b", alike("text_a", "text_b").alias("alike"))
 
 
+def alike_in_blocks(first: list[tuple[np.ndarray, np.ndarray]], second: list[tuple[np.ndarray, np.ndarray]], similar: float) -> np.ndarray:
+    """For each text of ``first``, whether each text of ``second`` is similar: exact, by postings of shingles."""
+    at = np.repeat(np.arange(len(second)), [len(x) for x, _ in second])
+    shingles, weights = np.concatenate([x for x, _ in second]), np.concatenate([w for _, w in second])
+    order = np.argsort(shingles, kind="stable")
+    shingles, weights, at = shingles[order], weights[order], at[order]
+    totals = np.array([w.sum(dtype=np.float64) for _, w in second])
+    out = np.zeros((len(first), len(second)), bool)
+    for n, (x, w) in enumerate(first):
+        low = np.searchsorted(shingles, x, "left")
+        counts = np.searchsorted(shingles, x, "right") - low
+        where = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        shared = np.bincount(at[where], np.minimum(weights[where], np.repeat(w, counts)), len(second))
+        out[n] = shared >= similar * (w.sum(dtype=np.float64) + totals - shared)
+    return out
+
+
+def contested(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` (band, bucket, id) with their labels, of buckets that hold several components."""
+    of = labels.select("id", "label")
+    labelled = members.select("band", "bucket", "id").join(of, "id", "left").select("band", "bucket", "id", F.coalesce("label", "id").alias("label"))
+    mixed = labelled.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low < high")
+    return labelled.join(mixed.select("band", "bucket", "n"), ["band", "bucket"])
+
+
+def links_across(members: DataFrame, whole: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
+    """Links (a, b) of all pairs of contested ``members`` that share a bucket and no label."""
+    few = members.filter(F.col("n") <= PAIRED)
+    other = few.select("band", "bucket", F.col("id").alias("b"), F.col("label").alias("other"))
+    pairs = few.withColumnRenamed("id", "a").join(other, ["band", "bucket"]).filter("a < b and label <> other").select("a", "b").distinct()
+    found = verified(pairs, whole, idf, similar).filter("alike").select("a", "b")
+    many = members.filter(F.col("n") > PAIRED).join(whole.select("id", F.length("whole").alias("size")), "id")
+    before = Window.partitionBy("band", "bucket").orderBy("label", "id").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum(F.greatest(F.lit(1.0), F.col("size") / BLOCK_CHARS)).over(before), F.lit(0.0))
+    blocked = stored(many.select("band", "bucket", "id", "label", F.floor(ahead / BLOCK).alias("block")), "blocks")
+    blocks = blocked.groupBy("band", "bucket", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    left, right = (blocks.select("band", "bucket", F.col("block").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "ij")
+    met = left.join(right, ["band", "bucket"]).filter("i <= j and (low_i <> high_i or low_j <> high_j or low_i <> low_j)").select("band", "bucket", "i", "j")
+    sides = met.select("*", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("block"))
+    shared = members.sparkSession.sparkContext.broadcast(idf)
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        ids, labels = group["id"].to_numpy(), group["label"].to_numpy()
+        sets = [weighted_shingles(t, shared.value) for t in group["whole"]]
+        here = np.flatnonzero((group["block"] == group["i"]).to_numpy())
+        there = np.flatnonzero((group["block"] == group["j"]).to_numpy())
+        alike = alike_in_blocks([sets[n] for n in here], [sets[n] for n in there], similar)
+        a, b = np.nonzero(alike & (labels[here][:, None] != labels[there][None, :]))
+        # Links of one block pair that make no new connection are not returned.
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = root[x]
+            return x
+
+        out = []
+        for x, y in zip(here[a], there[b], strict=True):
+            p, q = top(labels[x]), top(labels[y])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((ids[x], ids[y]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    texts = sides.join(blocked, ["band", "bucket", "block"]).join(whole, "id")
+    return found.union(texts.groupBy("band", "bucket", "i", "j").applyInPandas(settle, "a long, b long"))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """id, label (the smallest id of its component) of every end of an edge (a, b)."""
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
@@ -184,31 +255,31 @@ def near_duplicates(documents: DataFrame, similar: float = SIMILAR, key: str = "
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.slice("samples", b * ROWS + 1, ROWS)).alias("bucket")))
     spread = texts.filter(F.size("samples") > 0).select("id", "samples", F.explode(band).alias("x")).select("id", "samples", "x.band", "x.bucket")
     crowded = spread.groupBy("band", "bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last")
-    members = stored(spread.join(crowded.drop("last"), ["band", "bucket"]), "members")
+    members = stored(spread.drop("samples").join(crowded.drop("last"), ["band", "bucket"]), "members")
     wanted = members.select("id").distinct()
     rows = documents.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("whole"))
     whole = stored(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
-    links, turn, used = [], 0, 0
-    while True:
-        more = FURTHER[min(turn, len(FURTHER) - 1)]
-        pairs = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-        judged = stored(verified(pairs, whole, idf, similar), "judged")
-        links.append(judged.filter("alike").select("a", "b"))
-        met = members.join(judged.select(F.col("a").alias("hub"), F.col("b").alias("id"), (~F.col("alike")).alias("failed")), ["hub", "id"]).drop("hub")
-        unsettled = met.filter("failed").select("band", "bucket").distinct()
-        start = ((F.col("band") + 1) * ROWS + used) % (BANDS * ROWS) + 1
-        finer = F.xxhash64("bucket", F.slice(F.concat("samples", "samples"), start, F.lit(more)))
-        again = met.join(unsettled, ["band", "bucket"], "left_semi").withColumn("bucket", finer)
-        hubs = again.groupBy("band", "bucket").agg(F.min(F.when(F.col("failed"), F.col("id"))).alias("hub"), F.count("*").alias("n")).filter("hub is not null and n > 1")
-        left = stored(again.drop("failed").join(hubs.drop("n"), ["band", "bucket"]), "members")
+    links = []
+    for turn in range(STARS + 1):
+        open_ = members.filter("label <> of") if turn else members.filter("id <> hub")
+        pairs = open_.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+        links.append(stored(verified(pairs, whole, idf, similar).filter("alike").select("a", "b"), "links"))
+        labels = components(reduce(DataFrame.union, links))
+        # Whatever shares a bucket with its hub is settled; the others may be linked to each other.
+        left = stored(contested(members.filter("id <> hub"), labels), "contested")
         discard(members)
-        members, turn, used = left, turn + 1, used + more
-        if not members.limit(1).count():
+        members = left
+        if turn == STARS or not members.limit(1).count():
             break
-    every = links[0]
-    for more in links[1:]:
-        every = every.union(more)
-    labels = components(every)
+        hubs = members.groupBy("band", "bucket").agg(F.min(F.struct("label", "id")).alias("x"), F.max(F.struct("label", "id")).alias("y"))
+        # The ends of the labels in turn, so that the hubs of a bucket are of several components.
+        hubs = hubs.select("band", "bucket", F.col("y.id" if turn % 2 == 0 else "x.id").alias("hub"), F.col("y.label" if turn % 2 == 0 else "x.label").alias("of"))
+        members = members.drop("n").join(hubs, ["band", "bucket"])
+        members = stored(members, "members")
+        discard(left)
+    if members.limit(1).count():
+        links.append(stored(links_across(members, whole, idf, similar), "links"))
+        labels = components(reduce(DataFrame.union, links))
     classes = texts.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("class_id"))
     discard(whole, members)
     return signs.select(F.col("id").alias(key), "digest").join(classes, "digest").select(key, "class_id")

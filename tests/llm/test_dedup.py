@@ -55,6 +55,29 @@ def test_classes_equal_brute_force(make, words, odd_texts):
     assert found == {i: root(i) for i, _ in pairs}
 
 
+def test_links_in_large_mixed_buckets_are_found(make, words):
+    rng = random.Random(8)
+    template = rng.choices(words, k=150)
+    texts = []
+    for _ in range(130):
+        own = template + rng.choices(words, k=30)
+        near = list(own)
+        for at in rng.sample(range(0, 150, 8), 3):
+            near[at] = rng.choice(words)
+        texts += [" ".join(own), " ".join(near)]
+    documents = make(enumerate(texts))
+    idf = inverse_frequencies(documents, "text")
+    sets = [weighted_shingles(t, idf) for t in texts]
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(label[:], 2):
+        if label[i] != label[j] and similarity(sets[i], sets[j]) >= 0.8:
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+    assert 100 < len(set(label)) < 200
+    found = {r.doc_id: r.class_id for r in near_duplicates(documents).collect()}
+    assert [found[i] for i in range(len(texts))] == label
+
+
 def test_classes_of_rows_without_id_and_of_no_rows(make, odd_texts):
     rows = near_duplicates(make(odd_texts)).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in odd_texts)
