@@ -2,10 +2,10 @@
 
 Every source's rows are cut into blocks. Block i of a source with weight w is released at slot
 floor(i / w) and due at slot ceil((i + 1) / w); in each slot the released block with the earliest
-deadline is taken. With integer shares that add up to the number of slots, the schedule repeats
-after that many slots, so one period is worked out and every block's slot follows by arithmetic.
-While sources last, no source is ever a whole block away from its target. When one runs out,
-a new period is worked out for the shares of those that are left, so no row is dropped.
+deadline is taken. Weights are taken as they are, as exact fractions, so while sources last, no
+source is ever a whole block away from its target, however many blocks or sources there are. When
+one runs out, slots are counted anew for those that are left, so no row is dropped; a source of
+weight 0 follows after all others. One task works the slots out and holds one block of each source.
 
 A null source is a source of its own. Rows are ordered within a source by a hash of the key, so
 repeated rows and ties have a defined order among equals. An empty table gives no rows.
@@ -14,20 +14,24 @@ repeated rows and ties have a defined order among equals. An empty table gives n
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import require
 
-#: Slots of a period: weights are rounded to shares of this many slots.
-PERIOD = 1000
+#: Slots that are worked out before they are handed on.
+SLOTS_TOGETHER = 10_000
 #: Rows of a source that are ranked together in one task.
 RANKED_TOGETHER = 4096
 
 
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
+def shares(weights: dict[str, float], period: int = 1000) -> dict[str, int]:
     """Integer shares of a period, by largest remainders, at least one each."""
     total = sum(weights.values())
     period = max(period, len(weights))
@@ -59,37 +63,37 @@ def period_of(share: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[tuple[int, str, int, int, int, int, int]]:
-    """(phase, source, first block, blocks, first slot, share, slots of a period) until all blocks are used.
-
-    A phase ends with the first source that runs out; its last, partial period is packed without
-    gaps, so a source may run out earlier in it but none is dropped.
-    """
-    left = {s: n for s, n in blocks.items() if n}
+def schedule(rows: dict[str, int], weights: dict[str, float], block_rows: int) -> Iterator[tuple[str, int, int, int]]:
+    """(source, block, slot, position of the block's first row) of all blocks, slot by slot."""
+    exact = {s: Fraction(weights[s]) for s in rows}
+    common = lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * common) for s, w in exact.items()}
+    left = {s: -(-n // block_rows) for s, n in rows.items() if n}
     done = dict.fromkeys(left, 0)
-    out, slot, phase = [], 0, 0
+    slot = start = 0
     while left:
-        share = shares({s: weights[s] for s in left}, period)
-        slots = sum(share.values())
-        whole = min(left[s] // share[s] for s in left)
-        if whole:
-            used = {s: whole * share[s] for s in left}
-        else:  # less than a period is left of some source: its blocks spread over what is left
-            short = min(left, key=lambda s: (Fraction(left[s], share[s]), s))
-            part = Fraction(left[short], share[short])
-            used = {s: min(left[s], -int(-(part * share[s]) // 1)) for s in left}
-            share, slots = used, sum(used.values())
-        out += [(phase, s, done[s], used[s], slot, share[s], slots) for s in left if used[s]]
-        slot += sum(used.values())
-        phase += 1
-        for s, n in used.items():
-            done[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-    return out
-
-
-def mix(documents: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_rows: int = 64, period: int = PERIOD, key: str = "doc_id", source: str = "source") -> DataFrame:
+        share = {s: whole[s] for s in left if whole[s]} or dict.fromkeys(left, 1)
+        total = sum(share.values())
+        waiting = [(0, s, 0) for s in sorted(share)]
+        ready: list[tuple[int, int, str, int]] = []
+        at, s = 0, ""
+        while s not in share or s in left:
+            while waiting and waiting[0][0] <= at:
+                _, s, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(i + 1) * total // share[s]), (i + 1) * total // share[s], s, i))
+            _, release, s, i = heapq.heappop(ready)
+            yield s, done[s], slot, start
+            start += min(block_rows, rows[s] - done[s] * block_rows)
+            at, slot = at + 1, slot + 1
+            done[s] += 1
+            left[s] -= 1
+            if left[s]:
+                heapq.heappush(waiting, (release, s, i + 1))
+            else:
+                del left[s]
+
+
+def mix(documents: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_rows: int = 64, key: str = "doc_id", source: str = "source") -> DataFrame:
     """All rows and columns, with ``mix_source``, ``mix_block``, ``mix_slot`` and ``mix_position`` (gapless, from 0).
 
     Without ``weights``, a source's weight is its number of rows to the power ``temperature``.
@@ -117,35 +121,13 @@ def mix(documents: DataFrame, weights: dict[str, float] | None = None, temperatu
     ranked = salted.withColumn("mix_row", F.row_number().over(within) - 1).join(offsets, ["mix_source", "mix_bucket"])
     ranked = ranked.withColumn("mix_row", (F.col("mix_row") + F.col("mix_before")).cast("long")).withColumn("mix_block", F.expr(f"mix_row div {block_rows}"))
 
-    blocks = {s: -(-n // block_rows) for s, n in rows.items()}
-    plan = phases(blocks, weights, period)
-    by_phase: dict[int, dict[str, int]] = {}
-    for phase, s, _, _, _, share, _ in plan:
-        by_phase.setdefault(phase, {})[s] = share
-    slots = [(phase, s, i, at) for phase, share in by_phase.items() for at, (s, i) in enumerate(period_of(share))]
-    plan_df = spark.createDataFrame(plan, "mix_phase int, mix_source string, first_block long, n_blocks long, first_slot long, share long, slots long")
-    slot_df = spark.createDataFrame(slots, "mix_phase int, mix_source string, nth long, at long")
-    # Both are bounded by the number of sources times the period, whatever the number of rows.
-    planned = ranked.join(F.broadcast(plan_df), "mix_source").filter("mix_block >= first_block and mix_block < first_block + n_blocks")
-    placed = planned.withColumn("nth", F.expr("(mix_block - first_block) % share")).join(F.broadcast(slot_df), ["mix_phase", "mix_source", "nth"])
-    placed = placed.withColumn("mix_slot", F.expr("first_slot + (mix_block - first_block) div share * slots + at"))
-    # Only a source's last block is short, so a row's position is its slot's less what those lack.
-    short = {s: (b - 1, b * block_rows - rows[s]) for s, b in blocks.items() if b * block_rows > rows[s]}
-    lacking = sorted((slot_of(plan, by_phase, s, b), lack) for s, (b, lack) in short.items())
-    gaps, total = [(-1, 0)], 0
-    for at, lack in lacking:
-        total += lack
-        gaps.append((at, total))
-    position = F.col("mix_slot") * block_rows + F.col("mix_row") % block_rows
-    for (at, lack), (until, _) in zip(gaps, [*gaps[1:], (None, 0)], strict=True):
-        if lack:
-            inside = (F.col("mix_slot") > at) if until is None else (F.col("mix_slot") > at) & (F.col("mix_slot") <= until)
-            position = position - F.when(inside, lack).otherwise(0)
-    return placed.withColumn("mix_position", position.cast("long")).select(*documents.columns, "mix_source", "mix_block", "mix_slot", "mix_position")
-
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            slots = schedule(rows, weights, block_rows)
+            while some := list(islice(slots, SLOTS_TOGETHER)):
+                yield pd.DataFrame(some, columns=["mix_source", "mix_block", "mix_slot", "mix_start"])
 
-def slot_of(plan: list, by_phase: dict[int, dict[str, int]], source: str, block: int) -> int:
-    """The slot of one block."""
-    phase, _, first, _, slot, share, slots = next(p for p in plan if p[1] == source and p[2] <= block < p[2] + p[3])
-    at = period_of(by_phase[phase]).index((source, (block - first) % share))
-    return slot + (block - first) // share * slots + at
+    plan = spark.range(0, 1, 1, 1).mapInPandas(task, "mix_source string, mix_block long, mix_slot long, mix_start long")
+    placed = ranked.join(plan, ["mix_source", "mix_block"])
+    position = F.col("mix_start") + F.col("mix_row") % block_rows
+    return placed.withColumn("mix_position", position.cast("long")).select(*documents.columns, "mix_source", "mix_block", "mix_slot", "mix_position")

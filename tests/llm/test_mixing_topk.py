@@ -31,6 +31,20 @@ def test_all_rows_in_gapless_order(spark):
     assert mix(df, {"hot": 3, "s0": 1}).count() == len(rows)
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.9, **{f"b{i}": 0.0111 for i in range(9)}}, {"hot": 1500.0, **{f"s{i:04}": 0.5 + i % 3 for i in range(1200)}}])
+def test_order_follows_the_given_weights(spark, weights):
+    total, n_blocks = sum(weights.values()), 30_000
+    blocks = {s: int(n_blocks * w / total) + 2 for s, w in weights.items()}
+    rows = spark.createDataFrame(list(blocks.items()), "source string, n long").selectExpr("source", "explode(sequence(1, n)) as doc_id")
+    order = [r.source for r in mix(rows, weights, block_rows=1).orderBy("mix_position").select("source").collect()]
+    assert len(order) == sum(blocks.values())
+    taken = dict.fromkeys(weights, 0)
+    for t, s in enumerate(order[:n_blocks], 1):
+        taken[s] += 1
+        if t % 997 == 0 or t == n_blocks:
+            assert all(abs(n - weights[x] / total * t) < 1.001 for x, n in taken.items())
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     data = [(int(i), [float(np.float32(x)) for x in v * s]) for i, (v, s) in enumerate(zip(rng.normal(size=(700, 8)), rng.lognormal(0, 1, 700)))]
