@@ -1,47 +1,63 @@
 """Toxicity scores from a learned lexicon, misspellings included.
 
-Spark counts in how many toxic and clean labelled texts a word, or the beginning of many words,
-occurs; those far more toxic than chance allows are the lexicon. Near copies of a text would repeat
-its words, so of texts that share a minimum hash only one counts. Words of
-a text meet its trie through a Levenshtein automaton, which finds misspellings. Beginnings stand in
-clean texts as well, so their evidence is how dense they are in a text. A hit inside quotation
-marks, or close to a verb of saying and a colon, weighs less than an open one; other hits around it
-add to it. How much each kind of hit weighs is measured on the labelled rows.
-
-Null texts are empty and get the score of texts without a hit. Labels other than 0 and 1 are left
-out; a row with both counts as toxic. Without labels the lexicon is empty and all scores are low.
-Only texts are scored: no other column is read, save the key, which decides what is held out.
+Spark counts in how many toxic and clean labelled texts a word occurs; those more toxic than chance
+allows are the lexicon. Near copies of a text would repeat its words, so of texts that share a minimum
+hash only one counts. Every word of a text is read by a Levenshtein automaton intersected with the
+lexicon's trie: its states are sets of places in the trie with the edits it took to come there. States
+are made as words need them and kept, so most words end at a known dead state after a few letters.
+
+What a hit is worth is measured on the labelled rows for each entry, and for words one and two edits away
+from it apart: the odds of a text that holds it, and how much more often it stands in toxic than in clean
+texts. The strongest hit counts, or, where that is more, how dense all hits are by the latter measure: an
+entry or its misspellings may stand in clean texts as well, but not many together. A hit inside
+quotation marks, or close to a verb of saying and a colon, weighs less than an open one; other hits
+around it add to it.
+
+Null and empty texts get the score of texts without a hit. Labels other than 0 and 1 are left out; a row
+with both counts as toxic. Without labels the lexicon is empty and all scores are low; ties among entries
+go by alphabet. Only texts are scored: no other column is read, save the key, which decides what is held
+out, and columns may have any further names. A text is held by one task, however long. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import require, text_or_empty
+from graphloom.llm.common import discard, require, stored, text_or_empty
 
-#: The most lexicon entries, what an entry's toxic share and surprise (nats) must be, and stem lengths.
-MOST_ENTRIES, SHARE, SURPRISE, STEMS = 20_000, 0.97, 5.0, (3, 8)
-#: A stem's least toxic share, the forms it must have, and what share of its texts one form may make up.
-STEM_SHARE, STEM_FORMS, ONE_FORM = 0.4, 5, 0.5
+#: The most lexicon entries, and what an entry's toxic share and surprise (nats) must be.
+MOST_ENTRIES, SHARE, SURPRISE = 20_000, 0.4, 0.0
 #: Words of a shingle, and the orders in which its hashes have a minimum.
 SHINGLE, ORDERS = 5, (0, 0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85)
 #: Words to each side of a hit that are its context, and what a quoted hit's evidence is multiplied by.
 CONTEXT, QUOTED = 5, 0.3
-CACHE_WORDS = 500_000
-KINDS = ("word", "stem", "one edit", "two edits")
+CACHE_WORDS = 400_000
+#: States of the automaton that are kept; with more, it starts anew.
+MOST_STATES = 100_000
+KINDS = ("word", "one edit", "two edits")
+#: What is believed of a hit of each kind before any was seen, as a share of the entry's own toxic share; how
+#: many texts an entry must have for it to be believed half; by how many deviations a share is taken lower.
+BELIEF, DOUBT, CAUTION = (1.0, 0.97, 0.93), (0, 2, 3), 2.5
+#: Densities by powers of two; a text's first hit alone is none.
+DENSITIES = 10
 # Digits and signs that stand for letters, quotation marks, verbs of saying.
 LEET = str.maketrans("01345@$", "oieasas")
 OPENING, CLOSING, EITHER = "“„«‹「", "”»›」", "\""
 SAYING = frozenset("said says say quoted quotes quote wrote writes called calls reads replied sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
 
 
+_INNER = re.compile(r"[\W\d_]+")
+
+
 def normal_word(word: str) -> str:
     """A word in lower case without marks around or in it, letters for digits that stand for them."""
     word = word.lower()
@@ -55,37 +71,21 @@ def normal_word(word: str) -> str:
 
 @dataclass
 class Lexicon:
-    """Words and stems with the toxic texts they were seen in, the weight of each kind of hit on each of them, and the score of a text without one."""
+    """Entries with their toxic share, the texts they were seen in, and what was learned of the hits.
+
+    ``weights`` has the log odds of a text with a hit of each kind on each entry, ``rates`` how much more
+    often such hits stand in toxic texts than in clean ones (a logarithm, 0 at least), ``dense`` the
+    log odds by density, and ``base`` the toxic share of texts without a hit.
+    """
 
-    words: dict[str, int]
-    stems: dict[str, int]
+    words: dict[str, tuple[float, int]]
     weights: dict[tuple[str, str], float] = field(default_factory=dict)
+    rates: dict[tuple[str, str], float] = field(default_factory=dict)
+    dense: list[float] = field(default_factory=list)
     base: float = 0.01
 
     def __post_init__(self) -> None:
-        self.trie: dict = {}
-        # What a misspelling shares with an entry, and the lengths that it can have.
-        self.heads: dict[str, set[int]] = {}
-        self.tails: dict[str, set[int]] = {}
-        self.middle_lengths: set[int] = set()
-        middles = set()
-        for w in self.words:
-            if not (edits := allowed(w)):
-                continue
-            node = self.trie
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = edits
-            # With d edits in d + 1 parts, one part is untouched.
-            cut, lengths = len(w) // (edits + 1), set(range(len(w) - edits, len(w) + edits + 1))
-            self.heads.setdefault(w[:cut], set()).update(lengths)
-            self.tails.setdefault(w[len(w) - cut :], set()).update(lengths)
-            if edits == 2:
-                middles.add(w[cut : len(w) - cut])
-                self.middle_lengths |= lengths
-        self.head_sizes, self.tail_sizes = sorted({*map(len, self.heads)}), sorted({*map(len, self.tails)})
-        self.middles = re.compile("|".join(map(re.escape, sorted(middles)))) if middles else None
-        self.stem_sizes = sorted({*map(len, self.stems)})
+        self.automaton = Automaton(w for w in self.words if allowed(w))
         self.seen: set[str] = set()
         self.found: dict[str, tuple[str, str]] = {}
 
@@ -97,27 +97,23 @@ class Lexicon:
                 self.seen, self.found, new = set(), {}, set(words)
             self.seen |= new
             for w in new:
-                if kind := self.match(normal_word(w)):
+                if kind := self.of_token(w):
                     self.found[w] = kind
         return self.found
 
-    def near(self, word: str) -> bool:
-        """Whether a word can be a misspelling at all."""
-        size, none = len(word), ()
-        if any(size in self.heads.get(word[:n], none) for n in self.head_sizes) or any(size in self.tails.get(word[-n:], none) for n in self.tail_sizes):
-            return True
-        return size in self.middle_lengths and bool(self.middles.search(word))
+    def of_token(self, token: str) -> tuple[str, str] | None:
+        """The hit of what stands between white space: as one word, or else the first of its parts between letters that is one."""
+        word = normal_word(token)
+        if (kind := self.match(word)) or word.isalpha() and len(word) == len(token):
+            return kind
+        parts = _INNER.split(token.lower())
+        return next((kind for p in parts if p != word and (kind := self.match(p))), None)
 
     def match(self, word: str) -> tuple[str, str] | None:
         if word in self.words:
-            return "word", word
-        for n in self.stem_sizes:
-            if word[:n] in self.stems:
-                return "stem", word[:n]
-        if not self.near(word):
-            return None
-        found = nearest(word, self.trie)
-        return found and (KINDS[1 + found[0]], found[1])
+            return KINDS[0], word
+        found = self.automaton.nearest(word)
+        return found and (KINDS[found[0]], found[1])
 
 
 def allowed(word: str) -> int:
@@ -125,46 +121,104 @@ def allowed(word: str) -> int:
     return 0 if len(word) < 5 else 1 if len(word) < 8 else 2
 
 
-def nearest(word: str, trie: dict) -> tuple[int, str] | None:
-    """Edits to the nearest entry that allows them, 1 or 2, and that entry.
+Place = tuple[int, str]
+
+
+class Automaton:
+    """All words that misspell an entry: the trie of entries under insertions, deletions, changes and swaps of letters.
 
-    The automaton of ``word`` walks the trie: its state after a path is the row of edit distances
-    between the path and each beginning of ``word``. A swap of neighbours is one edit. A path is
-    left once every distance is over two.
+    A place is a node of the trie, and a letter that has to come next if the two before it in the
+    entry are being read as swapped. A state is a set of places with the least edits to each.
     """
-    size, best, entry = len(word), 3, ""
-
-    def walk(node: dict, path: str, before: list[int] | None, row: list[int]) -> None:
-        nonlocal best, entry
-        for c, child in node.items():
-            if c == "":
-                if row[-1] <= child and 0 < row[-1] < best:
-                    best, entry = row[-1], path
-                continue
-            state = [row[0] + 1]
-            for j in range(1, size + 1):
-                x = min(row[j] + 1, state[-1] + 1, row[j - 1] + (word[j - 1] != c))
-                if before is not None and j > 1 and word[j - 1] == path[-1] and word[j - 2] == c:
-                    x = min(x, before[j - 2] + 1)
-                state.append(x)
-            if min(state) < best:
-                walk(child, path + c, row, state)
 
-    walk(trie, "", None, list(range(size + 1)))
-    return (best, entry) if best < 3 else None
+    def __init__(self, entries: Iterable[str]) -> None:
+        self.children: list[dict[str, int]] = [{}]
+        self.ends: dict[int, str] = {}
+        #: The most edits that any entry at or below a node allows.
+        self.most = [0]
+        for entry in entries:
+            node, edits = 0, allowed(entry)
+            self.most[0] = max(self.most[0], edits)
+            for c in entry:
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.most.append(0)
+                node = self.children[node][c]
+                self.most[node] = max(self.most[node], edits)
+            self.ends[node] = entry
+        self.restart()
+
+    def restart(self) -> None:
+        self.numbers: dict[frozenset[tuple[Place, int]], int] = {}
+        self.states: list[dict[Place, int]] = []
+        self.steps: list[dict[str, int]] = []
+        self.accepts: list[tuple[int, str] | None] = []
+        self.start = self.number({(0, ""): 0})
+
+    def number(self, places: dict[Place, int]) -> int:
+        """The state of these places and of those reached by leaving out letters of entries; -1 for none."""
+        waiting = [p for p in places if not p[1]]
+        while waiting:
+            node, _ = waiting.pop()
+            edits = places[node, ""] + 1
+            for child in self.children[node].values():
+                if edits <= self.most[child] and edits < places.get((child, ""), 9):
+                    places[child, ""] = edits
+                    waiting.append((child, ""))
+        if not places:
+            return -1
+        key = frozenset(places.items())
+        state = self.numbers.get(key)
+        if state is None:
+            state = self.numbers[key] = len(self.states)
+            self.states.append(places)
+            self.steps.append({})
+            ends = [(e, self.ends[n]) for (n, wait), e in places.items() if not wait and n in self.ends and 0 < e <= allowed(self.ends[n])]
+            self.accepts.append(min(ends, default=None))
+        return state
+
+    def step(self, state: int, c: str) -> int:
+        after: dict[Place, int] = {}
+
+        def reach(node: int, wait: str, edits: int) -> None:
+            if edits <= self.most[node] and edits < after.get((node, wait), 9):
+                after[node, wait] = edits
+
+        for (node, wait), edits in self.states[state].items():
+            if wait:
+                if wait == c:
+                    reach(node, "", edits)
+                continue
+            reach(node, "", edits + 1)
+            for x, child in self.children[node].items():
+                reach(child, "", edits + (x != c))
+                if x != c and (swapped := self.children[child].get(c)) is not None:
+                    reach(swapped, x, edits + 1)
+        to = self.steps[state][c] = self.number(after)
+        return to
+
+    def nearest(self, word: str) -> tuple[int, str] | None:
+        """Edits to the nearest entry that allows them, 1 or 2, and that entry, the first by alphabet of several."""
+        if len(self.states) > MOST_STATES:
+            self.restart()
+        state = self.start
+        for c in word:
+            to = self.steps[state].get(c)
+            state = self.step(state, c) if to is None else to
+            if state < 0:
+                return None
+        return self.accepts[state]
 
 
 Hit = tuple[int, tuple[str, str], bool]
-#: Densities of stems: a single one, or by powers of two in a thousand words.
-DENSITIES = ("one", *map(str, range(8)))
 
 
-def density(found: list[Hit], n_words: int) -> str | None:
-    """How dense the stems of a text are; quoted ones count less."""
-    n = sum(QUOTED if quoted else 1 for _, k, quoted in found if k[0] == "stem")
-    if not n:
-        return None
-    return "one" if n < 2 else str(min(max(int(math.log2(1000 * n / n_words)), 0), 7))
+def density_of(weight: float, n_hits: int, n_words: int) -> int:
+    """The class of density of hits of this total rate: 0 for none or one, then by powers of two in a thousand words."""
+    if n_hits < 2 or weight <= 0:
+        return 0
+    return 1 + min(max(int(math.log2(1000 * weight / n_words)), 0), DENSITIES - 2)
 
 
 def hits(text: str, lexicon: Lexicon) -> tuple[list[Hit], int]:
@@ -191,16 +245,18 @@ def hits(text: str, lexicon: Lexicon) -> tuple[list[Hit], int]:
 
 
 def score(found: list[Hit], n_words: int, lexicon: Lexicon) -> float:
-    """From 0 to 1: the strongest hit's evidence in its context over that of a text without one."""
+    """From 0 to 1: the strongest hit's evidence in its context, or that of all hits by density, over that of a text without one."""
     start = math.log(lexicon.base / (1 - lexicon.base))
     if not found:
         return 1 / (1 + math.exp(-start))
-    evidence = [lexicon.weights.get(k, 0.0) * (QUOTED if quoted else 1) for _, k, quoted in found if k[0] != "stem"]
-    evidence.append(lexicon.weights.get(("stem", density(found, n_words) or ""), 0.0))
+    evidence = [lexicon.weights.get(k, 0.0) * (QUOTED if quoted else 1) for _, k, quoted in found]
+    weight = sum(lexicon.rates.get(k, 0.0) * (QUOTED if quoted else 1) for _, k, quoted in found)
+    if dense := density_of(weight, len(found), n_words):
+        evidence.append(lexicon.dense[dense] if lexicon.dense else 0.0)
     places = [i for i, _, _ in found]
     around = max(sum(abs(i - j) <= CONTEXT for j in places[max(0, n - CONTEXT) : n + CONTEXT + 1]) - 1 for n, i in enumerate(places))
     top = max(evidence)
-    total = start + top + (0.1 * math.log1p(around) + 0.05 * math.log1p(len(found)) if top > 0 else 0)
+    total = start + top + (0.1 * math.log1p(around) if top > 0 else 0)
     return 1 / (1 + math.exp(-total))
 
 
@@ -233,70 +289,79 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     marked = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).alias("toxic"))
     rows = documents.select(key, text_or_empty(text).alias("whole")).join(marked, key)
     # Toxic and clean texts are told apart, so that no copy hides one of the other kind.
-    words = rows.join(without_copies(rows, key), key, "left_semi").select("toxic", F.explode(F.array_distinct(F.split(F.lower("whole"), r"[^\p{L}\p{N}]+"))).alias("word")).filter(F.length("word") > 2)
+    rows = stored(rows.join(without_copies(rows, key), key, "left_semi").select("toxic", "whole"), "labelled-texts")
+    words = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("whole"), r"[^\p{L}\p{N}]+"))).alias("word")).filter(F.length("word") > 2)
     tally = (F.sum(F.col("toxic").cast("long")).alias("bad"), F.sum((1 - F.col("toxic")).cast("long")).alias("good"))
-    by_word = words.groupBy("word").agg(*tally).persist()
-    try:
-        texts = marked.agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).first()
-        tried = by_word.count()
-        if not texts["bad"] or texts["bad"] == texts["n"]:
-            return Lexicon({}, {})
-        prior = texts["bad"] / texts["n"]
-        cut = F.transform(F.sequence(F.lit(STEMS[0]), F.least(F.lit(STEMS[1]), F.length("word"))), lambda n: F.substring("word", 1, n))
-        stems = by_word.filter(F.length("word") >= STEMS[0]).select(F.explode(cut).alias("word"), "bad", "good", F.col("word").alias("whole"))
-        by_stem = stems.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.max("bad").alias("most"), F.approx_count_distinct(F.when(F.col("bad") > 0, F.col("whole"))).alias("forms"))
-
-        def telling(df: DataFrame, share: float) -> list:
-            sure = df.filter((F.col("bad") > 2) & (F.col("bad") >= share * (F.col("bad") + F.col("good")))).withColumn("nats", surprise("bad", "good", prior, tried))
-            return sure.filter(F.col("nats") > SURPRISE).orderBy(F.desc("nats"), F.length("word"), "word").limit(MOST_ENTRIES).collect()
-
-        # Both lists are bounded by MOST_ENTRIES words.
-        found = {r["word"]: r["bad"] for r in telling(by_word, SHARE)}
-        begins: dict[str, int] = {}
-        for r in telling(by_stem.filter((F.col("forms") >= STEM_FORMS) & (F.col("most") <= ONE_FORM * F.col("bad"))), STEM_SHARE):
-            # Of beginnings of each other, the most telling counts.
-            if not any(r["word"][:n] in begins for n in range(1, len(r["word"]) + 1)) and not any(b.startswith(r["word"]) for b in begins):
-                begins[r["word"]] = r["bad"]
-    finally:
-        by_word.unpersist()
-    lexicon = Lexicon({w: n for w, n in found.items() if not any(w.startswith(s) for s in begins)}, begins)
-    return weighed(rows, lexicon)
+    by_word = stored(words.groupBy("word").agg(*tally), "labelled-words")
+    texts = rows.agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).first()
+    if not texts["bad"] or texts["bad"] == texts["n"]:
+        discard(rows, by_word)
+        return Lexicon({})
+    sure = by_word.filter((F.col("bad") > 2) & (F.col("bad") >= SHARE * (F.col("bad") + F.col("good")))).withColumn("nats", surprise("bad", "good", texts["bad"] / texts["n"], by_word.count()))
+    # Bounded by MOST_ENTRIES words.
+    found = sure.filter(F.col("nats") > SURPRISE).orderBy(F.desc("nats"), "word").limit(MOST_ENTRIES).collect()
+    lexicon = weighed(rows, Lexicon({r["word"]: (r["bad"] / (r["bad"] + r["good"]), r["bad"]) for r in found}))
+    discard(rows, by_word)
+    return lexicon
 
 
-def weighed(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
-    """The lexicon with the log odds of each open hit, over those of texts without a hit.
+def cautious(share: float, n: float) -> float:
+    """The least share that so many texts with this one are compatible with (Wilson's bound)."""
+    z = CAUTION
+    return (share + z * z / (2 * n) - z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
-    An entry whose near misses stand in clean texts as well gets little for them, so ordinary
-    words that look like an entry do no harm.
-    """
 
-    @F.pandas_udf("array<struct<kind: string, entry: string>>")
-    def kinds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def weighed(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
+    """The lexicon with what its hits are worth, learned from labelled texts (toxic, whole)."""
+
+    @F.pandas_udf("struct<n_words: long, hits: array<struct<kind: string, entry: string, open: int, quoted: int>>>")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([signs(*hits(t, lexicon)) for t in texts], dtype=object)
-
-    def signs(found: list[Hit], n_words: int) -> list[tuple[str, str]]:
-        open_ = {k for _, k, quoted in found if not quoted and k[0] != "stem"}
-        dense = density(found, n_words)
-        return sorted(open_ | ({("stem", dense)} if dense else set())) or [("", "")]
-
-    found = rows.select("toxic", F.explode(kinds("whole")).alias("hit"))
-    counts = found.groupBy("hit").agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.count("*").alias("n")).collect()
-    seen = {(r["hit"]["kind"], r["hit"]["entry"]): (r["bad"], r["n"]) for r in counts}
-    bad, n = seen.get(("", ""), (0, 0))
-    base = (bad + 0.1) / (n + 10)
+            sizes, all_hits = [], []
+            for t in texts:
+                found, n_words = hits(t, lexicon)
+                open_, quoted = (Counter(k for _, k, q in found if q == side) for side in (False, True))
+                sizes.append(n_words)
+                all_hits.append([(*k, open_[k], quoted[k]) for k in sorted(open_ | quoted)])
+            yield pd.DataFrame({"n_words": sizes, "hits": all_hits})
+
+    seen = stored(rows.select("toxic", F.monotonically_increasing_id().alias("text"), counted("whole").alias("x")).select("toxic", "text", "x.n_words", "x.hits"), "labelled-hits")
+    of_texts = {r["toxic"]: r for r in seen.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.sum((F.size("hits") == 0).cast("long")).alias("none")).collect()}
+    each = seen.select("toxic", "text", "n_words", F.explode("hits").alias("h"))
+    open_hits = each.filter("h.open > 0").groupBy("h.kind", "h.entry").agg(
+        F.sum(F.col("toxic").cast("long")).alias("bad"), F.count("*").alias("n"),
+        F.sum(F.col("h.open") * F.col("toxic")).alias("bad_times"), F.sum(F.col("h.open") * (1 - F.col("toxic"))).alias("good_times"),
+    )
+    # At most three kinds for each entry.
+    counts = {(r["kind"], r["entry"]): r for r in open_hits.collect()}
     odds = lambda p: math.log(p / (1 - p))
-    weights = {}
-    # Hits that were seen little lean on a belief that they are mostly toxic; for misspellings it
-    # is weaker the less the entry itself was seen.
-    for kind, belief, doubt in zip(KINDS, (0.95, 0.95, 0.9, 0.85), (0, 0, 4, 6), strict=True):
-        for entry, texts in lexicon.words.items() if kind != "stem" else ():
-            bad, n = seen.get((kind, entry), (0, 0))
-            weights[kind, entry] = odds(min((bad + 4 * belief * texts / (texts + doubt)) / (n + 4), 0.999)) - odds(base)
-    for dense in DENSITIES:
-        bad, n = seen.get(("stem", dense), (0, 0))
-        weights["stem", dense] = odds(min((bad + 1) / (n + 2), 0.999)) - odds(base)
-    return Lexicon(lexicon.words, lexicon.stems, weights, base)
+    base = (of_texts[1]["none"] + 0.1) / (of_texts[1]["none"] + of_texts[0]["none"] + 10)
+    weights, rates = {}, {}
+    for kind, belief, doubt in zip(KINDS, BELIEF, DOUBT, strict=True):
+        for entry, (share, texts) in lexicon.words.items():
+            r = counts.get((kind, entry))
+            bad, n = (r["bad"], r["n"]) if r else (0, 0)
+            # Hits that were seen little lean on what the entry itself is; the less so the less that was seen.
+            toxic = (bad + 4 * belief * share * texts / (texts + doubt)) / (n + 4)
+            weights[kind, entry] = odds(min(max(cautious(toxic, max(n, texts / 2)), 0.001), 0.999)) - odds(base)
+            if r:
+                rate = math.log((r["bad_times"] + 0.3) / of_texts[1]["words"]) - math.log((r["good_times"] + 0.3) / of_texts[0]["words"])
+                rates[kind, entry] = max(0.0, rate)
+    # Three rows for each entry at most.
+    rated = rows.sparkSession.createDataFrame([(*k, r) for k, r in rates.items()] or [("", "", 0.0)], "kind string, entry string, rate double")
+    worth = each.select("toxic", "text", "n_words", "h.*").join(F.broadcast(rated), ["kind", "entry"], "left").withColumn("weight", F.coalesce("rate", F.lit(0.0)) * (F.col("open") + QUOTED * F.col("quoted")))
+    dense = worth.groupBy("toxic", "text", "n_words").agg(F.sum("weight").alias("weight"), F.sum(F.col("open") + F.col("quoted")).alias("n_hits")).filter("n_hits > 1 and weight > 0")
+    power = F.greatest(F.floor(F.log2(1000 * F.col("weight") / F.col("n_words"))), F.lit(0))
+    counted_classes = dense.groupBy((1 + F.least(power, F.lit(DENSITIES - 2))).alias("density"), "toxic").count().collect()
+    by_class = {(r["density"], r["toxic"]): r["count"] for r in counted_classes}
+    levels = []
+    for k in range(DENSITIES):
+        # A class has at least the evidence of the one below.
+        bad, good = by_class.get((k, 1), 0), by_class.get((k, 0), 0)
+        own = odds(min((bad + 0.5) / (bad + good + 2), 0.999)) - odds(base)
+        levels.append(max([own, *levels[-1:]]) if k else 0.0)
+    discard(seen)
+    return Lexicon(lexicon.words, weights, rates, levels, base)
 
 
 def score_toxicity(documents: DataFrame, lexicon: Lexicon, threshold: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
