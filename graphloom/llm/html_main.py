@@ -1,12 +1,20 @@
 """Main text of web pages, with site templates removed.
 
-Element subtrees outside the article's prose are hashed in every page and counted per host in
-Spark; subtrees that recur across many pages of a host are its template and are deleted, as are
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
-What is left of the article (``article``, else ``main``, else ``body``) is its main text.
-
-Null or empty html gives the empty text. A page without a host has the empty host. Markup may
-be unclosed or ill nested. Repeated pages are extracted one by one.
+Element subtrees are hashed in every page, bottom up, and counted per host in Spark, over different
+pages: copies of one page count once. Subtrees that recur across many pages of a host are its template
+and are deleted. So are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments, by their tags or by a word of their class, id or role that names them whole
+(``sidebar``, ``site-footer``, ``comment-list``; not ``with-sidebar`` or ``share-price``). What is left
+of the article (``article``, else ``main``, else ``body``) is its main text.
+
+Prose inside an article (paragraphs, headings, lists, tables and the like) is never a template, nor is
+a subtree with a quarter or more of an article's text, or most of a page's that has no article. Where
+names of classes would leave nothing, they are not heeded.
+
+Null or empty html gives the empty text. A page without a host has the empty host. Markup may be
+unclosed, ill nested and of any depth. Repeated pages are extracted one by one, ties can't arise, and
+null keys stay null. Columns other than key, url and html are ignored, whatever their names. A page is
+held by one task, however long. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,25 +22,33 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import require
+from graphloom.llm.common import require, stored
 
-#: A subtree is a template if so many pages of the host, and so large a share of them, have it.
+#: A subtree is a template if so many different pages of the host, and so large a share of them, have it.
 #: The share also bounds a host's templates: at most 1 / MIN_SHARE times a page's subtrees.
-MIN_PAGES, MIN_SHARE = 8, 0.1
+MIN_PAGES, MIN_SHARE = 8, 0.05
+#: The share of an article's text, or of a page's without article, from which a subtree is no template.
+MOST_OF_ARTICLE, MOST_OF_PAGE = 0.25, 0.8
+#: Hashes of templates up to which they are broadcast (8 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 # Element kinds of the HTML standard, and names that sites use for page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style".split())
+RAW = frozenset("script style textarea title".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure table ul ol dl".split())
-DROPPED = frozenset("applet aside audio button canvas datalist dialog embed fieldset footer form frame frameset head header iframe input label map math menu nav noscript object optgroup option script select style svg template textarea title video".split())
-FURNITURE = frozenset("ad ads adbox advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer disqus footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion recommended related replies respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table ul ol dl".split())
+PARTS = frozenset("caption dd dt legend li option tbody td tfoot th thead tr".split())
+DROPPED = frozenset("applet aside audio button datalist dialog embed fieldset footer form frame frameset head header iframe input menu nav noscript optgroup option script select style svg template textarea title video".split())
+NAMES = frozenset("ad ads adbox advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer disqus footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion recommended related replies respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+HOLDERS = frozenset("area bar block bottom box btn button buttons container content form group holder icons inner item items left link links list message msg notice outer overlay panel posts right row section slot thread top unit wrap wrapper zone".split())
+SITE = frozenset("bottom global main mobile page post primary secondary site top user reader".split())
 CLOSES = {
     "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}),
     "option": frozenset({"option"}), "tbody": frozenset({"thead", "tbody", "tr", "td", "th"}), "tfoot": frozenset({"tbody", "tr", "td", "th"}),
@@ -40,100 +56,137 @@ CLOSES = {
 ENDS_P = BLOCKS - frozenset("body caption head html legend option tbody td tfoot th thead title tr".split())
 SCOPES = frozenset("article body div html main section table td th ul ol dl aside nav header footer form blockquote".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+", re.S)
+_CARELESS = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^<>]*)(?:>|(?=<)|\Z)|<", re.S)  # quotes that don't close
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_CUT = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
-    __slots__ = ("tag", "start", "end", "children", "furniture", "holds_main")
+    """``size`` counts the characters of text outside dropped elements; ``digest`` stands for the whole subtree."""
+
+    __slots__ = ("tag", "start", "children", "named", "holds_main", "size", "digest")
+
+    def __init__(self, tag: str, start: str, named: bool) -> None:
+        self.tag, self.start, self.children, self.named, self.holds_main, self.size, self.digest = tag, start, [], named, False, 0, b""
 
-    def __init__(self, tag: str, start: int, furniture: bool) -> None:
-        self.tag, self.start, self.end, self.children, self.furniture, self.holds_main = tag, start, 0, [], furniture, False
+    def finish(self) -> None:
+        """Size and digest, from those of the children."""
+        told = hashlib.blake2b(" ".join(self.start.split()).encode("utf-8", "surrogatepass"), digest_size=8)
+        for child in self.children:
+            if isinstance(child, str):
+                text = " ".join(child.split())
+                self.size += len(text)
+                told.update(b"\0" + text.encode("utf-8", "surrogatepass") if text else b"")
+            else:
+                self.size += 0 if child.tag in DROPPED else child.size
+                told.update(b"\1" + child.digest)
+        self.digest = told.digest()
+
+    @property
+    def number(self) -> int:
+        return int.from_bytes(self.digest, "little", signed=True)
+
+
+def names_furniture(token: str) -> bool:
+    """Whether one word of a class, id or role names page furniture as a whole."""
+    parts = [p.lower() for p in _CUT.split(token) if p]
+    if len(parts) == 1:
+        return parts[0] in NAMES
+    if len(parts) != 2:
+        return False
+    first, last = parts
+    return first in NAMES and (last in HOLDERS or last in NAMES or last.isdigit()) or last in NAMES and first in SITE
 
 
-def _is_furniture(attributes: str) -> bool:
+def _is_named(attributes: str) -> bool:
     if "=" not in attributes:
         return False
-    return any(w in FURNITURE for m in _NAMED.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
+    return any(names_furniture(w) for m in _NAMED.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").split())
 
 
 def parse(page: str) -> Element:
     """The tree of a page: children are elements and texts; unclosed elements end with their parent."""
-    root = Element("#root", 0, False)
-    stack, at, size = [root], 0, len(page)
+    root = Element("#root", "", False)
+    stack, open_, at, size = [root], Counter(), 0, len(page)
 
-    def close(depth: int, end: int) -> None:
+    def close(depth: int) -> None:
         while len(stack) > depth:
-            stack.pop().end = end
+            element = stack.pop()
+            open_[element.tag] -= 1
+            element.finish()
 
     while at < size:
-        m = _TOKEN.match(page, at)
+        m = _TOKEN.match(page, at) or _CARELESS.match(page, at)
         start, at = at, m.end()
-        tag = m[2]
+        tag = m[2] if m.re.groups else None
         if tag is None:
             if page[start] != "<" or at - start == 1:
                 stack[-1].children.append(m[0])
             continue
         tag = tag.lower()
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[depth].tag == tag:
-                    close(depth, at)
+                    close(depth)
                     break
                 if tag not in BLOCKS and stack[depth].tag in SCOPES:
                     break
             continue
         closing = CLOSES.get(tag)
-        if closing or tag in ENDS_P:
+        if closing and any(open_[x] for x in closing) or not closing and tag in ENDS_P and open_["p"]:
             for depth in range(len(stack) - 1, 0, -1):
                 name = stack[depth].tag
                 if name in closing if closing else name == "p":
-                    close(depth, start)
+                    close(depth)
                     if not closing or tag in ("li", "option", "dt", "dd", "td", "th"):
                         break
                 elif name in SCOPES:
                     break
-        element = Element(tag, start, tag in DROPPED or _is_furniture(m[3]))
+        element = Element(tag, m[0], tag not in ("html", "body", "main") and _is_named(m[3]))
         stack[-1].children.append(element)
         if tag in ("article", "main"):
-            for above in stack:
+            for above in reversed(stack):
+                if above.holds_main:
+                    break
                 above.holds_main = True
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(page, at)
+            element.children.append(page[at : end.start() if end else size])
             at = end.start() if end else size
+            open_[tag] += 1
             stack.append(element)
         elif tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
-            element.end = at
+            element.finish()
         else:
+            open_[tag] += 1
             stack.append(element)
-    close(0, size)
+    close(1)
+    root.finish()
     return root
 
 
-def subtree_hash(page: str, element: Element) -> int:
-    content = " ".join(page[element.start : element.end].split()).encode("utf-8", "surrogatepass")
-    return int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
+def _may_recur(element: Element, inside: int, whole: int) -> bool:
+    """Whether a subtree can be a template; ``inside``: size of the article around it, if any, ``whole``: of the page."""
+    if element.holds_main or element.tag not in BLOCKS or element.tag in PARTS or element.tag in ("html", "head", "body", "article", "main"):
+        return False
+    if inside:
+        return element.tag not in PROSE and element.size < MOST_OF_ARTICLE * inside
+    return element.size < MOST_OF_PAGE * whole
 
 
 def candidates(page: str) -> set[int]:
-    """Hashes of the subtrees that can be a template: blocks that hold no article and are no prose of one."""
+    """Hashes of the subtrees that can be a template of the site."""
     out: set[int] = set()
-
-    def walk(element: Element, inside: bool) -> None:
+    root = parse(page)
+    waiting = [(root, 0)]
+    while waiting:
+        element, inside = waiting.pop()
         for child in element.children:
-            if isinstance(child, str) or child.tag in ("html", "head", "body"):
-                if not isinstance(child, str) and child.tag != "head":
-                    walk(child, inside)
-                continue
-            if inside and child.tag in PROSE:
-                continue
-            main = child.tag in ("article", "main")
-            if not child.holds_main and not main and child.tag in BLOCKS:
-                out.add(subtree_hash(page, child))
-            walk(child, inside or main)
-
-    walk(parse(page), False)
+            if not isinstance(child, str) and child.tag not in DROPPED:
+                if _may_recur(child, inside, root.size):
+                    out.add(child.number)
+                waiting.append((child, child.size if child.tag in ("article", "main") and not inside else inside))
     return out
 
 
@@ -142,23 +195,28 @@ def main_text(page: str | None, templates: set[int]) -> str:
     if not page:
         return ""
     root = parse(page)
+    return _text(root, templates, True) or _text(root, templates, False)
 
-    def dropped(e: Element, inside: bool) -> bool:
-        if e.holds_main or e.tag in ("html", "body", "main"):
-            return False
-        if e.furniture:
-            return True
-        return bool(templates) and e.tag in BLOCKS and e.tag != "article" and not (inside and e.tag in PROSE) and subtree_hash(page, e) in templates
 
-    def regions(e: Element, tag: str) -> Iterator[Element]:
-        for child in e.children:
-            if not isinstance(child, str) and not dropped(child, False):
-                if child.tag == tag:
-                    yield child
-                else:
-                    yield from regions(child, tag)
+def _text(root: Element, templates: set[int], by_name: bool) -> str:
+    def dropped(e: Element, inside: int) -> bool:
+        if e.tag in DROPPED and not e.holds_main:
+            return True
+        if by_name and e.named and not e.holds_main:
+            return True
+        return bool(templates) and _may_recur(e, inside, root.size) and e.number in templates
+
+    def regions(tag: str) -> list[Element]:
+        """The outermost elements of this kind."""
+        out, waiting = [], [root]
+        while waiting:
+            element = waiting.pop()
+            if element.tag == tag:
+                out.append(element)
+            else:
+                waiting += [c for c in reversed(element.children) if not isinstance(c, str) and not dropped(c, 0)]
+        return out
 
-    found = [*regions(root, "article")] or [*regions(root, "main")] or [root]
     blocks: list[str] = []
     words: list[str] = []
 
@@ -167,22 +225,24 @@ def main_text(page: str | None, templates: set[int]) -> str:
             blocks.append(text)
         words.clear()
 
-    def gather(e: Element, inside: bool) -> None:
-        for child in e.children:
-            if isinstance(child, str):
+    for region in regions("article") or regions("main") or [root]:
+        inside = 0 if region is root else region.size
+        path = [(region, iter(region.children))]
+        while path:
+            element, children = path[-1]
+            child = next(children, None)
+            if child is None:
+                path.pop()
+                if element.tag in BLOCKS:
+                    flush()
+            elif isinstance(child, str):
                 words.append(child)
             elif child.tag == "br":
                 words.append(" ")
             elif not dropped(child, inside):
-                block = child.tag in BLOCKS
-                if block:
+                if child.tag in BLOCKS:
                     flush()
-                gather(child, inside)
-                if block:
-                    flush()
-
-    for region in found:
-        gather(region, region is not root)
+                path.append((child, iter(child.children)))
         flush()
     return "\n\n".join(blocks)
 
@@ -192,7 +252,7 @@ def host_of(url: str) -> F.Column:
 
 
 def site_templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """host, hashes of the subtrees that recur across its pages."""
+    """host, hashes of the subtrees that recur across its different pages; a stored table."""
 
     @F.pandas_udf("array<long>")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -201,10 +261,12 @@ def site_templates(pages: DataFrame, url: str = "url", page: str = "html") -> Da
 
     hosts = pages.select(host_of(url).alias("host"), F.coalesce(F.col(page), F.lit("")).alias("page"))
     # The null hash counts the pages themselves, in the same aggregation.
-    counted = hosts.select("host", F.explode(F.array_append(hashed("page"), F.lit(None).cast("long"))).alias("hash")).groupBy("host", "hash").count()
-    pages_of = counted.filter(F.col("hash").isNull()).select("host", F.col("count").alias("pages"))
-    often = counted.filter(F.col("hash").isNotNull() & (F.col("count") >= MIN_PAGES)).join(pages_of, "host").filter(F.col("count") >= MIN_SHARE * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("hash").alias("templates"))
+    seen = hosts.select("host", F.xxhash64("page").alias("of"), F.explode(F.array_append(hashed("page"), F.lit(None).cast("long"))).alias("hash"))
+    counted = seen.distinct().groupBy("host", "hash").count()
+    often = stored(counted.filter(F.col("hash").isNull() | (F.col("count") >= MIN_PAGES)), "recurring-subtrees")
+    pages_of = often.filter(F.col("hash").isNull()).select("host", F.col("count").alias("pages"))
+    templates = often.filter(F.col("hash").isNotNull()).join(pages_of, "host").filter(F.col("count") >= MIN_SHARE * F.col("pages"))
+    return stored(templates.groupBy("host").agg(F.collect_list("hash").alias("templates")), "site-templates")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -216,7 +278,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
         for texts, templates in batches:
             yield pd.Series([main_text(t, set() if h is None else set(h)) for t, h in zip(texts, templates, strict=True)], dtype=object)
 
+    templates = site_templates(pages, url, page).withColumnRenamed("host", "_host")
+    hashes = templates.agg(F.coalesce(F.sum(F.size("templates")), F.lit(0))).first()[0]
     rows = pages.select(key, url, page, host_of(url).alias("_host"))
-    joined = rows.join(site_templates(pages, url, page).withColumnRenamed("host", "_host"), "_host", "left")
+    # Beyond the bound both sides are plain exchanges, so Spark splits a hot host.
+    joined = rows.join(F.broadcast(templates) if hashes <= MOST_BROADCAST else templates, "_host", "left")
     out = joined.select(key, url, extracted(F.col(page), F.col("templates")).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
