@@ -5,8 +5,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from graphloom.llm.near_dedup import inverse_frequencies, near_duplicates, similarity, weighted_samples, weighted_shingles
-from graphloom.llm.suffix_dedup import LENGTH, repeated_starts, without_repeats
+from graphloom.llm.near_dedup import inverse_frequencies, near_duplicates, similarity, weighted_samples, weighted_shingles, without_near_duplicates
+from graphloom.llm.suffix_dedup import LENGTH, repeated_starts, transform, without_repeats
 
 
 def changed(words, text, n, rng):
@@ -125,7 +125,7 @@ def test_anchor_of_very_many_contexts_is_counted_whole(make, words, monkeypatch)
     assert digest(without_repeats(make(pairs)).collect()) == brute(pairs)
 
 
-def test_interleave_refinement_equals_counting():
+def test_merged_transforms_equal_counting():
     rng = random.Random(6)
     contexts, groups, before = [], [], []
     core = bytes(rng.choices(b"abcd", k=220))
@@ -133,10 +133,59 @@ def test_interleave_refinement_equals_counting():
         contexts.append(bytes(rng.choices(b"ab", k=20)) + core[: rng.randint(150, 220)] + bytes(rng.choices(b"ab", k=60)))
         groups.append(i // 10)
         before.append(100)
-    found = repeated_starts(np.array(groups), contexts, np.array(before))
+    found = repeated_starts(np.array(groups), contexts, np.array(before), np.array([rng.randrange(4) for _ in contexts]))
     counts = defaultdict(Counter)
     for g, c in zip(groups, contexts):
         counts[g].update({c[i : i + LENGTH] for i in range(len(c) - LENGTH + 1)})
     for g, c, flags in zip(groups, contexts, found):
         # Equal strings of a group stand at equal distances from the anchor.
         assert [counts[g][c[i : i + LENGTH]] > 1 for i in range(len(flags))] == flags.tolist()
+
+
+def test_shards_are_transforms_that_merge():
+    """A shard's columns are the symbols before its sorted suffixes; one shard alone gives what several give."""
+    rng = random.Random(9)
+    contexts = [bytes(rng.choices(b"ab", k=368)) for _ in range(12)]
+    table = np.array([list(c) for c in contexts], np.uint16)
+    symbols, _ = transform(np.zeros(len(contexts), np.int64), np.ascontiguousarray(table.T))
+    for column in (367, 200, 1):
+        order = sorted(range(len(contexts)), key=lambda i: contexts[i][column + 1 :])
+        assert symbols[column].tolist() == [contexts[i][column] for i in order]
+
+
+def test_anchors_of_stretches_are_those_of_the_whole(monkeypatch):
+    from graphloom.llm import suffix_dedup
+
+    content = bytes(random.Random(10).choices(b"abcdefgh ", k=5000))
+    covered = lambda found: {(k, p, i) for k, p, first, last in zip(*map(list, found), strict=True) for i in range(first, last + 1)}
+    whole = covered(suffix_dedup.anchors(content))
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 700)
+    assert covered(suffix_dedup.anchors(content)) == whole
+
+
+def test_rows_of_one_id_and_unlike_texts_keep_their_classes(make, words):
+    rng = random.Random(11)
+    a, b, c = (" ".join(rng.choices(words, k=90)) for _ in range(3))
+    near = changed(words, a, 1, rng)
+    rows = near_duplicates(make([(1, a), (1, b), (2, near), (3, b), (4, c), (None, c), (None, "no other"), (2**60 + 1, near)])).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in rows), key=repr) == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (None, 4), (None, None), (2**60 + 1, 1)], key=repr)
+    kept = without_near_duplicates(make([(1, a), (1, b), (1, b), (2, near), (3, b), (None, c), (5, c), (None, "no other"), (None, "no other")])).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, a), (1, b), (5, c), (None, "no other")], key=repr)
+
+
+def test_texts_without_partner_go_before_their_pairs_are_met(make, words):
+    """A large group whose texts differ by many words of their own, and a few that differ by one: equal to brute force."""
+    rng = random.Random(12)
+    base = " ".join(rng.choices(words, k=150))
+    texts = [changed(words, base, rng.choice([0, 1, 2, 3, 4, 6, 9]), rng) for _ in range(160)]
+    documents = make(enumerate(texts))
+    idf = inverse_frequencies(documents, "text")
+    sets = [weighted_shingles(t, idf) for t in texts]
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(label[:], 2):
+        if label[i] != label[j] and similarity(sets[i], sets[j]) >= 0.8:
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+    assert len(set(label)) > 20
+    found = {r.doc_id: r.class_id for r in near_duplicates(documents).collect()}
+    assert [found[i] for i in range(len(texts))] == label
