@@ -9,12 +9,13 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import shared_folder, table
 from graphloom.llm.mixing import mix
-from graphloom.llm.near_dedup import near_duplicates
+from graphloom.llm.near_dedup import without_near_duplicates
 from graphloom.llm.packing import pack
 from graphloom.llm.quality_rules import keep, learn
 from graphloom.llm.suffix_dedup import removal
@@ -26,13 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates: the one of smallest doc_id."""
-    classes = near_duplicates(docs)
-    first = classes.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    # A row without an id can't be told from its like; it stays.
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """One row of each class of near duplicates: the one of smallest doc_id. Rows of one doc_id but unlike texts all stay."""
+    return without_near_duplicates(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +44,19 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
 
 
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """The rows of a written table, partitioned and sorted as they were written: by number of file, then by row."""
+    number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    try:
+        numbered = docs.select(F.struct(*docs.columns).alias("row"), number.alias("file"), F.col("_metadata.row_index").alias("at"))
+    except AnalysisException:
+        return docs  # not read from files: as it comes
+    return numbered.repartitionByRange("file", "at").sortWithinPartitions("file", "at").select("row.*")
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 ids, with the ids."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 1)
+    """Pieces of sequences of at most 2048 ids, with the ids, in the order of mixing: sequence_id rises with it from group to group."""
+    return pack(in_written_order(docs), public_tokenizers.path("word_bpe_49k.json"), 2048, 1)
 
 
 STAGES = [("quality rules", quality), ("near duplicates", near_dedup), ("repeated passages", repeats), ("mixing", mixing), ("packing", packing)]
