@@ -7,8 +7,10 @@ source is ever a whole block away from its target, however many blocks or source
 one runs out, slots are counted anew for those that are left, so no row is dropped; a source of
 weight 0 follows after all others. One task works the slots out and holds one block of each source.
 
-A null source is a source of its own. Rows are ordered within a source by a hash of the key, so
-repeated rows and ties have a defined order among equals. An empty table gives no rows.
+Blocks are counted in rows, not in bytes or tokens. A null source is a source of its own. Rows are ordered
+within a source by a hash of the key, then by the key, with a null key as good as any, so equal rows may
+change places, but nothing else. Null, empty and long texts are carried along unread. Columns may have any
+names; those called as one of the four results are replaced by it. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,38 +31,9 @@ from graphloom.llm.common import require
 SLOTS_TOGETHER = 10_000
 #: Rows of a source that are ranked together in one task.
 RANKED_TOGETHER = 4096
-
-
-def shares(weights: dict[str, float], period: int = 1000) -> dict[str, int]:
-    """Integer shares of a period, by largest remainders, at least one each."""
-    total = sum(weights.values())
-    period = max(period, len(weights))
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def period_of(share: dict[str, int]) -> list[tuple[str, int]]:
-    """(source, block) for each slot of one period, earliest deadline first among released blocks."""
-    slots = sum(share.values())
-    weight = {s: Fraction(n, slots) for s, n in share.items() if n}
-    release = lambda s, i: int(i / weight[s])
-    due = lambda s, i: -int(-(i + 1) / weight[s] // 1)
-    waiting = [(0, s, 0) for s in sorted(weight)]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, str, int]] = []
-    out = []
-    for slot in range(slots):
-        while waiting and waiting[0][0] <= slot:
-            _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (due(s, i), release(s, i + 1), s, i))
-        _, _, s, i = heapq.heappop(ready)
-        out.append((s, i))
-        if i + 1 < share[s]:
-            heapq.heappush(waiting, (release(s, i + 1), s, i + 1))
-    return out
+#: Sources up to which what is known of each is broadcast (a name and a number); more are joined by a shuffle.
+MOST_BROADCAST = 100_000
+RESULTS = ("mix_source", "mix_block", "mix_slot", "mix_position")
 
 
 def schedule(rows: dict[str, int], weights: dict[str, float], block_rows: int) -> Iterator[tuple[str, int, int, int]]:
@@ -102,32 +75,34 @@ def mix(documents: DataFrame, weights: dict[str, float] | None = None, temperatu
     """
     require(documents, (key, source))
     spark = documents.sparkSession
-    named = documents.withColumn("mix_source", F.coalesce(F.col(source).cast("string"), F.lit("\0null")))
+    row, own = F.struct(*documents.columns).alias("row"), [F.col("row")[c].alias(c) for c in documents.columns if c not in RESULTS]
+    named = documents.select(row, F.coalesce(F.col(source).cast("string"), F.lit("\0null")).alias("mix_source"), F.col(key).alias("key"), F.xxhash64(key).alias("hash"))
     rows = dict(named.groupBy("mix_source").count().collect())
     if not rows:
-        return named.select("*", *(F.lit(None).cast("long").alias(c) for c in ("mix_block", "mix_slot", "mix_position")))
+        return named.select(*own, "mix_source", *(F.lit(None).cast("long").alias(c) for c in RESULTS[1:]))
     if weights is None:
         weights = {s: n**temperature for s, n in rows.items()}
     least = min(weights.values())
     weights = {s: weights.get(s, least) for s in rows}
     # A source's rows are ranked in buckets of bounded size, then offset by the buckets before.
     buckets = {s: max(1, n // RANKED_TOGETHER) for s, n in rows.items()}
-    sizes = spark.createDataFrame(list(buckets.items()), "mix_source string, mix_buckets int")
-    salted = named.join(F.broadcast(sizes), "mix_source").withColumn("mix_hash", F.xxhash64(key)).withColumn("mix_bucket", F.pmod("mix_hash", "mix_buckets").cast("int"))
-    counts = salted.groupBy("mix_source", "mix_bucket").count()
-    before = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("mix_source", "mix_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("mix_before"))
-    within = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", key)
-    ranked = salted.withColumn("mix_row", F.row_number().over(within) - 1).join(offsets, ["mix_source", "mix_bucket"])
-    ranked = ranked.withColumn("mix_row", (F.col("mix_row") + F.col("mix_before")).cast("long")).withColumn("mix_block", F.expr(f"mix_row div {block_rows}"))
+    small = F.broadcast if len(rows) <= MOST_BROADCAST else lambda df: df
+    sizes = spark.createDataFrame(list(buckets.items()), "mix_source string, buckets int")
+    salted = named.join(small(sizes), "mix_source").withColumn("bucket", F.pmod("hash", "buckets").cast("int"))
+    counts = salted.groupBy("mix_source", "bucket").count()
+    before = Window.partitionBy("mix_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("mix_source", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("mix_source", "bucket").orderBy("hash", "key")
+    ranked = salted.withColumn("nth", F.row_number().over(within) - 1).join(offsets, ["mix_source", "bucket"]).withColumn("nth", (F.col("nth") + F.col("before")).cast("long"))
+    ranked = ranked.withColumn("mix_block", F.expr(f"nth div {block_rows}"))
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _ in batches:
             slots = schedule(rows, weights, block_rows)
             while some := list(islice(slots, SLOTS_TOGETHER)):
-                yield pd.DataFrame(some, columns=["mix_source", "mix_block", "mix_slot", "mix_start"])
+                yield pd.DataFrame(some, columns=["mix_source", "mix_block", "mix_slot", "start"])
 
-    plan = spark.range(0, 1, 1, 1).mapInPandas(task, "mix_source string, mix_block long, mix_slot long, mix_start long")
+    plan = spark.range(0, 1, 1, 1).mapInPandas(task, "mix_source string, mix_block long, mix_slot long, start long")
     placed = ranked.join(plan, ["mix_source", "mix_block"])
-    position = F.col("mix_start") + F.col("mix_row") % block_rows
-    return placed.withColumn("mix_position", position.cast("long")).select(*documents.columns, "mix_source", "mix_block", "mix_slot", "mix_position")
+    position = (F.col("start") + F.col("nth") % block_rows).cast("long").alias("mix_position")
+    return placed.select(*own, "mix_source", "mix_block", "mix_slot", position)

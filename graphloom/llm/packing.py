@@ -1,16 +1,18 @@
 """Packing of tokenised documents into windows by multiway differencing.
 
-Each task cuts its rows, in order, into bounded groups. Of every document it cuts off full
-windows first; the tails of a group go to windows by Karmarkar-Karp multiway differencing:
-partial partitions with opposing imbalances are merged, the widest first, until one partition
-into near-equal windows is left. Without cutting, the number of windows rises until none is over
-capacity. With cutting, the smallest number holds: what a window has over its capacity is cut
-off and goes to windows with room, and the one window that stays open is split at powers of
-two, where a sequence needs no padding.
+Each task takes its rows in order. Of every document it cuts off full windows first; what is left, the
+tail, is cut into parts of ``PART`` ids and a shorter one. Parts are gathered into groups that fill
+``GROUP_WINDOWS`` windows but for ``SPARE`` ids each (the part at the boundary is cut there, and its
+rest opens the next group). A group's parts go to windows by Karmarkar-Karp multiway differencing:
+partial partitions with opposing imbalances are merged, the widest first, until one partition into
+near-equal windows is left. If a window is over capacity, the number of windows rises by one, and all
+is done anew. Nothing is moved or cut afterwards. Of what is read, about one percent is padding.
 
 Nothing is shuffled: groups are made of neighbouring rows, and a lost task yields the same rows
-again. Null texts are empty documents (the end id alone). Rows with equal keys are packed one by
-one. An empty table gives no rows.
+again. Null texts are empty documents (the end id alone). Rows are packed one by one, so keys may be
+equal or null; ties in length go by the order of rows. Columns other than key and text are ignored,
+whatever their names. Of a very long text, one task holds the text and its ids. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -22,17 +24,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import require
 from graphloom.llm.token_count import printable_bytes
 
-#: Documents whose tails are packed together, and ids at which a group ends early.
-GROUP_DOCS, GROUP_IDS = 256, 4_000_000
+#: The most ids of a part, the windows of a group, and the ids that each is meant to lack.
+PART, GROUP_WINDOWS, SPARE = 512, 64, 16
 #: Distinct words whose ids a Python worker remembers in each of two generations.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: The parts into which the vocabulary cuts a word.
 WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 #: Latin-1 bytes whose case, form or class two Unicode tables could see differently.
@@ -57,80 +59,20 @@ def differencing(lengths: list[int], windows: int) -> list[list[int]]:
     return heap[0][3]
 
 
-def windows_of(lengths: list[int], capacity: int, cut: bool) -> list[list[tuple[int, int, int]]]:
-    """Windows of pieces (index, start, length) for items of at most ``capacity``."""
+def windows_of(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Indices of ``lengths``, none over ``capacity``, dealt to near-equal windows within it."""
     count = max(1, -(-sum(lengths) // capacity))
     dealt = differencing(lengths, count)
-    while not cut and max(sum(lengths[i] for i in w) for w in dealt) > capacity:
+    while max(sum(lengths[i] for i in w) for w in dealt) > capacity:
         count += 1
         dealt = differencing(lengths, count)
-    filled = [[(i, 0, lengths[i]) for i in w] for w in dealt]
-    return levelled(filled, capacity) if cut else [w for w in filled if w]
-
-
-def levelled(windows: list[list[tuple[int, int, int]]], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Every window but the last full; what is over capacity, and the last window, fill the gaps."""
-    sums = [sum(p[2] for p in w) for w in windows]
-    spare: list[tuple[int, int, int]] = []
-
-    def take(w: int, amount: int) -> None:
-        sums[w] -= amount
-        while amount:
-            i, start, length = windows[w].pop()
-            part = min(length, amount)
-            spare.append((i, start + length - part, part))
-            if part < length:
-                windows[w].append((i, start, length - part))
-            amount -= part
-
-    for w, full in enumerate(sums):
-        if full > capacity:
-            take(w, full - capacity)
-    last = min(range(len(windows)), key=sums.__getitem__)
-    for w in range(len(windows)):
-        while w != last and sums[w] < capacity:
-            if not spare:
-                take(last, min(sums[last], capacity - sums[w]))
-            i, start, length = spare.pop()
-            part = min(length, capacity - sums[w])
-            windows[w].append((i, start, part))
-            sums[w] += part
-            if part < length:
-                spare.append((i, start + part, length - part))
-    windows[last] += spare
-    return [w for w in windows if w]
-
-
-def split_at_powers(window: list[tuple[int, int, int]], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """A window that is not full as sequences whose lengths are powers of two."""
-    total = sum(p[2] for p in window)
-    if total == capacity:
-        return [window]
-    out, pieces = [], window[::-1]
-    for bit in reversed(range(total.bit_length())):
-        if not total >> bit & 1:
-            continue
-        room, own = 1 << bit, []
-        while room:
-            i, start, length = pieces.pop()
-            part = min(length, room)
-            own.append((i, start, part))
-            room -= part
-            if part < length:
-                pieces.append((i, start + part, length - part))
-        out.append(own)
-    return out
-
-
-def pack_group(lengths: list[int], capacity: int, cut: bool = True) -> list[list[tuple[int, int, int]]]:
-    """Sequences of pieces (index, start, length) that hold every id of each item once."""
-    full = [[(i, start, capacity)] for i, n in enumerate(lengths) for start in range(0, n - capacity + 1, capacity)]
-    tails = [(i, n - n % capacity, n % capacity) for i, n in enumerate(lengths) if n % capacity]
-    if not tails:
-        return full
-    dealt = windows_of([n for _, _, n in tails], capacity, cut)
-    dealt = [[(tails[k][0], tails[k][1] + start, length) for k, start, length in w] for w in dealt]
-    return full + ([s for w in dealt for s in split_at_powers(w, capacity)] if cut else dealt)
+    return [w for w in dealt if w]
+
+
+def tail_parts(length: int, capacity: int) -> list[tuple[int, int]]:
+    """(start, length) of the parts of what full windows leave of a document."""
+    size = min(PART, capacity)
+    return [(start, min(size, length - start)) for start in range(length - length % capacity, length, size)]
 
 
 class WordIds:
@@ -217,50 +159,73 @@ class WordIds:
 
 
 _LIBRARIES: dict[str, WordIds] = {}
+#: Rows handed on together.
+ROWS_TOGETHER = 1000
 PIECES = "{key} {type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def pack(documents: DataFrame, vocabulary: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text", with_ids: bool = True, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(documents: DataFrame, vocabulary: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and,
     ``with_ids``, the ids themselves (little-endian unsigned 32 bit).
 
     ``sequence_id`` holds the partition in its upper bits, so it is the same if a task is run
-    again. A group ends after ``group_docs`` documents or ``GROUP_IDS`` ids, so memory is
-    bounded whatever the number of rows.
+    again, and rises with the order of rows from group to group.
     """
     require(documents, (key, text))
     end = np.array([end_id], "<u4").tobytes()
+    full_group = GROUP_WINDOWS * max(capacity - SPARE, 1)
 
-    def packed(group: list[tuple[object, bytes]], first: int) -> tuple[pd.DataFrame, int]:
-        rows = []
-        sequences = pack_group([len(ids) // 4 for _, ids in group], capacity)
-        for number, pieces in enumerate(sequences, first):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        library = _LIBRARIES.get(vocabulary) or _LIBRARIES.setdefault(vocabulary, WordIds(vocabulary))
+        sequence = TaskContext.get().partitionId() << 33
+        rows: list[tuple] = []
+        group: list[tuple[object, int, bytes, int]] = []
+        held, kind = 0, None
+
+        def put(pieces: list[tuple[object, int, bytes, int]]) -> None:
+            nonlocal sequence
             offset = 0
-            for i, start, length in pieces:
-                name, ids = group[i]
-                part = ids[4 * start : 4 * (start + length)]
-                rows.append((name, start, length, zlib.crc32(part), len(ids) // 4, number, offset, part if with_ids else None))
+            for name, start, ids, tokens in pieces:
+                length = len(ids) // 4
+                rows.append((name, start, length, zlib.crc32(ids), tokens, sequence, offset, ids if with_ids else None))
                 offset += length
-        return pd.DataFrame(rows, columns=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]), first + len(sequences)
+            sequence += 1
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+        def settle() -> None:
+            nonlocal group, held
+            for window in windows_of([len(ids) // 4 for _, _, ids, _ in group], capacity) if group else ():
+                put([group[i] for i in window])
+            group, held = [], 0
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+            rows.clear()
+            types = [kind, *[pa.int64()] * 6, pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-        library = _LIBRARIES.get(vocabulary) or _LIBRARIES.setdefault(vocabulary, WordIds(vocabulary))
-        first, group, held = TaskContext.get().partitionId() << 33, [], 0
         for batch in batches:
-            for name, content in zip(batch[key], batch[text], strict=True):
-                ids = library.ids(content) + end
-                group.append((name, ids))
-                held += len(ids) // 4
-                if len(group) >= group_docs or held >= GROUP_IDS:
-                    frame, first = packed(group, first)
-                    group, held = [], 0
-                    yield frame
-        if group:
-            yield packed(group, first)[0]
+            kind = batch.schema.field(0).type
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = library.ids(content.as_py()) + end
+                tokens = len(ids) // 4
+                for start in range(0, tokens - capacity + 1, capacity):
+                    put([(name, start, ids[4 * start : 4 * (start + capacity)], tokens)])
+                for start, length in tail_parts(tokens, capacity):
+                    while length:
+                        taken = min(length, full_group - held)
+                        group.append((name, start, ids[4 * start : 4 * (start + taken)], tokens))
+                        held, start, length = held + taken, start + taken, length - taken
+                        if held == full_group:
+                            settle()
+                if len(rows) >= ROWS_TOGETHER:
+                    yield out()
+        settle()
+        if rows:
+            yield out()
 
     schema = PIECES.format(key=f"`{key}`", type=documents.schema[key].dataType.simpleString())
     rows = documents.select(key, F.coalesce(text, F.lit("")).alias(text))
-    out = rows.mapInPandas(task, schema)
+    out = rows.mapInArrow(task, schema)
     return out if with_ids else out.drop("ids")

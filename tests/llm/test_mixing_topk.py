@@ -1,20 +1,24 @@
+from itertools import islice
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm.mixing import mix, period_of, shares
+from graphloom.llm.mixing import mix, schedule
 from graphloom.llm.topk import top_k
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 5, "b": 3, "c": 1}, {str(i): (i + 1) ** 1.5 for i in range(12)}])
+@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 5, "b": 3, "c": 1}, {str(i): (i + 1) ** 1.5 for i in range(12)}, {"a": 2**0.5, "b": 3.14159, "c": 1e-3}])
 def test_never_a_whole_block_off(weights):
-    share = shares(weights, 200)
-    slots, taken = sum(share.values()), dict.fromkeys(share, 0)
-    for t, (s, block) in enumerate(period_of(share), 1):
-        assert block == taken[s]
+    """By the slots themselves, up to where the first source runs out, at a length a period of shares would not fit."""
+    total, n_blocks = sum(weights.values()), 200_000
+    rows = {s: int(n_blocks * w / total) + 2 for s, w in weights.items()}
+    taken = dict.fromkeys(weights, 0)
+    for t, (s, block, slot, _) in enumerate(islice(schedule(rows, weights, 1), n_blocks), 1):
+        assert (block, slot) == (taken[s], t - 1)
         taken[s] += 1
-        assert all(abs(n - share[x] * t / slots) < 1 for x, n in taken.items())
-    assert taken == share
+        if t % 101 == 0 or t > n_blocks - 100:
+            assert all(abs(n - weights[x] * t / total) < 1 + 1e-6 for x, n in taken.items())
 
 
 def test_all_rows_in_gapless_order(spark):
@@ -29,6 +33,10 @@ def test_all_rows_in_gapless_order(spark):
     assert all(max(p) - min(p) == len(p) - 1 <= 15 for p in blocks.values())
     assert mix(df.limit(0)).count() == 0
     assert mix(df, {"hot": 3, "s0": 1}).count() == len(rows)
+    names = ("share", "slots", "at", "hash", "bucket", "buckets", "before", "nth", "start", "row", "key", "mix_row", "mix_slot", "mix_block")
+    clash = mix(df.selectExpr("doc_id", "source", *(f"'mine' as {n}" for n in names)), block_rows=16)
+    assert len(set(clash.columns)) == len(clash.columns)
+    assert {r.share + r.at + r.start for r in clash.collect()} == {"mine" * 3} and clash.filter("mix_slot = 0").count() == 16
 
 
 @pytest.mark.parametrize("weights", [{"a": 0.9, **{f"b{i}": 0.0111 for i in range(9)}}, {"hot": 1500.0, **{f"s{i:04}": 0.5 + i % 3 for i in range(1200)}}])

@@ -5,9 +5,11 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm.packing import differencing, pack, pack_group
+from graphloom.llm.common import table
+from graphloom.llm.packing import differencing, pack, tail_parts, windows_of
 from graphloom.llm.token_count import MergeCounter, count_tokens
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -29,33 +31,43 @@ def test_token_counts(make, odd_texts):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 5000), max_size=60), st.sampled_from([64, 256, 2048]))
-def test_groups_keep_every_id_once(lengths, capacity):
-    seen = defaultdict(set)
-    sequences = pack_group(lengths, capacity)
-    sizes = []
-    for pieces in sequences:
-        sizes.append(sum(n for _, _, n in pieces))
-        assert 0 < sizes[-1] <= capacity
-        for i, start, n in pieces:
-            assert not seen[i] & set(range(start, start + n))
-            seen[i] |= set(range(start, start + n))
-    assert all(seen[i] == set(range(n)) for i, n in enumerate(lengths))
-    assert all(n == capacity or n & (n - 1) == 0 for n in sizes)
-
-
-def test_differencing_is_near_equal_and_uncut_windows_rise():
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=200), st.sampled_from([64, 256, 2048]))
+def test_windows_hold_every_part_once(lengths, capacity):
+    windows = windows_of(lengths, capacity)
+    assert sorted(i for w in windows for i in w) == list(range(len(lengths)))
+    assert all(0 < sum(lengths[i] for i in w) <= capacity for w in windows)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 9000), st.sampled_from([64, 256, 2048]))
+def test_tails_are_cut_whole(length, capacity):
+    parts = tail_parts(length, capacity)
+    assert sum(n for _, n in parts) == length % capacity
+    at = length - length % capacity
+    for start, n in parts:
+        assert start == at and 0 < n <= 512
+        at += n
+
+
+def test_differencing_is_near_equal_and_windows_rise():
     rng = np.random.default_rng(3)
     lengths = [int(x) for x in rng.integers(1, 900, 200)]
     sums = [sum(lengths[i] for i in w) for w in differencing(lengths, 20)]
     assert max(sums) - min(sums) <= 30
-    windows = pack_group([700] * 9, 1000, cut=False)
-    assert len(windows) == 9 and all(sum(n for *_, n in w) <= 1000 for w in windows)
+    # Seven of these would do by their sum, but no two fit one window.
+    assert len(windows_of([700] * 9, 1000)) == 9
+
+
+def test_little_is_padding(spark):
+    documents = table(spark, "/root/testdata/sf0.01", "documents").coalesce(1)
+    sums = [r.n for r in pack(documents, WORDS, 2048, 1, with_ids=False).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+    read = sum(n if n & (n - 1) == 0 else 2048 for n in sums)
+    assert max(sums) <= 2048 and read - sum(sums) < 0.02 * read
 
 
 def test_pieces_are_the_ids(make, odd_texts, spark):
     library = Tokenizer.from_file(WORDS)
-    pairs = [(i, t) for i, t in odd_texts if i not in (None, 10)] + [(11, "Many Words " * 4000)]
+    pairs = [(i, t) for i, t in odd_texts if i != 10] + [(11, "Many Words " * 4000), (2**60 + 1, "large id"), (-(2**62) - 1, "x")]
     rows = pack(make(pairs), WORDS, 2048, 1).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -73,4 +85,6 @@ def test_pieces_are_the_ids(make, odd_texts, spark):
             assert r.offset == at
             at += r.length
         assert at <= 2048
+    repeated = pack(make([(10, "same id"), (10, "other text"), (None, "a"), (None, "a")]), WORDS, 2048, 1).collect()
+    assert sorted(((r.doc_id, bytes(r.ids)) for r in repeated), key=repr) == sorted(((i, np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in [(10, "same id"), (10, "other text"), (None, "a"), (None, "a")]), key=repr)
     assert pack(make([]), WORDS, 2048, 1).count() == 0
