@@ -1,13 +1,18 @@
-"""Removal of passages that are repeated anywhere, by refining an interleave of suffixes.
-
-A full merge of the shards' Burrows-Wheeler transforms passes over every byte as often as the
-longest repeat is long. So the suffixes are cut down first, without loss: of every 200-byte string
-the k-gram of smallest hash is its anchor; equal strings have equal anchors at equal places, and an
-anchor that occurs once can hold no repeat. What is left are the contexts of shared anchors. All
-contexts of one anchor start as one interleave without order; each step takes the symbol before
-every suffix (its Burrows-Wheeler column) and refines the interleave by it, keeping order within a
-symbol. The common prefix of neighbours grows by one, or is one more than the least between them,
-so suffixes are never sorted again; neighbours whose common prefix reaches 200 are repeats.
+"""Removal of passages that are repeated anywhere, by merging shards' Burrows-Wheeler transforms.
+
+A full merge of the shards' transforms passes over every byte as often as the longest repeat is long. So
+the suffixes are cut down first, without loss: of every 200-byte string the k-gram of smallest hash is
+its anchor; equal strings have equal anchors at equal places, and an anchor that occurs once can hold no
+repeat. What is left are the contexts of shared anchors, and only suffixes that start at the same
+distance from the same anchor have to be told apart.
+
+Documents are dealt to shards by a hash. For each shard, the contexts of every anchor get their
+Burrows-Wheeler transform, column by column: the symbols before the suffixes, in the order of the
+suffixes. The shards' transforms are then merged by refining an interleave, which says from which shard
+the next suffix comes: at first by shard, then each step reads the symbols off the transforms in its
+order and deals the interleave out by symbol, keeping order within a symbol. The common prefix of
+neighbours grows by one, or is one more than the least between them, so suffixes of different shards
+are never compared nor sorted again. Intervals whose common prefix reaches 200 are repeats.
 
 An anchor with very many different contexts is not left to one task: its contexts are halved by
 where their strings start, and each half is grouped anew by the anchor and the bytes that all its
@@ -16,7 +21,10 @@ again, down to single strings. So a context makes two rows for each halving and
 string, and the result is the same.
 
 Strings are UTF-8 bytes and never cross documents. Null texts are empty; texts of fewer than 200
-bytes keep everything. Repeated rows make each other's strings repeats. Nothing is capped.
+bytes keep everything. Rows are told apart by key and text; repeated rows, with or without a key, make
+each other's strings repeats. No ties arise: every copy goes. All other columns are kept as they are,
+whatever their names. A very long text is held by one task and cut into stretches for its anchors.
+Nothing is capped. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,11 +44,14 @@ LENGTH, GRAM = 200, 32
 #: K-grams that start in one string, and the widest context to the left of an anchor.
 STARTS = LENGTH - GRAM + 1
 #: Different contexts of an anchor up to which they are refined together, and contexts in a batch.
-MOST_CONTEXTS, BATCH = 2_000, 8_000
+MOST_CONTEXTS, BATCH = 2_000, 4_000
 #: Document keys up to which they are broadcast (16 bytes each); more are joined by a shuffle.
 MOST_KEYS = 500_000
 
-_PLACE = 28
+#: Into how many shards documents are dealt.
+SHARDS = 4
+#: Bytes of a text whose anchors are found together; places within them take so many bits beside the hash.
+STRETCH, _PLACE = 1 << 27, 28
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SYMBOLS = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8).digest(), "little") for b in range(256)], np.uint64)
@@ -61,6 +72,11 @@ _KNOWN: dict[int, np.ndarray] = {}
 def anchors(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """keys, places, and the first and last start of the strings that each anchor stands for."""
     n = len(content)
+    if n > STRETCH + LENGTH:
+        # Stretches overlap so that each string lies in one of them.
+        parts = [(at, anchors(content[at : at + STRETCH + LENGTH - 1])) for at in range(0, n - LENGTH + 1, STRETCH)]
+        keys, *others = (np.concatenate([found[k] if k == 0 else found[k] + at for at, found in parts]) for k in range(4))
+        return keys, *others
     if n < LENGTH:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty
@@ -88,7 +104,37 @@ def anchors(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return grams[places].view(np.int64), places, first, last
 
 
-def repeated_starts(groups: np.ndarray, contexts: list[bytes], before: np.ndarray) -> list[np.ndarray]:
+def refined(group: np.ndarray, symbols: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How one step deals an order out by the symbols before it, and the common prefixes (with the one before) afterwards."""
+    rank = group + symbols
+    dealt = np.argsort(rank, kind="stable")
+    rank = rank[dealt]
+    same = np.flatnonzero(rank[1:] == rank[:-1]) + 1
+    new = np.zeros(len(rank) + 1, np.int32)
+    if len(same):
+        bounds = np.empty(2 * len(same), np.int64)
+        bounds[0::2], bounds[1::2] = dealt[same - 1] + 1, dealt[same] + 1
+        # Before any symbol is read, all suffixes of a group agree in nothing: 0 + 1.
+        new[same] = np.minimum.reduceat(common, bounds)[0::2] + 1
+    return dealt, new
+
+
+def transform(group: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's transform: per column, the symbols before its suffixes in their order, and whose suffixes these then are.
+
+    ``table`` has one row of symbols for each column; ``group`` is ascending.
+    """
+    width, m = table.shape
+    symbols, owners = np.empty((width, m), np.uint16), np.empty((width, m), np.int32)
+    order = np.arange(m)
+    for column in range(width - 1, -1, -1):
+        symbols[column] = table[column][order]
+        order = order[np.argsort(group + symbols[column], kind="stable")]
+        owners[column] = order
+    return symbols, owners
+
+
+def repeated_starts(groups: np.ndarray, contexts: list[bytes], before: np.ndarray, shards: np.ndarray) -> list[np.ndarray]:
     """For each context, which of its strings equals one of another context of its group.
 
     ``groups`` is ascending, ``before`` counts the bytes of a context before its anchor.
@@ -97,30 +143,31 @@ def repeated_starts(groups: np.ndarray, contexts: list[bytes], before: np.ndarra
     table = np.full((m, width), 256, np.uint16)
     for i, (c, b) in enumerate(zip(contexts, before, strict=True)):
         table[i, STARTS - 1 - b : STARTS - 1 - b + len(c)] = np.frombuffer(c, np.uint8)
-    table = np.ascontiguousarray(table.T)
-    repeats = np.zeros((STARTS, m), bool)
+    table = table.T
     _, group = np.unique(groups, return_inverse=True)
     group = group.astype(np.int64) << 9
-    order = np.arange(m)
-    common = np.zeros(m + 1, np.int32)  # with the one before in the interleave
+    members = [np.flatnonzero(shards == s) for s in np.unique(shards)]
+    transforms = [transform(group[own], np.ascontiguousarray(table[:, own])) for own in members]
+    # The interleave: from which shard the next suffix of the merged order is.
+    interleave = np.empty(m, np.int8)
+    for number, own in enumerate(members):
+        interleave[own] = number
+    interleave = interleave[np.lexsort((interleave, group))]
+    repeats = np.zeros((STARTS, m), bool)
+    common = np.zeros(m + 1, np.int32)
+    symbol, owner = np.empty(m, np.uint16), np.empty(m, np.int64)
     for column in range(width - 1, -1, -1):
-        symbol = table[column][order]
-        rank = group + symbol
-        refined = np.argsort(rank, kind="stable")
-        rank = rank[refined]
-        same = np.flatnonzero(rank[1:] == rank[:-1]) + 1
-        new = np.zeros(m + 1, np.int32)
-        if len(same):
-            low, high = refined[same - 1] + 1, refined[same] + 1
-            bounds = np.empty(2 * len(same), np.int64)
-            bounds[0::2], bounds[1::2] = low, high
-            # Before any symbol is read, all suffixes of a group agree in nothing: 0 + 1.
-            new[same] = np.minimum.reduceat(common, bounds)[0::2] + 1
-        order, common = order[refined], new
+        for number, (symbols, _) in enumerate(transforms):
+            symbol[interleave == number] = symbols[column]
+        dealt, common = refined(group, symbol, common)
+        interleave = interleave[dealt]
         if column < STARTS:
             twin = common[:m] >= LENGTH
             twin[:-1] |= common[1:m] >= LENGTH
-            repeats[column, order[twin]] = True
+            if twin.any():
+                for number, (own, (_, owners)) in enumerate(zip(members, transforms, strict=True)):
+                    owner[interleave == number] = own[owners[column]]
+                repeats[column, owner[twin]] = True
     return [repeats[STARTS - 1 - b : STARTS - 1 - b + len(c) - LENGTH + 1, i] for i, (c, b) in enumerate(zip(contexts, before, strict=True))]
 
 
@@ -175,7 +222,8 @@ def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text"
     affected = _only(rows, kept, "left_semi")
     cut = affected.join(kept, ["doc", "uid"]).mapInPandas(contexts, "doc long, uid long, first int, anchor long, name binary, before int, context binary")
     cut = stored(cut, "contexts")
-    own = cut.select("anchor", "name", "before", "context", F.lit(0).alias("x"), F.lit(STARTS - 1).alias("y"))
+    shard = F.pmod(F.xxhash64("doc", "uid"), F.lit(SHARDS)).cast("int").alias("shard")
+    own = cut.select("anchor", "name", "before", "context", F.lit(0).alias("x"), F.lit(STARTS - 1).alias("y"), shard)
     all_spans, written = spans_of(own)
     back = cut.select("doc", "uid", "first", "name").join(all_spans, "name").select("doc", "uid", F.transform("spans", lambda x: x + F.col("first")).alias("spans"))
     done = stored(back.groupBy("doc", "uid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
@@ -187,22 +235,22 @@ _SPANS = "name binary, spans array<int>"
 
 
 def spans_of(contexts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """name, spans of the contexts (anchor, name, before, context, x, y) that hold repeats, and what was written.
+    """name, spans of the contexts (anchor, name, before, context, x, y, shard) that hold repeats, and what was written.
 
     Strings of a context start between ``x`` and ``y`` bytes before its anchor.
     """
-    distinct = stored(contexts.groupBy("anchor", "name").agg(*(F.first(c).alias(c) for c in ("before", "context", "x", "y")), F.count("*").alias("times")), "distinct-contexts")
+    distinct = stored(contexts.groupBy("anchor", "name").agg(*(F.first(c).alias(c) for c in ("before", "context", "x", "y", "shard")), F.count("*").alias("times")), "distinct-contexts")
     sizes = stored(distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1"), "anchor-sizes")
     written = [distinct, sizes]
     # A context that occurs twice is a repeat throughout; it still has to meet the others.
     whole = distinct.filter("times > 1").select("name", F.array(F.lit(0), F.octet_length("context")).alias("spans"))
     sized = distinct.join(sizes, "anchor")
     few = sized.filter(F.col("contexts") <= MOST_CONTEXTS)
-    by_merge = few.select("anchor", "name", "before", "context").repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_refined, _SPANS)
+    by_merge = few.select("anchor", "name", "before", "context", "shard").repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_refined, _SPANS)
     spans = by_merge.filter(F.size("spans") > 0).union(whole)
     if sizes.filter(F.col("contexts") > MOST_CONTEXTS).limit(1).count():
-        crowded = sized.filter(F.col("contexts") > MOST_CONTEXTS).select("name", "anchor", "before", "context", "x", "y")
-        parts = stored(crowded.mapInPandas(_halved, "parent binary, shift int, anchor long, name binary, before int, context binary, x int, y int"), "halved-contexts")
+        crowded = sized.filter(F.col("contexts") > MOST_CONTEXTS).select("name", "anchor", "before", "context", "x", "y", "shard")
+        parts = stored(crowded.mapInPandas(_halved, "parent binary, shift int, anchor long, name binary, before int, context binary, x int, y int, shard int"), "halved-contexts")
         inner, more = spans_of(parts.drop("parent", "shift"))
         found = parts.select("parent", "shift", "name").join(inner, "name")
         spans = spans.union(found.select(F.col("parent").alias("name"), F.transform("spans", lambda x: x + F.col("shift")).alias("spans")))
@@ -214,7 +262,7 @@ def _refined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Merges the contexts of whole anchors, about ``BATCH`` contexts at a time."""
 
     def out(held: pd.DataFrame) -> pd.DataFrame:
-        flags = repeated_starts(held["anchor"].to_numpy(), list(held["context"]), held["before"].to_numpy())
+        flags = repeated_starts(held["anchor"].to_numpy(), list(held["context"]), held["before"].to_numpy(), held["shard"].to_numpy())
         return pd.DataFrame({"name": held["name"], "spans": [runs(f) for f in flags]})
 
     held = None
@@ -245,13 +293,13 @@ def halves(context: bytes, before: int, x: int, y: int) -> Iterator[tuple[int, b
 def _halved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for name, anchor, before, context, x, y in batch[["name", "anchor", "before", "context", "x", "y"]].itertuples(index=False):
+        for name, anchor, before, context, x, y, shard in batch[["name", "anchor", "before", "context", "x", "y", "shard"]].itertuples(index=False):
             for shift, common, own, content, low, high in halves(context, before, x, y):
                 place = anchor.to_bytes(8, "little", signed=True) + bytes([low, high])
                 group = xxhash.xxh3_64_intdigest(place + common) - (1 << 63)
                 # Contents are compared whole within a group, so two groups that share a hash do no harm.
-                out.append((name, shift, group, xxhash.xxh3_128_digest(place + bytes([own]) + content), own, content, low, high))
-        yield pd.DataFrame(out, columns=["parent", "shift", "anchor", "name", "before", "context", "x", "y"])
+                out.append((name, shift, group, xxhash.xxh3_128_digest(place + bytes([own]) + content), own, content, low, high, shard))
+        yield pd.DataFrame(out, columns=["parent", "shift", "anchor", "name", "before", "context", "x", "y", "shard"])
 
 
 def united(spans: list[int]) -> list[tuple[int, int]]:
