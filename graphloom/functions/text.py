@@ -126,3 +126,27 @@ def passage_role(section: Column, label: Column) -> Column:
         .when(both.contains("supp") | both.contains("append"), "supplement")
         .otherwise("other")
     )
+
+
+def appended(values: Column, value: Column) -> Column:
+    """The array with the value at its end unless it holds it."""
+    own = F.coalesce(values, F.array().cast("array<string>"))
+    return F.when(F.array_contains(own, value), own).otherwise(F.array_append(own, value))
+
+
+def paper_references(values: Column) -> Column:
+    """Trimmed references without blank and repeated ones, in their first order."""
+    return F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+
+
+def name_uuid(namespace: str, name: Column) -> Column:
+    """The UUID of version 5 of a name in a namespace (a UUID as text)."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "utf-8")))
+    at = lambda first, size: F.substring(digest, first, size)
+    variant = F.lower(F.hex(F.conv(at(17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+    return F.concat_ws("-", at(1, 8), at(9, 4), F.concat(F.lit("5"), at(14, 3)), F.concat(F.substring(variant, -1, 1), at(18, 3)), at(21, 12))
+
+
+def evidence_key(namespace: str, version: Column, *ordinals: Column) -> Column:
+    """The key of an evidence unit: its document, kind, section, block and sentences, and the version of the chunking."""
+    return name_uuid(namespace, F.concat_ws("|", *(o.cast("string") for o in ordinals), version))

@@ -44,7 +44,9 @@ def top_clusters(scope: DataFrame, limit: int = 8) -> DataFrame:
 
 def unpivoted(scope: DataFrame, columns: Iterable[str], multiple: Iterable[str] = ()) -> DataFrame:
     """column_key, value of every column: text, without nulls and empty ones; multiple values cut."""
-    multiple = set(multiple)
+    columns, multiple = [*columns], set(multiple)
+    if not columns:
+        return scope.sparkSession.createDataFrame([], "column_key string, value string")
 
     def values(c: str) -> Column:
         text = F.col(c).cast("string")
@@ -64,6 +66,11 @@ def value_counts(scope: DataFrame, columns: Iterable[str], limit: int, multiple:
     return counted.withColumn("row_rank", F.row_number().over(ranked)).filter(F.col("row_rank") <= max(1, limit))
 
 
+def all_value_counts(scope: DataFrame, columns: Iterable[str], multiple: Iterable[str] = ()) -> DataFrame:
+    """column_key, value, count of every value of each column."""
+    return unpivoted(scope, columns, multiple).groupBy("column_key", "value").agg(F.count("*").alias("count"))
+
+
 def facets(dataset: DataFrame, scope: DataFrame, columns: Iterable[str], limit: int, multiple: Iterable[str] = (), deep: int = 4, exact: bool = False) -> DataFrame:
     """column_key, value, scoped_count, total_count, row_rank: the scope's values first, then others.
 
@@ -93,10 +100,47 @@ def session_facets(dataset: DataFrame, scope: DataFrame, columns: Iterable[str],
 
 def numeric_values(scope: DataFrame, columns: Iterable[str]) -> DataFrame:
     """column_key, value of every numeric column, without nulls."""
+    columns = [*columns]
+    if not columns:
+        return scope.sparkSession.createDataFrame([], "column_key string, value double")
     pairs = F.array(*(F.struct(F.lit(c).alias("column_key"), F.col(c).cast("double").alias("value")) for c in columns))
     return scope.select(F.explode(pairs).alias("pair")).select("pair.*").filter("value is not null")
 
 
+def column_quantiles(values: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """column_key and ``quantiles``, exact and interpolated as ``percentile``, of (column_key, value).
+
+    No task meets all values of a column: approximate quantiles bound where each rank lies, ranks below a
+    bound are counted, and only distinct values between the bounds are ranked.
+    """
+    near = [min(max(q + d, 0.0), 1.0) for q in shares for d in (-0.01, 0.01)]
+    ends = values.groupBy("column_key").agg(F.percentile_approx("value", F.array(*map(F.lit, near)), 1000).alias("ends"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("*").alias("n"))
+    # One row for each column.
+    bounded = values.join(F.broadcast(ends), "column_key")
+    found = None
+    for i, q in enumerate(shares):
+        low = F.when(F.lit(q) <= 0.01, F.col("least")).otherwise(F.col("ends")[2 * i])
+        high = F.when(F.lit(q) >= 0.99, F.col("most")).otherwise(F.col("ends")[2 * i + 1])
+        inside = bounded.filter((F.col("value") >= low) & (F.col("value") <= high)).groupBy("column_key", "value", "n").agg(F.count("*").alias("times"))
+        below = bounded.groupBy("column_key").agg(F.count_if(F.col("value") < low).alias("below"))
+        upto = F.sum("times").over(Window.partitionBy("column_key").orderBy("value"))
+        ranked = inside.join(F.broadcast(below), "column_key").withColumn("last", F.col("below") + upto - 1)
+        place = (F.col("n") - 1) * F.lit(float(q))
+        # The value at a rank is the least one whose last rank is no lower.
+        at = lambda rank: F.min(F.when(F.col("last") >= rank, F.col("value")))
+        own = ranked.groupBy("column_key", "n").agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b")).select("column_key", F.lit(i).alias("i"), (F.col("a") + (F.col("b") - F.col("a")) * (place - F.floor(place))).alias("x"))
+        found = own if found is None else found.unionByName(own)
+    return found.groupBy("column_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("quantiles"))
+
+
+def column_bounds(scope: DataFrame, columns: Iterable[str], quantiles: bool) -> DataFrame:
+    """column_key, low, high: the outer quantiles of each column, or its ends."""
+    values = numeric_values(scope, columns)
+    if quantiles:
+        return column_quantiles(values, (0.05, 0.95)).select("column_key", F.col("quantiles")[0].alias("low"), F.col("quantiles")[1].alias("high"))
+    return values.groupBy("column_key").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+
+
 def histogram(scope: DataFrame, columns: Iterable[str], bins: int = 16, extent: tuple[float, float] | None = None, extents: dict[str, tuple[float, float]] | None = None, quantiles: bool = False) -> DataFrame:
     """column_key, bin, bin_min, bin_max, count, total_count of the bins that have rows.
 
@@ -107,11 +151,12 @@ def histogram(scope: DataFrame, columns: Iterable[str], bins: int = 16, extent:
     bins = max(1, min(bins, MOST_BINS))
     values = numeric_values(scope, columns)
     low, high = F.min("value"), F.max("value")
-    if quantiles:
-        low, high = F.percentile("value", F.lit(0.05)), F.percentile("value", F.lit(0.95))
     if extent:
         low, high = F.lit(float(extent[0])), F.lit(float(extent[1]))
     stats = values.groupBy("column_key").agg(low.alias("low"), high.alias("high"), F.count("*").alias("total_count"))
+    if quantiles and not extent:
+        ends = column_quantiles(values, (0.05, 0.95))
+        stats = stats.join(ends, "column_key").select("column_key", F.col("quantiles")[0].alias("low"), F.col("quantiles")[1].alias("high"), "total_count")
     for c, (a, b) in (extents or {}).items():
         own = F.col("column_key") == c
         stats = stats.withColumns({"low": F.when(own, float(a)).otherwise(F.col("low")), "high": F.when(own, float(b)).otherwise(F.col("high"))})
@@ -131,9 +176,10 @@ def histogram(scope: DataFrame, columns: Iterable[str], bins: int = 16, extent:
 
 def numeric_stats(scope: DataFrame, columns: Iterable[str]) -> DataFrame:
     """column_key, least, median (exact), mean and greatest; a column without values is left out."""
-    return numeric_values(scope, columns).groupBy("column_key").agg(
-        F.min("value").alias("min_value"), F.percentile("value", F.lit(0.5)).alias("median_value"), F.avg("value").alias("avg_value"), F.max("value").alias("max_value")
-    )
+    values = numeric_values(scope, columns)
+    simple = values.groupBy("column_key").agg(F.min("value").alias("min_value"), F.avg("value").alias("avg_value"), F.max("value").alias("max_value"))
+    median = column_quantiles(values, (0.5,)).select("column_key", F.col("quantiles")[0].alias("median_value"))
+    return simple.join(median, "column_key").select("column_key", "min_value", "median_value", "avg_value", "max_value")
 
 
 def bounding_box(scope: DataFrame) -> DataFrame:
@@ -225,3 +271,27 @@ def sample(points: DataFrame, size: int, seed: int) -> DataFrame:
 def widget_bars(dataset: DataFrame, scope: DataFrame | None, columns: list[str], limit: int = 8, multiple: Iterable[str] = ()) -> DataFrame:
     """Value counts of the scope, or of the dataset where there is none; multiple values are cut."""
     return value_counts(dataset if scope is None else scope, columns, limit, set(multiple) & set(columns))
+
+
+def panel(dataset: DataFrame, selected: DataFrame | None, current: DataFrame | None, categories: list[str], numbers: list[str], limit: int = 24, bins: int = 16, multiple: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """What all widgets of a panel show, by layer (``dataset``, ``selection``, ``filtered``): values with counts, and histograms.
+
+    Columns of counts (``BY_QUANTILES``) get bounds at their outer quantiles, others at their ends; those of the
+    dataset hold for every layer, so that layers can be laid over each other. A layer that is not given is left out.
+    """
+    layers = [(name, rows) for name, rows in (("dataset", dataset), ("selection", selected), ("filtered", current)) if rows is not None]
+    few, wide = [c for c in numbers if c in BY_QUANTILES], [c for c in numbers if c not in BY_QUANTILES]
+    # One row for each column.
+    bounds = {r["column_key"]: (r["low"], r["high"]) for r in column_bounds(dataset, few, True).unionByName(column_bounds(dataset, wide, False)).collect()}
+    values = shown = None
+    for name, rows in layers:
+        counted = value_counts(rows, categories, limit, multiple).withColumn("layer", F.lit(name))
+        placed = histogram(rows, [c for c in numbers if c in bounds], bins, extents=bounds).withColumn("layer", F.lit(name))
+        values = counted if values is None else values.unionByName(counted)
+        shown = placed if shown is None else shown.unionByName(placed)
+    return values, shown
+
+
+def session_bars(dataset: DataFrame, scopes: dict[str, DataFrame], scope: str, columns: list[str], limit: int = 8, multiple: Iterable[str] = ()) -> DataFrame:
+    """Bars of a session: of a named scope where it is known, else of the dataset; multiple values are cut."""
+    return widget_bars(dataset, scopes.get(scope), columns, limit, multiple)

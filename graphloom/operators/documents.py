@@ -27,19 +27,21 @@ def sentence_spans(text: Column, start: Column) -> Column:
     """start, end of each sentence of a paragraph, in the document's offsets.
 
     A sentence runs to a full stop, question or exclamation mark; further marks belong to none.
-    For texts of a paragraph's size: the work grows with the square of the number of sentences.
     """
     pieces = F.filter(F.split(text, r"(?<=[.!?])(?=[^.!?])"), lambda p: F.length(p) > 0)
     sizes = F.transform(pieces, lambda p: F.length(p))
-    before = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x)
+    # Where each piece begins, added up once.
+    begins = F.aggregate(sizes, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
 
-    def span(piece: Column, i: Column) -> Column:
+    def span(pair: Column) -> Column:
+        piece = pair["piece"]
         lead = F.length(F.regexp_extract(piece, r"^[.!?]*", 0))
         body = F.regexp_extract(piece, r"(?s)[^.!?]+[.!?]?", 0)
-        at = start + before(i) + lead
+        at = start + pair["begin"] + lead
         return F.struct(at.alias("start"), (at + F.length(body)).alias("end"), (F.trim(body) == "").alias("blank"))
 
-    found = F.filter(F.transform(pieces, span), lambda s: ~s["blank"])
+    pairs = F.arrays_zip(pieces.alias("piece"), F.slice(begins, F.lit(1), F.size(pieces)).alias("begin"))
+    found = F.filter(F.transform(pairs, span), lambda s: ~s["blank"])
     whole = F.array(F.struct(start.alias("start"), (start + F.length(text)).alias("end"), F.lit(False).alias("blank")))
     spans = F.when((F.size(found) == 0) & (F.trim(text) != ""), whole).otherwise(found)
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
@@ -98,7 +100,7 @@ def spine(documents: DataFrame, part: str, key: str = "paper_id") -> DataFrame:
 
 
 # Last words by which a heading is a broken line, and words of parts that are not searched.
-BROKEN_ENDS = frozenset("and for from in of or the to with".split())
+BROKEN_ENDS = ("and", "for", "from", "in", "of", "or", "the", "to", "with")
 NOT_SEARCHED = ("reference", "acknowledg", "author contribution", "conflict", "competing interest", "funding", "financial support", "disclosure", "keyword", "abbreviation")
 SHAPES = {"paragraph": ("paragraph", True), "abstract": ("paragraph", True), "fig_caption": ("figure_caption", True), "table_caption": ("table_caption", True), "table": ("table_body", False), "table_footnote": ("table_body", False)}
 _PASSAGE = "{key} string, ordinal int, kind string, section_type string, asset string, start_offset int, text string"
@@ -204,9 +206,11 @@ def chunks(blocks: DataFrame, key: str = "corpus_id", target: int = CHUNK_TARGET
     return rows.select(key, "section_ordinal", F.posexplode(made).alias("chunk_ordinal", "c")).select(key, "section_ordinal", "chunk_ordinal", F.col("c.first").alias("first_block"), "c.words", "c.text")
 
 
-def evidence_kind(role: Column, block_kind: Column) -> Column:
-    """What a block is evidence of: captions and tables by kind, others by the role of the section."""
-    return F.when(block_kind.isin("figure_caption", "table_caption"), "caption").when(block_kind == "table_body", "table").when(role.isin("results", "methods", "abstract"), role).otherwise("narrative")
+def evidence_kind(role: Column, block_kind: Column, is_window: Column | None = None) -> Column:
+    """What a chunk, or a window of its sentences, is evidence of: by the section's role where it is prose."""
+    prose = block_kind == "paragraph"
+    kind = F.when(prose & (role == "abstract"), "abstract_conclusion").when(prose & (role == "results"), "results_paragraph").otherwise("paragraph")
+    return kind if is_window is None else F.when(is_window, "sentence_window").otherwise(kind)
 
 
 def contract_audit(texts: DataFrame, documents: DataFrame, blocks: DataFrame, key: str = "corpus_id") -> DataFrame:
@@ -215,3 +219,21 @@ def contract_audit(texts: DataFrame, documents: DataFrame, blocks: DataFrame, ke
     rows = texts.select(key, "text_availability").join(documents.select(key).distinct().withColumn("has_document", F.lit(True)), key, "left").join(counted, key, "left")
     has, n = F.coalesce("has_document", F.lit(False)), F.coalesce("block_count", F.lit(0))
     return rows.select(key, "text_availability", has.alias("has_document"), n.alias("block_count"), (has & (n == 0)).alias("document_without_blocks"), (~has & (n > 0)).alias("blocks_without_document"), ((F.col("text_availability") >= 2) & ~has).alias("stated_but_missing"))
+
+
+def misplaced(annotations: DataFrame, source: int = 2) -> DataFrame:
+    """Annotations of a source that states no places which have one all the same."""
+    return annotations.filter((F.col("resource") == source) & ((F.col("start_offset") != 0) | (F.col("end_offset") != 0)))
+
+
+def loaded_by(rows: DataFrame, runs: DataFrame, releases: DataFrame, names: list[str]) -> DataFrame:
+    """Rows last seen by a run over a release of one of these sources."""
+    own = runs.join(releases.filter(F.col("source_name").isin(names)).select("source_release_id"), "source_release_id", "left_semi")
+    return rows.join(own.select(F.col("ingest_run_id").alias("last_seen_run_id")), "last_seen_run_id", "left_semi")
+
+
+def bundle_eligible(status: DataFrame, embeddings: DataFrame, texts: DataFrame, model: int = 1) -> DataFrame:
+    """corpus_id of mapped papers laid out, with an embedding of the model and a text."""
+    ready = status.filter((F.col("domain_status") == "mapped") & F.col("layout_status").isin("mapped", "ready")).select("corpus_id")
+    with_text = ready.join(texts.filter("text_availability >= 1").select("corpus_id"), "corpus_id", "left_semi")
+    return with_text.join(embeddings.filter(F.col("model_key") == model).select("corpus_id"), "corpus_id", "left_semi")

@@ -44,16 +44,21 @@ def concentration(counts: DataFrame, order: list[Column], count: str = "count",
 
 
 def diversity(counts: DataFrame, count: str = "count") -> DataFrame:
-    """Shannon entropy of each column's values over its most; null for a single value."""
-    share = counts.withColumn("p", F.col(count) / F.sum(count).over(Window.partitionBy("column_key")))
-    # A share of 0 adds nothing; its logarithm is null.
-    entropy = -F.sum(F.coalesce(F.col("p") * F.log("p"), F.lit(0.0)))
-    return share.groupBy("column_key").agg(F.count("*").alias("unique_count"), F.when(F.count("*") > 1, F.try_divide(entropy, F.log(F.count("*")))).alias("normalized_entropy"))
+    """Shannon entropy of each column's values over its most; null for a single value.
+
+    With n the sum of the counts c, it is ln n less the sum of c ln c over n, so counts are added up once.
+    """
+    times = F.col(count).cast("double")
+    # A count of 0 adds nothing; its logarithm is null.
+    sums = counts.groupBy("column_key").agg(F.count("*").alias("unique_count"), F.sum(count).alias("n"), F.sum(F.coalesce(times * F.log(times), F.lit(0.0))).alias("c_ln_c"))
+    entropy = F.log("n") - F.col("c_ln_c") / F.col("n")
+    return sums.select("column_key", "unique_count", F.when(F.col("unique_count") > 1, F.try_divide(entropy, F.log("unique_count"))).alias("normalized_entropy"))
 
 
-def dominant(counts: DataFrame, rank: str = "row_rank", count: str = "count") -> DataFrame:
-    """Each column's first value and its share."""
-    return counts.groupBy("column_key").agg(F.min_by("value", rank).alias("value"), F.min_by(count, rank).alias("count"), F.sum(count).alias("total")).select("column_key", "value", "count", (F.col("count") / F.col("total")).alias("fraction"))
+def dominant(counts: DataFrame, count: str = "count") -> DataFrame:
+    """Each column's most frequent value, the first by order of several, and its share."""
+    most = F.min(F.struct((-F.col(count)).alias("less"), F.col("value")))
+    return counts.groupBy("column_key").agg(most.alias("m"), F.sum(count).alias("total")).select("column_key", "m.value", (-F.col("m.less")).alias("count"), (-F.col("m.less") / F.col("total")).alias("fraction"))
 
 
 def spread(stats: DataFrame) -> DataFrame:

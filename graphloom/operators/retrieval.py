@@ -1,7 +1,7 @@
 """Retrieval: word and vector scores, fusion, promotion to parents, dictionary matches.
 
-A set of queries is small (``MOST_QUERIES``, checked) and meets all rows; every task keeps its own
-best few before anything is shuffled.
+A stated set of queries meets all rows in blocks; every task keeps its own best few before anything is
+shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_QUERIES, RANK_CONSTANT = 10_000, 60
+from graphloom.sources.files import kept
+
+#: Vectors of a pack, and what ranks are added to before they are fused.
+PACKED, RANK_CONSTANT = 1024, 60
 K1, B = 1.2, 0.75
 _WORD = r"[^\p{L}\p{N}]+"
 
@@ -44,34 +47,42 @@ def bm25(documents: DataFrame, terms: list[str], fields: dict[str, float], key:
     return found.groupBy(key).agg(F.sum("score").alias("score"))
 
 
+def packed(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (key, v) as packs: ids and a matrix of doubles, one for each batch that a task reads."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), PACKED):
+                part = batch[at : at + PACKED]
+                matrix = np.stack(part["v"].to_numpy()).astype("<f8")
+                unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+                yield pd.DataFrame({"ids": [part[key].tolist()], "units": [unit.tobytes()]})
+
+    return rows.mapInPandas(task, "ids array<long>, units binary")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, key, score, rank of the k highest cosines for each query, ties to the smaller key.
 
-    Queries (query_id, vector) go to every task as one matrix of at most ``MOST_QUERIES`` rows;
-    a task returns at most k rows for each query and batch.
+    Queries (query_id, vector) and vectors meet in blocks, pack by pack, so neither comes to the driver and there may
+    be any number of both. A pair of packs returns at most k rows for each query.
     """
-    asked = queries.select("query_id", F.col(vector).cast("array<double>").alias("v")).limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
-    names = np.array([r["query_id"] for r in asked])
-    matrix = np.array([r["v"] for r in asked], float)
-    norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    shared = vectors.sparkSession.sparkContext.broadcast((names, norm(matrix) if len(asked) else matrix))
+    doubles = lambda df, name: df.select(F.col(name).cast("long").alias(name), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
+    asked = kept(packed(doubles(queries, "query_id"), "query_id"), "query-packs")
+    # A stated query set against all rows, in blocks: one row for each pair of packs.
+    pairs = packed(doubles(vectors, key), key).crossJoin(asked.select(F.col("ids").alias("q_ids"), F.col("units").alias("q_units")))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, own = shared.value
         for batch in batches:
-            if not len(ids) or not len(batch):
-                continue
-            keys = batch[key].to_numpy()
-            scores = own @ norm(np.stack(batch["v"].to_numpy())).T
-            for q, row in zip(ids, scores, strict=True):
-                best = np.lexsort((keys, -row))[: k + 1]
-                best = best[keys[best] != q][:k]
-                yield pd.DataFrame({"query_id": np.full(len(best), q), key: keys[best], "score": row[best]})
-
-    rows = vectors.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
-    found = rows.mapInPandas(scored, f"query_id long, {key} long, score double")
+            for row in batch.itertuples(index=False):
+                keys, names = np.asarray(row.ids), np.asarray(row.q_ids)
+                scores = np.frombuffer(row.q_units).reshape(len(names), -1) @ np.frombuffer(row.units).reshape(len(keys), -1).T
+                for q, own in zip(names, scores, strict=True):
+                    best = np.lexsort((keys, -own))[: k + 1]
+                    best = best[keys[best] != q][:k]
+                    yield pd.DataFrame({"query_id": np.full(len(best), q), key: keys[best], "score": own[best]})
+
+    found = pairs.select("ids", "units", "q_ids", "q_units").mapInPandas(scored, f"query_id long, {key} long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -133,6 +144,41 @@ def backlinks(pages: DataFrame, slug: str = "slug", links: str = "links") -> Dat
     return out.join(pages.select(slug), slug, "left_semi")
 
 
-def cards(points: DataFrame) -> DataFrame:
-    """A point as a card: id, title, venue and year in one JSON text."""
-    return points.select("id", F.to_json(F.struct("id", "title", "journal", "year"), {"ignoreNullFields": "false"}).alias("card"))
+def cards(papers: DataFrame, members: DataFrame, texts: DataFrame, metrics: DataFrame, venues: DataFrame, authors: DataFrame, key: str = "corpus_id") -> DataFrame:
+    """A card for each member: counts, year, tier, availability, title, authors in order, venue and outer ids as JSON."""
+    lines = authors.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("author_ordinal", "display_name"))), lambda a: a["display_name"]), ", ").alias("author_line"))
+    rows = papers.join(members.select(key, "package_tier"), key)
+    for more in (texts.select(key, "text_availability", "title"), metrics.select(key, "citation_in_count", "influential_citation_count"), lines):
+        rows = rows.join(more, key, "left")
+    rows = rows.join(venues.select("venue_id", F.col("display_name").alias("venue_display")), "venue_id", "left")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    ids = F.to_json(F.struct(F.col("pmid"), F.col("doi_norm").alias("doi"), F.col("pmc_id").alias("pmc"), F.col("s2_paper_id").alias("s2")), {"ignoreNullFields": "false"})
+    return rows.select(
+        key, none("citation_in_count").alias("citation_count"), none("influential_citation_count").alias("influential_citation_count"), F.col("year").alias("publication_year"), none("package_tier").alias("package_tier"),
+        none("text_availability").alias("text_availability"), F.col("title").alias("display_title"), "author_line", "venue_display", ids.alias("external_ids"),
+    )
+
+
+def entity_matches(texts: DataFrame, dictionary: DataFrame, limit: int, types: list[str] | None = None, key: str = "doc_id") -> DataFrame:
+    """Per text, the first ``limit`` entities it names (of these types): key, entity_id, entity_type, at, score.
+
+    The score is the share of the text's words before which the entity is named; the earlier, the higher.
+    """
+    wanted = dictionary if types is None else dictionary.filter(F.col("entity_type").isin(types))
+    found = mentions(texts, wanted, key).join(wanted.select("entity_id", "entity_type").distinct(), "entity_id")
+    sizes = texts.select(key, F.size(words(F.coalesce("text", F.lit("")))).alias("size"))
+    scored = found.join(sizes, key).select(key, "entity_id", "entity_type", "at", (1 - F.col("at") / F.col("size")).alias("score"))
+    order = Window.partitionBy(key).orderBy(F.desc("score"), "entity_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+
+def answer_sync(references: DataFrame, *stores: tuple[str, DataFrame], key: str = "id") -> DataFrame:
+    """The papers an answer refers to, each once, with where each is drawn: ``active``, ``promoted`` from a wider store, or ``evidence_only``.
+
+    The first of ``stores`` holds what is drawn already, the others what can be added.
+    """
+    from graphloom.operators.scope import availability
+
+    first = stores[0][0]
+    placed = availability(references.filter(F.trim(key) != ""), *stores, key=key)
+    return placed.withColumn("role", F.when(F.col("store") == first, "active").when(F.col("store") == "missing", "evidence_only").otherwise("promoted"))

@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import codes
-from graphloom.functions.text import clean_venue, lookup_key, with_pmc_prefix
+from graphloom.functions.text import clean_venue, lookup_key, short_digest, with_pmc_prefix
 from graphloom.operators.views import numbered
 
 SIGNAL = ["corpus_id", "phase_name", "signal_kind", "family_key", "match_key", "match_value", "signal_count", "contributes_to_corpus", "contributes_to_mapped", "confidence"]
 MIN_YEAR, LOOKBACK, LEAST_SCORE = 1945, 10, 150
-#: Curated rows up to which a table is broadcast.
-MOST_CURATED = 2_000_000
+#: Curated rows up to which a table is broadcast, and patterns, each of which every venue is held against.
+MOST_CURATED, MOST_PATTERNS = 2_000_000, 10_000
 
 
 def patterns(spark: SparkSession) -> DataFrame:
@@ -53,7 +53,9 @@ def by_journal(papers: DataFrame, journals: DataFrame, phase: str, kind: str) ->
 
 
 def by_pattern(papers: DataFrame, rules: DataFrame, phase: str, kind: str) -> DataFrame:
-    """A paper that matches several patterns gives as many signals."""
+    """A paper that matches several patterns gives as many signals; patterns are maintained by hand and few."""
+    if rules.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
     hits = with_venue(papers).join(F.broadcast(rules), F.expr("normalized_venue LIKE like_pattern"))
     to = "contributes_to_corpus" if phase == "corpus_admission" else "contributes_to_mapped"
     return _signals(hits, phase, kind, family_key=F.col("pattern_key"), match_key=F.lit("like_pattern"), match_value=F.col("like_pattern"), **{to: F.lit(True)})
@@ -100,7 +102,7 @@ def resolved_ids(hits: DataFrame, papers: DataFrame, known: DataFrame) -> DataFr
         rows = rows.join(known.filter(F.col(there).isNotNull()).select(F.col(there).alias(here), F.col("corpus_id").alias(f"_by_{here}")), here, "left")
     own = rows.withColumn("corpus_id", F.coalesce("_by_paper_id", "_by_pmid", "_by_doi_norm", "_by__pmc", "corpus_id")).select("paper_id", "corpus_id")
     last = known.agg(F.coalesce(F.max("corpus_id"), F.lit(0))).first()[0]
-    new = numbered(own.filter("corpus_id is null").withColumn("_length", F.length("paper_id")), "_length", [F.col("paper_id")], last + 1, "corpus_id")
+    new = numbered(own.filter("corpus_id is null").select("paper_id"), [F.length("paper_id").asc(), F.asc("paper_id")], last + 1, "corpus_id")
     return own.filter("corpus_id is not null").unionByName(new.select("paper_id", "corpus_id"))
 
 
@@ -203,11 +205,7 @@ def wave(summary: DataFrame, documents: DataFrame, year_floor: int, least_score:
         rows = rows.orderBy(*order).limit(max_papers)
         ranked = rows.withColumn("member_ordinal", F.row_number().over(Window.orderBy(*order)))
     else:
-        # Numbered within equal scores and offset by the higher ones, so no task sees all rows.
-        above = Window.orderBy(F.desc("evidence_priority_score")).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = rows.groupBy("evidence_priority_score").count().select("evidence_priority_score", F.coalesce(F.sum("count").over(above), F.lit(0)).alias("_before"))
-        within = Window.partitionBy("evidence_priority_score").orderBy(*order[1:])
-        ranked = rows.join(F.broadcast(offsets), "evidence_priority_score").withColumn("member_ordinal", F.col("_before") + F.row_number().over(within))
+        ranked = numbered(rows, order, 1, "member_ordinal")
     return ranked.select("corpus_id", F.col("member_ordinal").cast("long").alias("member_ordinal"), F.col("evidence_priority_score").alias("priority_score"))
 
 
@@ -229,3 +227,51 @@ def domain_score(points: DataFrame, year: int, journals: list[str]) -> DataFrame
     recency = F.greatest(F.lit(0.0), 1 - (F.lit(year) - F.col("year")) / 50)
     weight = F.when(F.lower("journal").isin(journals), 1.5).otherwise(1.0)
     return points.withColumn("domain_score", (fields * fields + F.log1p(F.coalesce("paper_reference_count", F.lit(0))) + F.coalesce(recency, F.lit(0.0))) * weight)
+
+
+def year_floor(year: int, lookback: int = LOOKBACK) -> int:
+    """The first year that a wave takes in; the present year is given, so that runs can be repeated."""
+    return year - lookback
+
+
+def materialised(papers: DataFrame, status: DataFrame, venues: DataFrame, paper_authors: DataFrame, authors: DataFrame, annotations: DataFrame, relations: DataFrame) -> dict[str, DataFrame]:
+    """The canonical tables of a release: papers and paper_text of all that were admitted; of mapped papers
+    authors, paper_authors, entity_annotations and relations.
+
+    A paper's venue is that of its source id, else of its name, else none. Authors of the batch replace the
+    stored name of their source id; one without a source id is found by name, or new. Annotations and
+    relations are unique by their key (the last by mention, or by end types, stays); only the first
+    source of relations counts.
+    """
+    of = status.filter(F.col("domain_status").isin("corpus", "mapped")).select("corpus_id", "domain_status")
+    admitted_ = papers.filter("corpus_id is not null").join(of, "corpus_id")
+    mapped = admitted_.filter("domain_status = 'mapped'").select("corpus_id", "paper_id")
+    named = admitted_.withColumn("_name", lookup_key(F.col("venue_raw")))
+    by_id = venues.filter("source_venue_id is not null").groupBy("source_venue_id").agg(F.min("venue_id").alias("_by_id"))
+    by_name = venues.select(lookup_key(F.col("name")).alias("_name"), "venue_id").filter("_name is not null").groupBy("_name").agg(F.min("venue_id").alias("_by_name"))
+    found = named.join(by_id, "source_venue_id", "left").join(by_name, "_name", "left")
+    out = {"papers": found.select("corpus_id", F.coalesce("_by_id", "_by_name").alias("venue_id"), F.col("year").try_cast("smallint").alias("year"), "is_open_access", "pmid", "doi_norm", "pmc_id", F.col("paper_id").alias("s2_paper_id"))}
+    out["paper_text"] = admitted_.select(
+        "corpus_id", short_digest(F.coalesce("title", F.lit(""))).alias("title_hash"), short_digest(F.col("abstract")).alias("abstract_hash"),
+        F.when(F.col("abstract").isNotNull(), 1).otherwise(0).alias("text_availability"), F.coalesce("title", F.lit("")).alias("title"), "abstract",
+    )
+    raw = paper_authors.join(mapped, "paper_id")
+    fresh = raw.filter("source_author_id is not null").groupBy("source_author_id").agg(F.max("name_raw").alias("name"))
+    stored = authors.filter("source_author_id is not null").join(fresh, "source_author_id", "full_outer").select("source_author_id", F.coalesce("name", "display_name").alias("display_name"))
+    nameless = authors.filter("source_author_id is null").select("display_name")
+    known = stored.select(lookup_key(F.col("display_name")).alias("_name")).union(nameless.select(lookup_key(F.col("display_name")))).distinct()
+    missing = raw.filter("source_author_id is null").select(F.col("name_raw").alias("display_name")).distinct().withColumn("_name", lookup_key(F.col("display_name"))).join(known, "_name", "left_anti").select("display_name")
+    none = F.lit(None).cast("string").alias("source_author_id")
+    out["authors"] = stored.unionByName(nameless.select(none, "display_name")).unionByName(missing.select(none, "display_name"))
+    # One name may be several authors'; each of them is the author then.
+    all_ = out["authors"].withColumn("_name", lookup_key(F.col("display_name")))
+    direct = raw.filter("source_author_id is not null").join(all_.drop("_name"), "source_author_id")
+    named_ = raw.filter("source_author_id is null").drop("source_author_id").withColumn("_name", lookup_key(F.col("name_raw"))).join(all_, "_name")
+    columns = ["corpus_id", "author_ordinal", "source_author_id", "display_name"]
+    out["paper_authors"] = direct.select(*columns).unionByName(named_.select(*columns))
+    ids = papers.filter("pmid is not null").select("pmid", "paper_id").join(mapped, "paper_id").select("pmid", "corpus_id")
+    keys = ["corpus_id", "start_offset", "end_offset", "entity_type", "concept_id_raw", "resource"]
+    out["entity_annotations"] = annotations.join(ids, "pmid").groupBy(*keys).agg(F.max("mention_text").alias("mention_text"))
+    keys = ["corpus_id", "subject_entity_id", "relation_type", "object_entity_id"]
+    out["relations"] = relations.filter("relation_source = 1").join(ids, "pmid").groupBy(*keys).agg(F.max("subject_type").alias("subject_type"), F.max("object_type").alias("object_type"))
+    return out

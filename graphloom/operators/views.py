@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that are numbered in one task.
-NUMBERED_TOGETHER = 65_536
+from graphloom.sources.files import kept
+
 COUNTS = ("paper_author_count", "paper_reference_count", "paper_entity_count", "paper_relation_count")
 
 
@@ -58,21 +58,18 @@ def detail(points: DataFrame) -> DataFrame:
     return points.withColumn("is_overlay_active", F.coalesce("node_role", F.lit("primary")) == "overlay")
 
 
-def numbered(rows: DataFrame, index: str, order: list[Column], first: Column | int, name: str) -> DataFrame:
-    """``rows`` with gapless numbers from ``first`` in the order of ``index``, then ``order``.
+def numbered(rows: DataFrame, order: list[Column], first: int, name: str) -> DataFrame:
+    """``rows`` with gapless numbers from ``first`` in ``order``.
 
-    Rows are numbered within blocks of ``NUMBERED_TOGETHER`` values of ``index`` and offset by
-    the blocks before, so no task sees all rows; only the blocks' counts meet in one.
+    Rows are range partitioned by the whole order and written with their place in the partition, then
+    offset by the partitions before: no task sees all rows, and only one count of each meets in one.
     """
-    block = F.floor(F.coalesce(F.col(index), F.lit(0)) / NUMBERED_TOGETHER).alias("_block")
-    blocked = rows.select("*", block)
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = blocked.groupBy("_block").count()
-    offsets = sizes.select("_block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_block").orderBy(index, *order)
-    start = first if isinstance(first, Column) else F.lit(first)
-    found = blocked.join(offsets, "_block").withColumn(name, (start + F.col("_before") + F.row_number().over(within) - 1).cast("long"))
-    return found.drop("_block", "_before")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = kept(ordered.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_nth")), "numbered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    # One row for each partition.
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.lit(first) + F.col("_before") + F.col("_nth")).drop("_part", "_before", "_nth")
 
 
 def overlay_points(universe: DataFrame, overlay_ids: DataFrame, base: DataFrame) -> DataFrame:
@@ -83,7 +80,7 @@ def overlay_points(universe: DataFrame, overlay_ids: DataFrame, base: DataFrame)
 def active_points(base: DataFrame, overlay: DataFrame) -> DataFrame:
     """Base points, then overlay points with indices that go on where the base ends."""
     size = base.count()
-    added = numbered(overlay.withColumnRenamed("point_index", "source_point_index"), "source_point_index", [F.col("id")], size, "point_index").withColumn("node_role", F.lit("overlay"))
+    added = numbered(overlay.withColumnRenamed("point_index", "source_point_index"), [F.asc("source_point_index"), F.asc("id")], size, "point_index").withColumn("node_role", F.lit("overlay"))
     own = base.withColumn("node_role", F.lit("primary")).withColumn("source_point_index", F.col("point_index"))
     return own.unionByName(added.select(*own.columns))
 
@@ -137,3 +134,30 @@ def degrees(nodes: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select(F.col("source_node_id").alias("id")).unionByName(links.select(F.col("target_node_id").alias("id")))
     counted = ends.groupBy("id").agg(F.count("*").alias("degree"))
     return nodes.select("id").join(counted, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+PAPER_DETAIL = ("paper_id", "citekey", "title", "journal", "year", "author_count", "reference_count", "graph_point_count", "graph_cluster_count")
+
+
+def paper_detail(catalog: DataFrame, paper: str) -> DataFrame:
+    """What is shown of one paper; no row if the catalog lacks it."""
+    return catalog.filter(F.col("paper_id") == paper).select(*PAPER_DETAIL).limit(1)
+
+
+def selection_detail(point: DataFrame, clusters: DataFrame, exemplars: DataFrame, catalog: DataFrame, most: int = 5) -> DataFrame:
+    """One row for each given point: its cluster, up to ``most`` exemplars of it by rank, and its paper (or itself), as structs.
+
+    For a few points at a time: what a user selected.
+    """
+    few = point.select("id", "cluster_id", F.coalesce("paper_id", "id").alias("_paper"))
+    rank = Window.partitionBy("cluster_id").orderBy("rank", "node_id")
+    first = exemplars.join(few.select("cluster_id").distinct(), "cluster_id", "left_semi").withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") <= most)
+    listed = first.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "node_id"))), lambda x: x["node_id"]).alias("exemplars"))
+    cluster = clusters.select("cluster_id", F.struct(*clusters.columns).alias("cluster"))
+    paper = catalog.select(F.col("paper_id").alias("_paper"), F.struct(*PAPER_DETAIL).alias("paper"))
+    return few.join(cluster, "cluster_id", "left").join(listed, "cluster_id", "left").join(paper, "_paper", "left").select("id", "cluster", F.coalesce("exemplars", F.array().cast("array<string>")).alias("exemplars"), "paper")
+
+
+def by_index(points: DataFrame, columns: list[str], index: str = "point_index") -> DataFrame:
+    """Some columns of a release's points, in order of the index."""
+    return points.select(index, *columns).orderBy(index)

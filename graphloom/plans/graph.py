@@ -382,7 +382,7 @@ def anl_03(spark: SparkSession, sf: str) -> DataFrame:
 FROM (SELECT column_key, count / sum(count) OVER (PARTITION BY column_key) AS p FROM counts) GROUP BY column_key""")
 def anl_04(spark: SparkSession, sf: str) -> DataFrame:
     """How diverse each column's values are."""
-    counts = analytics.value_counts(points(spark, sf), FACETED, 1_000_000, ["semantic_groups"])
+    counts = analytics.all_value_counts(points(spark, sf), FACETED, ["semantic_groups"])
     df = insights.diversity(counts)
     return df.withColumn("normalized_entropy", F.round("normalized_entropy", 6))
 
@@ -390,7 +390,7 @@ def anl_04(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_(POINTS, COUNTS.format(t="points")) + "SELECT column_key, min_by(value, row_rank) AS value, max(count) AS count, round(max(count) / sum(count), 6) AS fraction FROM counts GROUP BY column_key")
 def anl_05(spark: SparkSession, sf: str) -> DataFrame:
     """Each column's most frequent value."""
-    df = insights.dominant(analytics.value_counts(points(spark, sf), FACETED, 1_000_000, ["semantic_groups"]))
+    df = insights.dominant(analytics.all_value_counts(points(spark, sf), FACETED, ["semantic_groups"]))
     return df.withColumn("fraction", F.round("fraction", 6))
 
 
@@ -536,7 +536,8 @@ def snk_01(spark: SparkSession, sf: str) -> DataFrame:
     return files.quoted_csv(points(spark, sf), ["id", "title", "paper_id"], "point_index")
 
 
-@query()
+@query(with_(POINTS) + """SELECT id, round(domain_score, 6) AS domain_score FROM (SELECT *, (g * g + ln(1 + coalesce(paper_reference_count, 0)) + coalesce(greatest(0.0, 1 - (2000 - year) / 50), 0)) * CASE WHEN lower(journal) = 'building' THEN 1.5 ELSE 1 END AS domain_score
+FROM (SELECT *, len(list_filter(string_split(coalesce(semantic_groups, ''), ','), lambda x: trim(x) <> '')) AS g FROM points)) ORDER BY round(domain_score, 9) DESC, point_index LIMIT 50""")
 def sel_15(spark: SparkSession, sf: str) -> DataFrame:
     """The points of highest domain score."""
     return analytics_top(spark, sf)
@@ -545,4 +546,4 @@ def sel_15(spark: SparkSession, sf: str) -> DataFrame:
 def analytics_top(spark: SparkSession, sf: str) -> DataFrame:
     from graphloom.operators.selection import domain_score
 
-    return domain_score(points(spark, sf), 2000, ["building"]).orderBy(F.desc("domain_score"), "point_index").limit(50).select("id", "domain_score")
+    return domain_score(points(spark, sf), 2000, ["building"]).orderBy(F.round("domain_score", 9).desc(), "point_index").limit(50).select("id", F.round("domain_score", 6).alias("domain_score"))

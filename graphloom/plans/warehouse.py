@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +12,16 @@ from graphloom.plans import standins as s
 from graphloom.plans.base import query
 from graphloom.plans.standins import ANNOTATIONS, CITATIONS, JOURNALS, METRICS, PAPERS, PATTERNS, RELATIONS, VOCABULARY, with_
 from graphloom.sources import files, merge
-from graphloom.sources.files import table
+from graphloom.sources.files import kept, scratch, table
 from graphloom.streaming import ingest
 
 # ---------------------------------------------------------------- expressions
 
 
-@query("""SELECT doc_id, lower(trim(substr(text, 1, 60))) AS lowered, nullif(regexp_replace(trim(lower(text), ' '), '\\s+', ' ', 'g'), '') AS key FROM documents""")
+@query("""SELECT doc_id, lower(trim(text)) AS lowered, nullif(regexp_replace(trim(lower(text), ' '), '\\s+', ' ', 'g'), '') AS key FROM documents""")
 def scl_01(spark: SparkSession, sf: str) -> DataFrame:
     """Lookup keys."""
-    return table(spark, sf, "documents").select("doc_id", F.lower(F.trim(F.substring("text", 1, 60))).alias("lowered"), text.lookup_key(F.col("text")).alias("key"))
+    return table(spark, sf, "documents").select("doc_id", F.lower(F.trim("text")).alias("lowered"), text.lookup_key(F.col("text")).alias("key"))
 
 
 @query(with_(PAPERS) + "SELECT paper_id, venue_raw, normalized_venue FROM venues")
@@ -161,11 +159,11 @@ def agg_14(spark: SparkSession, sf: str) -> DataFrame:
     return merge.reference_metrics(s.citations(spark, sf))
 
 
-@query("SELECT l_orderkey, l_returnflag, l_linestatus, min(l_suppkey) AS l_suppkey, 1 AS n FROM lineitem GROUP BY ALL")
+@query("SELECT DISTINCT l_partkey, l_returnflag, l_linestatus FROM lineitem")
 def win_07(spark: SparkSession, sf: str) -> DataFrame:
     """Repeated rows taken out."""
-    kept = merge.first_of(table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_suppkey"), ["l_orderkey", "l_returnflag", "l_linestatus"], [F.asc("l_suppkey")])
-    return merge.deduplicated(kept, ["l_orderkey", "l_returnflag", "l_linestatus"]).withColumn("n", F.lit(1))
+    columns = ["l_partkey", "l_returnflag", "l_linestatus"]
+    return merge.deduplicated(table(spark, sf, "lineitem").select(*columns), columns)
 
 
 @query(with_(RELATIONS) + "SELECT pmid, relation_type, subject_entity_id, object_entity_id, min(relation_source) AS relation_source FROM relations GROUP BY ALL")
@@ -201,10 +199,11 @@ def jon_19(spark: SparkSession, sf: str) -> DataFrame:
     return merge.filled(rows, table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name")), "c_custkey", "name").select("o_orderkey", "name")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 200000)")
 def jon_16(spark: SparkSession, sf: str) -> DataFrame:
     """Rows without a partner (JON-16, JON-17, JON-20)."""
-    return table(spark, sf, "customer").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    large = table(spark, sf, "orders").filter("o_orderstatus = 'F' and o_totalprice > 200000")
+    return table(spark, sf, "customer").join(large.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("""SELECT c.conv_id, c.turn, (SELECT max(u.turn) FROM conversations u WHERE u.conv_id = c.conv_id AND u.role = 'user' AND u.turn <= c.turn) AS user_turn FROM conversations c""")
@@ -221,7 +220,7 @@ def jon_22(spark: SparkSession, sf: str) -> DataFrame:
 
 def _inputs(spark: SparkSession, sf: str):
     terms, aliases = s.vocabulary(spark)
-    return s.papers(spark, sf), s.journals(spark, sf), s.venue_patterns(spark), s.annotations(spark, sf), aliases, terms
+    return s.papers(spark, sf), kept(s.journals(spark, sf), "journals"), s.venue_patterns(spark), s.annotations(spark, sf), aliases, terms
 
 
 HITS = with_(PAPERS, JOURNALS, PATTERNS, ANNOTATIONS, VOCABULARY) + """, signals AS (
@@ -289,12 +288,13 @@ summary AS (SELECT *, 100 * (current_status = 'mapped')::INT + 60 * mj::INT + 35
 
 
 def _mapped(spark: SparkSession, sf: str):
+    """The phases of a run; each is written once and read by those that follow."""
     p, journals, patterns, annotations, aliases, terms = _inputs(spark, sf)
-    admission = selection.admission_signals(p, journals, patterns, annotations, aliases, terms)
-    status = selection.admitted(p, admission)
-    relations, metrics = s.relations(spark, sf), merge.reference_metrics(s.citations(spark, sf))
-    signals = selection.mapped_signals(p, status, journals, patterns, annotations, relations, metrics)
-    final = selection.promoted(p, status, signals)
+    admission = kept(selection.admission_signals(p, journals, patterns, annotations, aliases, terms), "admission")
+    status = kept(selection.admitted(p, admission), "status")
+    relations, metrics = s.relations(spark, sf), kept(merge.reference_metrics(s.citations(spark, sf)), "metrics")
+    signals = kept(selection.mapped_signals(p, status, journals, patterns, annotations, relations, metrics), "promotion")
+    final = kept(selection.promoted(p, status, signals), "final-status")
     return p, admission, signals, final, annotations, relations, metrics
 
 
@@ -363,7 +363,13 @@ def doc_04(spark: SparkSession, sf: str) -> DataFrame:
     return docs.contract_audit(texts, labels, labels.filter("quality = 1"), "doc_id")
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id AS corpus_id, i - 1 AS block_ordinal, x[i] AS t FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)) WHERE trim(x[i], ' ') <> ''),
+p AS (SELECT *, length(regexp_extract(t, '^[.!?]*')) AS lead FROM l),
+q AS (SELECT *, regexp_extract_all(substr(t, lead + 1), '[^.!?]+[.!?]*') AS pieces FROM p),
+w AS (SELECT *, list_transform(pieces, lambda x: length(x)) AS sizes, list_transform(pieces, lambda x: regexp_extract(x, '[^.!?]+[.!?]?')) AS bodies FROM q),
+k AS (SELECT corpus_id, block_ordinal, t, lead, sizes, bodies, unnest(range(1, len(bodies) + 1)) AS i FROM w WHERE len(list_filter(bodies, lambda x: trim(x, ' ') <> '')) > 0),
+s AS (SELECT corpus_id, block_ordinal, lead + coalesce(list_sum(sizes[1:i - 1]), 0) AS start_offset, bodies[i] AS body FROM k WHERE trim(bodies[i], ' ') <> '' UNION ALL SELECT corpus_id, block_ordinal, 0, t FROM w WHERE len(list_filter(bodies, lambda x: trim(x, ' ') <> '')) = 0)
+SELECT corpus_id, block_ordinal, row_number() OVER (PARTITION BY corpus_id, block_ordinal ORDER BY start_offset) - 1 AS sentence_ordinal, start_offset::BIGINT AS start_offset, (start_offset + length(body))::BIGINT AS end_offset, trim(body, ' ') AS text FROM s""")
 def doc_01(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences of all documents, lines as paragraphs (DOC-01, JON-21, SCL-11)."""
     rows = table(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("corpus_id"), F.posexplode(F.split("text", "\n")).alias("block_ordinal", "text"))
@@ -371,7 +377,13 @@ def doc_01(spark: SparkSession, sf: str) -> DataFrame:
     return docs.block_sentences(blocks).select("corpus_id", "block_ordinal", "sentence_ordinal", "start_offset", "end_offset", "text")
 
 
-@query()
+CHUNKS = r"""WITH RECURSIVE b AS (SELECT doc_id AS corpus_id, i - 1 AS n, len(list_filter(regexp_split_to_array(x[i], '\s+'), lambda w: w <> '')) AS words FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL))),
+step AS (SELECT corpus_id, n, words AS held, 0 AS chunk_ordinal, 0 AS first_block FROM b WHERE n = 0
+  UNION ALL SELECT b.corpus_id, b.n, CASE WHEN held >= 256 OR held + b.words > 384 THEN b.words ELSE held + b.words END, chunk_ordinal + (held >= 256 OR held + b.words > 384)::INT, CASE WHEN held >= 256 OR held + b.words > 384 THEN b.n ELSE first_block END FROM step JOIN b ON b.corpus_id = step.corpus_id AND b.n = step.n + 1)
+SELECT corpus_id, chunk_ordinal::BIGINT AS chunk_ordinal, min(first_block)::BIGINT AS first_block, max(held)::BIGINT AS words FROM step GROUP BY corpus_id, chunk_ordinal"""
+
+
+@query(CHUNKS)
 def doc_05(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of all documents, lines as blocks."""
     rows = table(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("corpus_id"), F.posexplode(F.split("text", "\n")).alias("block_ordinal", "text"))
@@ -450,19 +462,10 @@ def _stream(spark: SparkSession, sf: str, per_trigger: int = 100) -> DataFrame:
     return ingest.files(spark, sf, table(spark, sf, "events").schema, "events.parquet", per_trigger=per_trigger)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT user_id, max(event_id) AS event_id, count(*) > 0 AS seen FROM events GROUP BY user_id")
 def str_04(spark: SparkSession, sf: str) -> DataFrame:
     """Files loaded as they come, the last row of each key kept (STR-01, STR-03, STR-04)."""
-    path = _scratch(spark, "ingest")
+    path = scratch(spark, "ingest")
 
     def latest(batch: DataFrame, number: int) -> None:
         first = merge.first_of(batch.select("user_id", "event_id"), ["user_id"], [F.desc("event_id")])
@@ -475,7 +478,7 @@ def str_04(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS count FROM events GROUP BY ALL")
 def str_06(spark: SparkSession, sf: str) -> DataFrame:
     """Counts by day and kind over a stream (an extension: windows with a watermark)."""
-    path = _scratch(spark, "windows")
+    path = scratch(spark, "windows")
     counted = ingest.tumbling(_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", "1 hour", ["event_type"])
     shaped = counted.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "count")
     write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
@@ -487,5 +490,5 @@ def str_06(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT count(*) AS n FROM customer")
 def snk_15(spark: SparkSession, sf: str) -> DataFrame:
     """A version of a table, published beside the others (SNK-14, SNK-15)."""
-    path = files.publish(table(spark, sf, "customer"), _scratch(spark, "published"), "customer")
+    path = files.publish(table(spark, sf, "customer"), scratch(spark, "published"), "customer")
     return spark.read.parquet(path).agg(F.count("*").alias("n"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import tempfile
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.codes import ENTITY_TYPES, FROM_TSV, RELATION_TYPES, code_of, entity_type_of, relation_name
@@ -16,14 +18,22 @@ from graphloom.functions.text import blank_to_null, canonical_digest, clean_inve
 #: The tables of a bundle and those it can't be without.
 REQUIRED, OPTIONAL = ("base_points", "base_clusters"), ("universe_points", "universe_links", "cluster_exemplars", "paper_documents")
 LATEST_VERSION = 4
+#: Tables of old bundles that a new one must not have.
+DEPRECATED = (
+    "corpus_points", "corpus_clusters", "reservoir_points", "corpus_documents", "corpus_cluster_exemplars", "corpus_links",
+    "graph_points", "graph_clusters", "graph_facets", "graph_cluster_exemplars", "paper_points",
+)
 
 PAPERS = """corpusid long, title string, venue string, year int, publicationdate string, isopenaccess boolean, publicationvenueid string,
  externalids struct<PubMed: string, DOI: string, PubMedCentral: string>, authors array<struct<authorId: string, name: string>>, openaccessinfo struct<url: string, status: string>"""
 VENUES, AUTHORS = "id string, issn string, name string", "authorid string, name string, externalids struct<ORCID: string>"
 ABSTRACTS, TLDRS = "corpusid long, abstract string", "corpusid long, text string"
 CITATIONS = "citationid long, citingcorpusid long, citedcorpusid long, isinfluential boolean, intents array<string>"
-FAMILIES = {"publication-venues": VENUES, "authors": AUTHORS, "papers": PAPERS, "abstracts": ABSTRACTS, "tldrs": TLDRS, "citations": CITATIONS}
+S2ORC = "corpusid long, body struct<text: string, annotations: struct<section_header: string, paragraph: string, sentence: string>>"
+FAMILIES = {"publication-venues": VENUES, "authors": AUTHORS, "papers": PAPERS, "abstracts": ABSTRACTS, "tldrs": TLDRS, "citations": CITATIONS, "s2orc_v2": S2ORC}
+#: Families that a release is read for unless others are named, and those without which it can't be read.
 BY_DEFAULT = ("publication-venues", "authors", "papers", "abstracts", "citations")
+NEEDED = ("publication-venues", "authors", "papers", "abstracts", "citations")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,13 +57,36 @@ class Bundle:
         return self.read[name].select(*columns) if columns else self.read[name]
 
 
-def open_bundle(spark: SparkSession, folder: str, verify: bool = True) -> Bundle:
-    """A bundle by its ``manifest.json``: version, required tables, and (``verify``) file digests."""
-    manifest = json.loads(spark.read.text(f"{folder}/manifest.json", wholetext=True).first()[0])
-    problems = [f"no table {t}" for t in REQUIRED if t not in manifest.get("tables", {})]
-    problems += [f"unknown table {t}" for t in manifest.get("tables", {}) if t not in REQUIRED + OPTIONAL]
+def normalised_manifest(row: dict) -> dict:
+    """A bundle's manifest from the row of the run that made it: the manifest's own values before the row's.
+
+    Tables that name no file are left out; the version is a whole number, 0 if it is none.
+    """
+    own = row.get("bundle_manifest")
+    own = own if isinstance(own, dict) else {}
+    text = lambda name, other: own[name] if isinstance(own.get(name), str) else row.get(other)
+    tables = own.get("tables") if isinstance(own.get("tables"), dict) else {}
+    version = str(own.get("bundle_version", own.get("version", row.get("bundle_version")))).strip()
+    return {
+        "format": text("bundle_format", "bundle_format"), "graph_name": text("graph_name", "graph_name"), "run_id": text("graph_run_id", "id"), "created_at": text("created_at", "created_at"),
+        "version": int(version) if version.isdecimal() else 0, "tables": {name: t for name, t in tables.items() if isinstance(t, dict) and isinstance(t.get("file"), str)},
+    }
+
+
+def manifest_problems(manifest: dict) -> list[str]:
+    """What is wrong with a manifest: tables that lack, are old or unknown, and the version."""
+    tables = manifest.get("tables", {})
+    problems = [f"no table {t}" for t in REQUIRED if t not in tables]
+    problems += [f"{'old' if t in DEPRECATED else 'unknown'} table {t}" for t in tables if t not in REQUIRED + OPTIONAL]
     if not 1 <= int(manifest.get("version", 0)) <= LATEST_VERSION:
         problems.append(f"version {manifest.get('version')}")
+    return problems
+
+
+def open_bundle(spark: SparkSession, folder: str, verify: bool = True) -> Bundle:
+    """A bundle by its ``manifest.json``: version, tables, and (``verify``) file digests."""
+    manifest = json.loads(spark.read.text(f"{folder}/manifest.json", wholetext=True).first()[0])
+    problems = manifest_problems(manifest)
     if verify and not problems:
         problems += mismatched(spark, folder, {x["file"]: x["sha256"] for x in manifest["tables"].values()})
     if problems:
@@ -79,6 +112,15 @@ def file_plan(manifest: dict, families: Iterable[str] = BY_DEFAULT, max_files: i
     return out
 
 
+def manifest_checksum(manifest: dict) -> str:
+    """SHA-256 of a manifest as canonical JSON: sorted names, no white space."""
+    return hashlib.sha256(json.dumps(manifest, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def needed_missing(manifest: dict) -> list[str]:
+    return [family for family in NEEDED if not manifest.get(family)]
+
+
 def json_lines(spark: SparkSession, path: str | list[str], family: str, per_file: int | None = None) -> DataFrame:
     """Rows of one family's JSON lines; a line that is no object of the family stops the read.
 
@@ -87,8 +129,6 @@ def json_lines(spark: SparkSession, path: str | list[str], family: str, per_file
     reader = spark.read.schema(FAMILIES[family]).option("mode", "FAILFAST")
     if per_file is None:
         return reader.json(path)
-    from pyspark.sql import Window
-
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
     first = lines.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("block", "at"))).filter(F.col("n") <= per_file)
     return first.select(F.from_json("value", FAMILIES[family], {"mode": "FAILFAST"}).alias("row")).select("row.*")
@@ -136,6 +176,24 @@ def citations(raw: DataFrame) -> DataFrame:
     )
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, ordinal (from 0) and value of every line; lines of one file are numbered by its blocks."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    return lines.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1).alias("ordinal"), "value")
+
+
+def citation_checksums(lines: DataFrame) -> DataFrame:
+    """``citations`` of ``numbered_lines`` with a SHA-256 over the file's name, the line's number and what it says."""
+    rows = lines.select("file", "ordinal", F.from_json("value", CITATIONS, {"mode": "FAILFAST"}).alias("c")).select("file", "ordinal", "c.*")
+    intents = F.array_join(F.filter(F.transform("intents", lambda x: F.trim(x)), lambda x: x != ""), ",")
+    influential = F.coalesce("isinfluential", F.lit(False))
+    said = F.struct("citationid", "citedcorpusid", "citingcorpusid", F.col("file").alias("file_name"), F.nullif(intents, F.lit("")).alias("intents"), influential.alias("isinfluential"), "ordinal")
+    return rows.select(
+        F.col("citingcorpusid").cast("string").alias("citing_paper_id"), F.col("citedcorpusid").cast("string").alias("cited_paper_id"), "ordinal",
+        F.sha2(F.to_json(said, {"ignoreNullFields": "false"}), 256).alias("reference_checksum"), influential.alias("is_influential"),
+    )
+
+
 def _tabbed(lines: DataFrame, size: int) -> DataFrame:
     """Fields ``f`` of lines with at least ``size`` fields and a number in front; there is no quoting."""
     cut = lines.select(F.split("value", "\t").alias("f"))
@@ -185,6 +243,24 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).option("quoteAll", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of this name that all executors share: under ``spark.checkpoint.dir``, local only in local tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written once to ``scratch`` and read back, for what several later steps read."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def append(batch: DataFrame, path: str, by: Iterable[str] = ()) -> None:
     writer = batch.write.mode("append")
     (writer.partitionBy(*by) if by else writer).parquet(path)
@@ -195,10 +271,10 @@ def overwrite_slices(batch: DataFrame, path: str, by: Iterable[str]) -> None:
     batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def publish(rows: DataFrame, folder: str, name: str) -> str:
+def publish(rows: DataFrame, folder: str, name: str, level: int = 3, group_bytes: int = 128 << 20) -> str:
     """Writes a new version beside the old ones and returns its path; readers switch by pointer."""
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}.parquet"
-    rows.write.option("compression", "zstd").parquet(path)
+    rows.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.block.size", group_bytes).parquet(path)
     return path
 
 

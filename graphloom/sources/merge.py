@@ -134,3 +134,19 @@ def summed_metrics(*batches: DataFrame) -> DataFrame:
     for more in batches[1:]:
         rows = rows.unionByName(more)
     return rows.groupBy("citing_paper_id").agg(*(F.sum(c).alias(c) for c in rows.columns if c != "citing_paper_id"))
+
+
+def with_payloads(rows: DataFrame, key: str) -> DataFrame:
+    """key and the rest of each row as one JSON text, nulls kept."""
+    others = [c for c in rows.columns if c != key]
+    return rows.select(key, F.to_json(F.struct(*others), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def replaced_spine(stored: dict[str, DataFrame], batch: dict[str, DataFrame], key: str) -> dict[str, DataFrame]:
+    """The tables of a document's parts after a batch: of every document in any table of the batch, all stored parts go."""
+    touched = None
+    for rows in batch.values():
+        keys = rows.select(key)
+        touched = keys if touched is None else touched.union(keys)
+    touched = touched.distinct()
+    return {name: rows.join(touched, key, "left_anti").unionByName(batch[name]) for name, rows in stored.items()}

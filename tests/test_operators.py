@@ -173,10 +173,9 @@ def test_scopes(spark):
         scope.scoped(df, "odd")
 
 
-def test_numbering_over_blocks(spark, monkeypatch):
-    monkeypatch.setattr(views, "NUMBERED_TOGETHER", 7)
+def test_numbering_over_partitions(spark):
     df = spark.range(100).filter("id % 3 <> 0").select(F.col("id").alias("i"))
-    rows = views.numbered(df, "i", [], 10, "n").orderBy("i").collect()
+    rows = views.numbered(df, [F.asc("i")], 10, "n").orderBy("i").collect()
     assert [r.n for r in rows] == list(range(10, 10 + len(rows)))
 
 
