@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import discard, require, stored, text_or_empty
 
 THRESHOLD = 0.72
-#: Directories with a licence up to which they are broadcast; more are joined by a shuffle.
+#: Directories with a licence, and words of likely licences, up to which they are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 100_000
 
 # Licences, and notices by which they ask to be named, with their SPDX identifiers.
@@ -137,9 +137,11 @@ def own_licences(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     templates = spark.createDataFrame([(i, name, whole) for i, (name, whole) in enumerate(TEMPLATES)], "template int, licence string, whole string")
     tf = templates.select("template", "licence", F.explode(terms("whole")).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
     rows = files.select(*_row_key(key, path, text), text_or_empty(text).alias("whole"))
+    words = sorted(r["term"] for r in tf.select("term").distinct().collect())
     # The empty word counts the files themselves, in the same aggregation.
-    df = stored(rows.select(F.explode(F.array_append(F.array_distinct(terms("whole")), F.lit(""))).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "document-frequencies")
-    n = (df.filter(F.col("term") == "").first() or [None, 0])[1]
+    counted_words = rows.select(F.explode(F.array_append(F.array_intersect(terms("whole"), F.lit(words)), F.lit(""))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()
+    n = next((r["df"] for r in counted_words if r["term"] == ""), 0)
+    df = spark.createDataFrame([tuple(r) for r in counted_words], "term string, df long")
     idf = F.log((1.0 + n) / (1.0 + F.coalesce("df", F.lit(0)))) + 1
     # Templates are bounded: what is made of them alone may be collected and broadcast.
     weighed = tf.join(df, "term", "left").select("template", "licence", "term", (F.col("tf") * idf).alias("w"), idf.alias("idf")).collect()
@@ -165,7 +167,11 @@ def own_licences(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     dots = counted.join(F.broadcast(t_weights), "term").groupBy(*of_unit, "template", "licence").agg(F.sum(F.col("tf") * F.col("idf") * F.col("t_w")).alias("dot"))
     near = stored(dots.join(lengths, ["doc", "uid", "unit"]).filter(F.col("dot") >= (THRESHOLD - 1e-9) * F.sqrt(F.col("squared") + F.col("others"))), "likely-licences")
     outside = stored(counted.filter(F.col("idf").isNull()).join(near.select("doc", "uid", "unit").distinct(), ["doc", "uid", "unit"]).select("doc", "uid", "unit", "term", "tf"), "other-words")
-    rest = outside.join(df, "term").groupBy("doc", "uid", "unit").agg(F.sum((F.col("tf") * idf) ** 2).alias("rest"))
+    # Only of these words the number of files is still to be counted.
+    wanted = stored(outside.select("term").distinct(), "other-terms")
+    few = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
+    other_df = stored(rows.select(F.explode(F.array_distinct(terms("whole"))).alias("term")).join(few, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")), "document-frequencies")
+    rest = outside.join(other_df, "term").groupBy("doc", "uid", "unit").agg(F.sum((F.col("tf") * idf) ** 2).alias("rest"))
     cosine = F.col("dot") / F.sqrt(F.col("squared") + F.coalesce("rest", F.lit(0.0)))
     cosines = near.join(rest, ["doc", "uid", "unit"], "left").withColumn("cosine", cosine).filter(F.col("cosine") >= THRESHOLD)
     of_units = cosines.groupBy(*of_unit).agg(F.max(F.struct("cosine", "licence")).alias("best"))
@@ -174,7 +180,7 @@ def own_licences(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     total = F.greatest(F.max(F.when(F.col("at") < 0, F.col("covered")).otherwise(0)), F.sum(F.when(F.col("at") >= 0, F.col("covered")).otherwise(0)))
     found = of_paragraphs.groupBy("doc", "uid").agg(F.max("best").alias("best"), (total / F.first("n_terms")).alias("share"))
     out = stored(found.select("doc", "uid", F.col("best.licence").alias("own_licence"), F.round("best.cosine", 6).alias("own_cosine"), "share"), "own-licences")
-    discard(df, counted, near, outside)
+    discard(counted, near, outside, wanted, other_df)
     return out
 
 

@@ -1,6 +1,15 @@
+import random
+import textwrap
+from collections import Counter, defaultdict
+from math import log, sqrt
+
+import pytest
+import regex
+
+from graphloom.llm import license_scan
 from graphloom.llm.common import table
 from graphloom.llm.html_main import extract, main_text
-from graphloom.llm.license_scan import scan_licences
+from graphloom.llm.license_scan import TEMPLATES, scan_licences
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>"</script></head><body>
 <nav><ul><li>Menu</li></ul></nav><header>Head</header><div class="ad">Buy</div><article><h1>A &amp; B</h1><p>One  two<br>three<p>Four &lt;x&gt; <b>bold</b>
@@ -15,6 +24,50 @@ def test_main_text():
     assert main_text("<div>" * 300 + "deep", set()) == "deep"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div>" * 10_000 + "deep", "deep"),
+        ("<font>" * 12_000 + "x</i></b>", "x"),
+        ('<article class="post with-sidebar"><p>text</p></article>', "text"),
+        ('<article class="post comment-open"><p>text</p></article>', "text"),
+        ('<div class="content no-ads"><p>text</p></div>', "text"),
+        ('<article><p class="share-price">5</p><h2 id="related-work">R</h2><math>m</math><label>l</label></article>', "5\n\nR\n\nml"),
+        ('<article><p>a</p><div class="comment-list"><p>c</p></div><div class="sidebar">s</div><div id="site-footer">f</div></article>', "a"),
+        ('<article><p>main</p></article><article class="comment"><p>reader</p></article>', "main"),
+        ('<p>a<a href="x>b</p><p>c', "ab\n\nc"),
+        ("1 < 2 &amp;lt; 3", "1 < 2 &lt; 3"),
+    ],
+)
+def test_odd_pages_give_their_text(page, text):
+    assert main_text(page, set()) == text
+
+
+def test_templates_equal_counting(spark):
+    """Hosts with boxes on more and fewer pages: what goes is what recurs on enough different pages."""
+    rng = random.Random(3)
+    sizes, boxes = {"a.org": 60, "b.org": 12, "c.org": 400}, [f"<div><p>Box number {i} of the site</p></div>" for i in range(12)]
+    pages, holds = [], defaultdict(set)
+    for host, size in sizes.items():
+        for i in range(size):
+            own = [b for b in range(12) if rng.random() < (b + 1) / 40]
+            body = f"<div><p>Own words of page {i} of {host}, {rng.random()} of them and more of these</p></div>" + "".join(boxes[b] for b in own)
+            pages.append((len(pages), f"https://{host}/{i}", f"<body>{body}</body>", own))
+            for b in own:
+                holds[host, b].add(body)
+    copies = [(len(pages) + i, "https://b.org/copy", "<body>" + boxes[0] + "<div><p>The same page over and over, with its own words</p></div></body>", [0]) for i in range(30)]
+    for b in (0,):
+        holds["b.org", b].add(copies[0][2])
+    different = {h: n + (h == "b.org") for h, n in sizes.items()}
+    gone = {k for k, on in holds.items() if len(on) >= 8 and len(on) >= 0.05 * different[k[0]]}
+    assert 5 < len(gone) < 30
+    rows = {r.page_id: r.text for r in extract(spark.createDataFrame([p[:3] for p in pages + copies], "page_id long, url string, html string")).collect()}
+    for i, url, _, own in pages + copies:
+        host = url.split("/")[2]
+        assert [f"Box number {b} of the site" in rows[i] for b in own] == [(host, b) not in gone for b in own]
+        assert "wn words" in rows[i]
+
+
 def test_templates_of_a_site_go(spark):
     box = "<div><p>Read our house rules before you write</p></div>"
     pages = [(i, f"http://a.org/{i}", f"<body><div><p>Own text number {i}</p></div>{box}</body>") for i in range(12)]
@@ -48,3 +101,42 @@ def test_licences(spark):
     assert (rows[8].licence, rows[8].inherited_from) == ("MIT", "a")
     assert rows[4].licence is None and rows[5].licence is None and rows[9].licence is None
     assert scan_licences(df.limit(0)).count() == 0
+    more = [
+        (1, "c/LICENSE", "\n".join(textwrap.wrap(license_scan._BSD_GRANT, 60))), (2, "c/x.py", "print(1)"), (None, "d/a", "Released under the MIT License"), (5, "e/a", "Released under the MIT License"), (5, "e/b", "nothing here"),
+        (6, "m/x", " ".join(license_scan._MIT_GRANT.split()[1:])), (7, "f/x.c", "\n".join(textwrap.wrap(license_scan._APACHE_NAMED, 50, initial_indent=" * ", subsequent_indent=" * ")) + "\n\nint main() { return 0; }"),
+        (8, "g/LICENSE", "\n\n".join(textwrap.wrap(TEMPLATES[0][1], 70))), (9, "g/y", "a b c"), (None, None, None),
+    ]
+    rows = {(r.doc_id, r.path): (r.own_licence, r.licence, r.inherited_from) for r in scan_licences(spark.createDataFrame(more, "doc_id long, path string, text string")).collect()}
+    assert len(rows) == len(more)
+    assert rows[1, "c/LICENSE"][0] == "BSD-3-Clause" and rows[2, "c/x.py"] == (None, "BSD-3-Clause", "c")
+    assert rows[None, "d/a"][0] == rows[5, "e/a"][0] == rows[6, "m/x"][0] == rows[8, "g/LICENSE"][0] == "MIT" and rows[5, "e/b"][0] is None
+    assert rows[7, "f/x.c"][0] == "Apache-2.0" and rows[9, "g/y"] == (None, "MIT", "g")
+
+
+def test_cosines_equal_brute_force(spark, words):
+    rng = random.Random(4)
+    cut = lambda t: [w for w in regex.split(r"[^\p{L}\p{N}.]+|\.(?!\p{N})|(?<!\p{N})\.", t.lower()) if w]
+    files = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            own = rng.choices(words, k=rng.randint(1, 40))
+            if rng.random() < 0.5:
+                taken = rng.choice(TEMPLATES)[1].split()
+                own = [w for w in taken if rng.random() > 0.15] + own[: rng.randint(0, 8)]
+            parts.append("\n".join(textwrap.wrap(" ".join(own), 60)))
+        files.append((i, f"d/{i}", "\n\n".join(parts)))
+    df = Counter(w for _, _, t in files for w in set(cut(t)))
+    idf = lambda w: log((1 + len(files)) / (1 + df[w])) + 1
+    vector = lambda t: {w: n * idf(w) for w, n in Counter(cut(t)).items()}
+    length = lambda v: sqrt(sum(x * x for x in v.values()))
+    known = [(name, vector(t)) for name, t in TEMPLATES]
+    want = {}
+    for i, _, t in files:
+        units = [t, *t.split("\n\n"), *(x for x in t.split("\n") if x)]
+        scored = [(sum(x * v.get(w, 0) for w, x in u.items()) / length(u) / length(v), name) for u in map(vector, units) for name, v in known]
+        want[i] = round(max(scored)[0], 6) if max(scored)[0] >= 0.72 else None
+    found = {r.doc_id: r.own_cosine for r in scan_licences(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert found.keys() == want.keys() and 15 < sum(x is not None for x in want.values()) < 60
+    for i, x in want.items():
+        assert found[i] == pytest.approx(x, abs=2e-6), i

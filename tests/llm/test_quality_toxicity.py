@@ -1,12 +1,13 @@
 import random
 import re
 import zlib
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
 from graphloom.llm.quality_rules import Condition, judge, keep, learn, sequential_covering
-from graphloom.llm.toxicity import Lexicon, allowed, learn as learn_lexicon, nearest, score_toxicity
+from graphloom.llm.toxicity import Automaton, Lexicon, allowed, learn as learn_lexicon, score_toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -47,6 +48,11 @@ def test_rules_are_native_and_keep_good_documents(spark):
     rows = judged.filter(~F.col("base_failed")).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
     share = {r.quality: r.kept for r in rows}
     assert share[1] >= 0.97
+    # Learned on one half of the labels, held against the other.
+    half = learn(documents, labels.filter("doc_id % 2 = 0"))
+    other = judge(documents, half).filter(~F.col("base_failed")).join(labels.filter("doc_id % 2 = 1"), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r.quality: r.kept for r in other}
+    assert kept[1] >= 0.95 and kept[0] <= 0.5
     assert keep(documents, rules).columns == documents.columns
     assert keep(documents, rules).count() == judged.filter("kept").count()
 
@@ -74,30 +80,48 @@ def distance(a, b):
 
 
 def test_automaton_equals_brute_force(words):
+    """Insertions, deletions, changes and swaps, those across any place of an entry as well."""
     rng = random.Random(8)
     entries = [w for w in words if len(w) >= 5][:120]
-    lexicon = Lexicon(dict.fromkeys(entries, 5), {})
-    for entry in entries[:60]:
-        w = list(entry)
-        for _ in range(rng.randint(1, 3)):
-            at = rng.randrange(len(w))
-            w[at : at + rng.randint(0, 1)] = rng.choices("abcdefghij", k=rng.randint(0, 2))
-        word = "".join(w)
-        best = min((d for e in entries if 0 < (d := distance(word, e)) <= allowed(e)), default=None)
-        hit = nearest(word, lexicon.trie)
-        assert (hit[0] if hit else None) == best
+    automaton = Automaton(entries)
+    tried = [w[:k] + w[k + 1] + w[k] + w[k + 2 :] for w in entries[:60] for k in range(len(w) - 1)]
+    for entry in entries:
+        for _ in range(4):
+            w = list(entry)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = rng.choices("abcdefghij", k=rng.randint(0, 2))
+            tried.append("".join(w))
+    for word in tried:
+        assert automaton.nearest(word) == min(((d, e) for e in entries if 0 < (d := distance(word, e)) <= allowed(e)), default=None)
+
+
+def test_automaton_starts_anew_when_it_is_full(words, monkeypatch):
+    from graphloom.llm import toxicity
+
+    entries = [w for w in words if len(w) >= 5][:60]
+    tried = [w[1:] + w[0] for w in words] + [w[:-1] for w in entries]
+    whole = [Automaton(entries).nearest(w) for w in tried]
+    monkeypatch.setattr(toxicity, "MOST_STATES", 50)
+    small = Automaton(entries)
+    assert [small.nearest(w) for w in tried] == whole and any(whole)
 
 
 def test_held_out_toxicity(spark):
     sf_dir = "/root/testdata/sf0.1"
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     own = documents.join(labels.filter("toxic is not null").select("doc_id"), "doc_id", "left_semi")
-    rows = score_toxicity(own, learn_lexicon(documents, labels)).join(labels, "doc_id").filter("held_out").collect()
+    lexicon = learn_lexicon(documents, labels)
+    found = lambda lexicon: {r.doc_id for r in score_toxicity(own, lexicon).filter("held_out and predicted = 1").join(labels.filter("toxic = 1").select("doc_id"), "doc_id").collect()}
+    # Misspellings decide: without their hits, some toxic texts are not found.
+    exact = replace(lexicon, weights={k: 0.0 if k[0] != "word" else w for k, w in lexicon.weights.items()}, rates={k: w for k, w in lexicon.rates.items() if k[0] == "word"})
+    assert len(found(lexicon)) >= len(found(exact)) + 5
+    rows = score_toxicity(own, lexicon).join(labels, "doc_id").filter("held_out").collect()
     bad = [r.score for r in rows if r.toxic == 1]
     good = [r.score for r in rows if r.toxic == 0]
     assert len(bad) > 10 and len(good) > 100
-    assert sum(x >= 0.7 for x in bad) / len(bad) > 0.8
-    assert sum(x >= 0.7 for x in good) / len(good) < 0.03
+    assert sum(x >= 0.7 for x in bad) / len(bad) > 0.88
+    assert sum(x >= 0.7 for x in good) / len(good) < 0.01
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
 
@@ -105,7 +129,7 @@ def test_toxicity_of_odd_texts(spark, make, odd_texts):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = score_toxicity(make(odd_texts), learn_lexicon(make(odd_texts), none)).collect()
     assert len(rows) == len(odd_texts) and all(0 <= r.score < 0.7 and r.predicted == 0 for r in rows)
-    lexicon = Lexicon({"frobber": 50}, {}, {("word", "frobber"): 8.0, ("one edit", "frobber"): 6.0})
-    texts = [(1, "you are a frobber"), (2, "you are a froober"), (3, 'he said "you frobber"'), (4, "a fine day")]
+    lexicon = Lexicon({"frobber": (1.0, 50)}, {("word", "frobber"): 8.0, ("one edit", "frobber"): 6.0})
+    texts = [(1, "you are a frobber"), (2, "you are a froober"), (3, 'he said "you frobber"'), (4, "a fine day"), (5, "you,frobber/fool"), (6, "fr0bber!")]
     s = {r.doc_id: r.score for r in score_toxicity(make(texts), lexicon).collect()}
-    assert s[1] > s[2] > 0.7 > s[3] > s[4]
+    assert s[1] > s[2] > 0.7 > s[3] > s[4] and s[5] > 0.7 and s[6] > 0.7
