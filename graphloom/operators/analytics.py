@@ -264,8 +264,8 @@ def cluster_exemplars(exemplars: DataFrame, cluster: int, limit: int = 5) -> Dat
 
 
 def sample(points: DataFrame, size: int, seed: int) -> DataFrame:
-    """The same ``size`` points with a paper for each seed: those of smallest hash."""
-    return points.filter("paper_id is not null").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(size)
+    """The same ``size`` points with a paper for each seed: those of smallest digest."""
+    return points.filter("paper_id is not null").orderBy(F.md5(F.concat_ws("|", "id", F.lit(seed))), "id").limit(size)
 
 
 def widget_bars(dataset: DataFrame, scope: DataFrame | None, columns: list[str], limit: int = 8, multiple: Iterable[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.codes import palette_colour
 from graphloom.operators import analytics, guard, insights, overlay, scope, views
-from graphloom.plans.base import query
+from graphloom.plans.base import REGISTERED, query
 from graphloom.plans.standins import LINKS, POINTS, links, points, with_
 from graphloom.sources import files
 from graphloom.sources.files import table
@@ -52,7 +52,7 @@ def src_05(spark: SparkSession, sf: str) -> DataFrame:
     return views.with_attached(p, stage).select("id", "journal")
 
 
-@query()
+@query(with_(POINTS) + "SELECT point_index, id FROM points WHERE paper_id IS NOT NULL ORDER BY md5(id || '|7'), id LIMIT 100")
 def src_21(spark: SparkSession, sf: str) -> DataFrame:
     """A sample that is the same for a seed."""
     return analytics.sample(points(spark, sf), 100, 7).select("point_index", "id")
@@ -413,12 +413,16 @@ def anl_07(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("column_key", *(F.round(c, 4).alias(c) for c in df.columns[1:]))
 
 
-@query()
+def _part(name: str) -> str:
+    return f"({REGISTERED[name][1]})"
+
+
+@query(f"""SELECT column_key, p.bin AS peak_bin, direction, top_fraction, relative_range FROM ({with_(POINTS, _bins("points", 16, "min(value)", "max(value)"))} SELECT column_key, bin FROM bins QUALIFY row_number() OVER (PARTITION BY column_key ORDER BY count DESC, bin) = 1) p LEFT JOIN {_part("anl_02")} USING (column_key) LEFT JOIN {_part("anl_03")} USING (column_key) LEFT JOIN {_part("anl_06")} USING (column_key)""")
 def anl_08(spark: SparkSession, sf: str) -> DataFrame:
     """All insights into each numeric column."""
     p = points(spark, sf)
     df = insights.column_insights(analytics.histogram(p, NUMERIC), analytics.numeric_stats(p, NUMERIC))
-    return df.select("column_key", F.col("peak.bin").alias("peak_bin"), F.col("shape.direction").alias("direction"), "top_fraction", "relative_range")
+    return df.select("column_key", F.col("peak.bin").alias("peak_bin"), F.col("shape.direction").alias("direction"), F.round("top_fraction", 6).alias("top_fraction"), F.round("relative_range", 6).alias("relative_range"))
 
 
 @query(with_(POINTS, SCOPED, SELECTED) + """, a AS (SELECT journal AS value, count(*) AS c FROM points GROUP BY 1), o AS (SELECT journal AS value, count(*) AS c FROM selected GROUP BY 1), f AS (SELECT journal AS value, count(*) AS c FROM scoped GROUP BY 1)

@@ -131,7 +131,15 @@ def snk_06(spark: SparkSession, sf: str) -> DataFrame:
     return merge.upsert_keeping(c.select("c_custkey", "c_name"), batch, ["c_custkey"])
 
 
-@query()
+@query("""WITH b AS (SELECT CASE WHEN p_size > 20 THEN 'v' || p_size END AS src, CASE WHEN p_size <= 20 THEN 'i' || p_size END AS issn, 'Part ' || p_brand AS name FROM part),
+firsts AS (SELECT src, NULL AS issn, min(name) AS name FROM b WHERE src IS NOT NULL GROUP BY src UNION ALL SELECT NULL, issn, min(name) FROM b WHERE src IS NULL GROUP BY issn),
+new AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY src NULLS LAST, issn NULLS LAST) = 1),
+stored AS (SELECT s_suppkey AS venue_id, 'v' || s_suppkey AS src, CASE WHEN s_nationkey > 3 THEN 'i' || s_suppkey END AS issn, s_name AS name FROM supplier),
+met AS (SELECT venue_id, new.* FROM new JOIN stored ON stored.src = new.src UNION ALL SELECT venue_id, new.* FROM new JOIN stored ON stored.issn = new.issn),
+best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY venue_id ORDER BY src NULLS LAST) = 1)
+SELECT venue_id, coalesce(b.src, s.src) AS source_venue_id, coalesce(b.issn, s.issn) AS issn, coalesce(b.name, s.name) AS name FROM stored s LEFT JOIN best b USING (venue_id)
+UNION ALL SELECT (SELECT max(venue_id) FROM stored) + row_number() OVER (ORDER BY src NULLS LAST, issn NULLS LAST, lower(name)), src, issn, name FROM new
+WHERE NOT EXISTS (SELECT 1 FROM stored WHERE stored.src = new.src) AND NOT EXISTS (SELECT 1 FROM stored WHERE stored.issn = new.issn)""")
 def snk_07(spark: SparkSession, sf: str) -> DataFrame:
     """Venues merged by source id, ISSN or name."""
     suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("venue_id"), F.concat(F.lit("v"), "s_suppkey").alias("source_venue_id"), F.when(F.col("s_nationkey") > 3, F.concat(F.lit("i"), "s_suppkey")).alias("issn"), F.col("s_name").alias("name"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import lookup_key
+from graphloom.sources.files import kept
 
 
 def first_of(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -55,21 +56,22 @@ def upsert_venues(stored: DataFrame, batch: DataFrame) -> DataFrame:
     order = [F.col("source_venue_id").asc_nulls_last(), F.col("issn").asc_nulls_last(), F.col("_name").asc_nulls_last()]
     for c in ("source_venue_id", "issn", "_name"):
         new = first_of(new.filter(F.col(c).isNotNull()), [c], order).unionByName(new.filter(F.col(c).isNull()))
-    new = new.withColumn("_row", F.struct("source_venue_id", "issn", "_name"))
+    # Written at each step: what follows reads it several times.
+    new = kept(new.withColumn("_row", F.struct("source_venue_id", "issn", "_name")), "new-venues")
     old, met = normal(stored), None
     for rank, c in enumerate(("source_venue_id", "issn", "_name")):
-        hit = new.join(old.select("venue_id", c), c).select(*new.columns, "venue_id").withColumn("_rank", F.lit(rank))
+        hit = kept(new.join(old.select("venue_id", c), c).select(*new.columns, "venue_id").withColumn("_rank", F.lit(rank)), "known-venues")
         met = hit if met is None else met.unionByName(hit)
         # A row that was met goes no further; rows are known by all three keys, nulls included.
         key = F.to_json("_row", {"ignoreNullFields": "false"})
-        new = new.withColumn("_key", key).join(hit.select(key.alias("_key")).distinct(), "_key", "left_anti").drop("_key")
+        new = kept(new.withColumn("_key", key).join(hit.select(key.alias("_key")).distinct(), "_key", "left_anti").drop("_key"), "new-venues")
     best = first_of(met, ["venue_id"], [F.col("_rank"), *order])
     updates = best.select("venue_id", *(F.col(c).alias(f"_new_{c}") for c in ("source_venue_id", "issn", "name")))
-    kept = stored.join(updates, "venue_id", "left").select("venue_id", *(F.coalesce(f"_new_{c}", c).alias(c) for c in ("source_venue_id", "issn", "name")))
+    updated = stored.join(updates, "venue_id", "left").select("venue_id", *(F.coalesce(f"_new_{c}", c).alias(c) for c in ("source_venue_id", "issn", "name")))
     last = stored.agg(F.coalesce(F.max("venue_id"), F.lit(0)).alias("_last"))
     # Venues number in the ten thousands; only those that are new are numbered together.
     added = new.crossJoin(F.broadcast(last)).withColumn("venue_id", F.col("_last") + F.row_number().over(Window.orderBy(*order)))
-    return kept.unionByName(added.select(*kept.columns))
+    return updated.unionByName(added.select(*updated.columns))
 
 
 def changed(stored: DataFrame, batch: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
