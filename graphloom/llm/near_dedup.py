@@ -43,8 +43,8 @@ BANDS, ROWS = 10, 3
 STARS, PAIRED, BLOCK, BLOCK_CHARS = 1, 16, 512, 4096
 #: Word buckets, and the pieces in which their counts are added up.
 BUCKETS, PIECES = 1 << 18, 64
-#: Shingles that are sampled together.
-CHUNK = 1024
+#: Shingles that are sampled together, and texts whose shingles are handed on together.
+CHUNK, CUT_TOGETHER = 1024, 250
 
 _STEPS = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(WORDS)], np.uint64)
 _SEEDS = np.array([(k + 1) * 0xD1B54A32D192ED03 % (1 << 64) for k in range(BANDS * ROWS)], np.uint64)
@@ -281,7 +281,8 @@ def with_partners(members: DataFrame, whole: DataFrame, idf: np.ndarray, similar
     shared = members.sparkSession.sparkContext.broadcast(idf)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # A text's shingles are larger than the text, so few texts are cut together.
+        for batch in (b.slice(at, CUT_TOGETHER) for b in batches for at in range(0, b.num_rows, CUT_TOGETHER)):
             sets = [weighted_shingles(t.as_py(), shared.value) for t in batch.column("whole")]
             nodes = np.repeat(batch.column("node").to_numpy(), [len(x) for x, _ in sets])
             # Half a hash will do: shingles that share one only seem to be held by more texts.

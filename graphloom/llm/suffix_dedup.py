@@ -45,6 +45,8 @@ LENGTH, GRAM = 200, 32
 STARTS = LENGTH - GRAM + 1
 #: Different contexts of an anchor up to which they are refined together, and contexts in a batch.
 MOST_CONTEXTS, BATCH = 2_000, 4_000
+#: Texts whose anchors and contexts are handed on together.
+TOGETHER = 500
 #: Document keys up to which they are broadcast (16 bytes each); more are joined by a shuffle.
 MOST_KEYS = 500_000
 
@@ -181,6 +183,13 @@ def runs(flags: np.ndarray) -> list[int]:
     return np.stack([firsts, lasts], 1).ravel().tolist()
 
 
+def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches cut to ``TOGETHER`` rows: what is made of a text is larger than the text."""
+    for batch in batches:
+        for at in range(0, len(batch), TOGETHER):
+            yield batch[at : at + TOGETHER]
+
+
 def _row_key(key: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(key, text_or_empty(text)).alias("uid")]
 
@@ -196,7 +205,7 @@ def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text"
     rows = documents.select(*_row_key(key, text), text_or_empty(text).cast("binary").alias("content"))
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches):
             parts = [(d, u, *anchors(c)) for d, u, c in zip(batch["doc"], batch["uid"], batch["content"], strict=True)]
             sizes = [len(p[2]) for p in parts]
             columns = {name: np.concatenate([p[i] for p in parts]) for i, name in enumerate(("anchor", "place", "first", "last"), 2)}
@@ -209,7 +218,7 @@ def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text"
     discard(places, shared)
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for d, u, content, own in zip(batch["doc"], batch["uid"], batch["content"], batch["anchors"], strict=True):
                 for a in own:
@@ -291,7 +300,7 @@ def halves(context: bytes, before: int, x: int, y: int) -> Iterator[tuple[int, b
 
 
 def _halved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in sliced(batches):
         out = []
         for name, anchor, before, context, x, y, shard in batch[["name", "anchor", "before", "context", "x", "y", "shard"]].itertuples(index=False):
             for shift, common, own, content, low, high in halves(context, before, x, y):
@@ -323,7 +332,7 @@ def removal(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     # The row key goes beside the row's own columns, whose names may be anything.
     keyed = documents.select(F.struct(*documents.columns).alias("row"), *_row_key(key, text), text_or_empty(text).cast("binary").alias("_content"))
 
-    @F.pandas_udf("struct<n_removed: long, n_spans: long, kept: binary, kept_text: string>")
+    @F.pandas_udf("struct<n_removed: long, n_spans: long, kept: binary>")
     def removed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for contents, stretches in batches:
             out = []
@@ -333,14 +342,18 @@ def removal(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 for begin, end in found:
                     parts.append(content[at:begin])
                     at = end
-                kept = b"".join([*parts, content[at:]])
-                out.append((sum(e - b for b, e in found), len(found), kept, kept.decode("utf-8", "ignore")))
-            yield pd.DataFrame(out, columns=["n_removed", "n_spans", "kept", "kept_text"])
+                out.append((sum(e - b for b, e in found), len(found), b"".join([*parts, content[at:]])))
+            yield pd.DataFrame(out, columns=["n_removed", "n_spans", "kept"])
+
+    @F.pandas_udf("string")
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for contents in batches:
+            yield pd.Series([c.decode("utf-8", "ignore") for c in contents], dtype=object)
 
     n_bytes = F.octet_length("_content").cast("long").alias("n_bytes")
     untouched = _only(keyed, spans, "left_anti").select("row", n_bytes, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("_content").alias("kept"), F.col("_content").cast("string").alias("kept_text"))
     changed = _only(keyed, spans, "left_semi").join(spans, ["doc", "uid"]).withColumn("_r", removed("_content", "spans"))
-    return untouched.union(changed.select("row", n_bytes, "_r.n_removed", "_r.n_spans", "_r.kept", "_r.kept_text"))
+    return untouched.union(changed.select("row", n_bytes, "_r.n_removed", "_r.n_spans", "_r.kept", decoded("_r.kept").alias("kept_text")))
 
 
 def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
