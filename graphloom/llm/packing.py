@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import operator
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,8 +34,9 @@ from graphloom.llm.token_count import printable_bytes
 
 #: The most ids of a part, the windows of a group, and the ids that each is meant to lack.
 PART, GROUP_WINDOWS, SPARE = 512, 64, 16
-#: Distinct words whose ids a Python worker remembers in each of two generations.
-CACHE_WORDS = 300_000
+#: Distinct words whose ids a Python worker remembers in each of two generations, unless another number is given
+#: (about 200 bytes each).
+CACHE_WORDS = 600_000
 #: The parts into which the vocabulary cuts a word.
 WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 #: Latin-1 bytes whose case, form or class two Unicode tables could see differently.
@@ -42,21 +44,37 @@ _UNSURE = bytes([*range(0x1C, 0x20), 0xB2, 0xB3, 0xB5, 0xB9, 0xBC, 0xBD, 0xBE])
 
 
 def differencing(lengths: list[int], windows: int) -> list[list[int]]:
-    """Indices of ``lengths`` dealt to ``windows`` lists of near-equal sums."""
+    """Indices of ``lengths`` dealt to ``windows`` lists of near-equal sums.
+
+    A partial partition holds its sums in falling order, without those that are 0, and what makes each up:
+    an index or a pair of such. Two of them are merged so that the fullest of one meets the emptiest of
+    the other; while there are empty windows for both, none is added to another.
+    """
     order = itertools.count()
-    heap = [(-n, next(order), np.array([0] * (windows - 1) + [n]), [[] for _ in range(windows - 1)] + [[i]]) for i, n in enumerate(lengths)]
-    if not heap:
-        return [[] for _ in range(windows)]
+    heap = [(-n, next(order), [(n, i)]) for i, n in enumerate(lengths)]
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, _, a, in_a = heapq.heappop(heap)
-        _, _, b, in_b = heapq.heappop(heap)
-        total = a + b[::-1]  # the fullest of one meets the emptiest of the other
-        joined = [x + y if x and y else x or y for x, y in zip(in_a, reversed(in_b))]
-        by_sum = np.argsort(total, kind="stable")
-        total = total[by_sum]
-        heapq.heappush(heap, (int(total[0] - total[-1]), next(order), total, [joined[k] for k in by_sum]))
-    return heap[0][3]
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        both = max(0, len(a) + len(b) - windows)
+        alone = a[: len(a) - both] + b[: len(b) - both]
+        met = [(x[0] + y[0], (x[1], y[1])) for x, y in zip(a[len(a) - both :], reversed(b[len(b) - both :]), strict=True)]
+        total = sorted(alone + met, key=_sum, reverse=True)
+        least = total[-1][0] if len(total) == windows else 0
+        heapq.heappush(heap, (least - total[0][0], next(order), total))
+    out: list[list[int]] = []
+    for _, made in heap[0][2] if heap else ():
+        own, waiting = [], [made]
+        while waiting:
+            part = waiting.pop()
+            if isinstance(part, tuple):
+                waiting += part
+            else:
+                own.append(part)
+        out.append(own)
+    return out + [[] for _ in range(windows - len(out))]
+
+
+_sum = operator.itemgetter(0)
 
 
 def windows_of(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -158,18 +176,19 @@ class WordIds:
             young.update(zip(unseen, self.unseen(unseen), strict=True))
 
 
-_LIBRARIES: dict[str, WordIds] = {}
+_LIBRARIES: dict[tuple[str, int], WordIds] = {}
 #: Rows handed on together.
 ROWS_TOGETHER = 1000
 PIECES = "{key} {type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def pack(documents: DataFrame, vocabulary: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+def pack(documents: DataFrame, vocabulary: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text", with_ids: bool = True, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and,
     ``with_ids``, the ids themselves (little-endian unsigned 32 bit).
 
     ``sequence_id`` holds the partition in its upper bits, so it is the same if a task is run
-    again, and rises with the order of rows from group to group.
+    again, and rises with the order of rows from group to group. ``cache_words`` trades memory of a worker
+    for time.
     """
     require(documents, (key, text))
     end = np.array([end_id], "<u4").tobytes()
@@ -178,7 +197,7 @@ def pack(documents: DataFrame, vocabulary: str, capacity: int, end_id: int, key:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        library = _LIBRARIES.get(vocabulary) or _LIBRARIES.setdefault(vocabulary, WordIds(vocabulary))
+        library = _LIBRARIES.get((vocabulary, cache_words)) or _LIBRARIES.setdefault((vocabulary, cache_words), WordIds(vocabulary, cache_words))
         sequence = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         group: list[tuple[object, int, bytes, int]] = []
