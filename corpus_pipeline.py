@@ -56,7 +56,8 @@ def in_written_order(docs: DataFrame) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 ids, with the ids, in the order of mixing: sequence_id rises with it from group to group."""
-    return pack(in_written_order(docs), public_tokenizers.path("word_bpe_49k.json"), 2048, 1)
+    # Executors still hold workers of earlier stages here, so few words are remembered.
+    return pack(in_written_order(docs), public_tokenizers.path("word_bpe_49k.json"), 2048, 1, cache_words=150_000)
 
 
 STAGES = [("quality rules", quality), ("near duplicates", near_dedup), ("repeated passages", repeats), ("mixing", mixing), ("packing", packing)]
