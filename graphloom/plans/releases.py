@@ -354,8 +354,8 @@ def flt_16(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     rows = e.select("event_id", F.when(F.col("event_type") == "error", 1).otherwise(2).alias("resource"), F.when(F.col("value") > 50, 7).otherwise(0).alias("start_offset"), F.lit(0).alias("end_offset"), F.when(F.col("event_type") == "view", 1).otherwise(2).alias("last_seen_run_id"))
     runs = spark.createDataFrame([(1, 10), (2, 20)], "ingest_run_id int, source_release_id int")
-    releases = spark.createDataFrame([(10, "pubtator"), (20, "s2")], "source_release_id int, source_name string")
-    return docs.loaded_by(docs.misplaced(rows), runs, releases, ["pt3", "pubtator"]).select("event_id")
+    releases = spark.createDataFrame([(10, "tagger"), (20, "catalogue")], "source_release_id int, source_name string")
+    return docs.loaded_by(docs.misplaced(rows), runs, releases, ["tagger"]).select("event_id")
 
 
 @query("SELECT c_custkey AS corpus_id FROM customer WHERE c_nationkey < 12 AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 0 AND c_custkey % 3 = 0")
