@@ -2,6 +2,10 @@
 
 Every stage takes the rows that the one before kept, written as Parquet and read again. Stages
 but the last return the columns of ``documents``; the last returns pieces of sequences.
+
+Null and empty texts have no words and go with the first stage. Rows with equal or null ids are told apart by
+their texts; of equal rows one stays. Columns may have any further names and are carried along. A very
+long text is held by one task in each stage. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +25,17 @@ from graphloom.llm.quality_rules import keep, learn
 from graphloom.llm.suffix_dedup import removal
 
 
+#: Rows that Spark hands to Python at once; texts are long, so the usual 10 000 would take up much of an executor.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches of the session, where they are not smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the base rule and the learned list keep."""
     return keep(docs, learn(docs, table(spark, sf_dir, "labels")))
@@ -28,11 +43,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates: the one of smallest doc_id. Rows of one doc_id but unlike texts all stay."""
+    small_batches(spark)
     return without_near_duplicates(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur anywhere else; a text that was nothing else goes."""
+    small_batches(spark)
     left = removal(docs).filter("n_removed = 0 or length(kept_text) > 0").select("row", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text")).alias("left"))
     new = {"text": F.col("left"), "n_chars": F.length("left").cast("long")}
     return left.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
@@ -56,8 +73,9 @@ def in_written_order(docs: DataFrame) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 ids, with the ids, in the order of mixing: sequence_id rises with it from group to group."""
+    small_batches(spark)
     # Executors still hold workers of earlier stages here, so few words are remembered.
-    return pack(in_written_order(docs), public_tokenizers.path("word_bpe_49k.json"), 2048, 1, cache_words=150_000)
+    return pack(in_written_order(docs), public_tokenizers.path("word_bpe_49k.json"), 2048, 1, cache_words=60_000)
 
 
 STAGES = [("quality rules", quality), ("near duplicates", near_dedup), ("repeated passages", repeats), ("mixing", mixing), ("packing", packing)]
