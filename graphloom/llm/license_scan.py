@@ -151,7 +151,7 @@ def own_licences(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     telling: set[str] = set()
     for template, squared in norms.items():
         rest = squared
-        for r in sorted((r for r in weighed if r["template"] == template), key=lambda r: (-r["w"], r["term"])):
+        for r in sorted((r for r in weighed if r["template"] == template), key=lambda r: (-r["idf"], -r["w"], r["term"])):
             if rest < (THRESHOLD**2 - 1e-9) * squared:
                 break
             telling.add(r["term"])
