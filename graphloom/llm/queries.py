@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.bpe_codec import encoded
 from graphloom.llm.common import table
+from graphloom.llm.conversations import damaged, repaired
+from graphloom.llm.hard_negatives import hard_negatives
 from graphloom.llm.html_main import extract
 from graphloom.llm.license_scan import scan_licences
 from graphloom.llm.mixing import mix
@@ -77,13 +80,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents, learn_lexicon(documents, table(spark, sf_dir, "labels")))
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text they decode to, as digests."""
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_content=False)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, and its cheapest repair."""
+    conversations = table(spark, sf_dir, "conversations")
+    return repaired(damaged(conversations), conversations.select("conv_id"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten hardest negatives of each of the five positives of every 100th vector."""
+    relabelled = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(relabelled, F.col("id") % 100 == 0, 5, 10, 30, 90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op2_mixing, op3_html_main, op4_near_dedup, op5_packing, op6_suffix_dedup, op7_topk, op8_quality_rules, op9_token_count, op10_toxicity]
+    found = [op1_license_scan, op2_mixing, op3_html_main, op4_near_dedup, op5_packing, op6_suffix_dedup, op7_topk, op8_quality_rules, op9_token_count, op10_toxicity, op11_bpe_codec, op12_conversation_repair, op13_hard_negatives]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk": OP7_SQL}
+    return {"op7_topk": OP7_SQL, "op13_hard_negatives": OP13_SQL}
 
 
 OP7_SQL = """
@@ -98,3 +118,22 @@ SELECT query_id, rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 WHERE rank <= 5
 """
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same)
+  WHERE place <= 5),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
