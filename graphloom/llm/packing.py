@@ -126,11 +126,14 @@ class WordIds:
         """Ids of each word, from one call: every part of a word ends with an id of ``last``."""
         cut = [(w,) if w.isalpha() else self.parts.findall(w) for w in words]
         line = " ".join(itertools.chain.from_iterable(cut))
-        if not line.isascii():  # bytes as the vocabulary writes them; for ASCII these are the characters
+        if not (line.isascii() and line.isprintable()):  # bytes as the vocabulary writes them; for printable ASCII these are the characters
             line = "".join(map(self.shown.__getitem__, line.encode()))
         encoded = self.of_parts.encode_batch_fast([line], add_special_tokens=False)
         ids = np.array(encoded[0].ids, "<u4")
-        ends = (np.flatnonzero(self.last[ids]) + 1)[np.cumsum([len(c) for c in cut]) - 1]
+        ends, parts = np.flatnonzero(self.last[ids]) + 1, np.cumsum([len(c) for c in cut])
+        if len(ends) != parts[-1] or not all(cut):  # parts that the library would cut further: word by word
+            return [self.whole(w).tobytes() for w in words]
+        ends = ends[parts - 1]
         content, ends = ids.tobytes(), (4 * ends).tolist()
         return [content[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
 
