@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,6 +47,7 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table ul
 PARTS = frozenset("caption dd dt legend li option tbody td tfoot th thead tr".split())
 DROPPED = frozenset("applet aside audio button datalist dialog embed fieldset footer form frame frameset head header iframe input menu nav noscript optgroup option script select style svg template textarea title video".split())
 NAMES = frozenset("ad ads adbox advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer disqus footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion recommended related replies respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+UNSURE = frozenset("banner header related search share social".split())  # what prose of an article may be called as well
 HOLDERS = frozenset("area bar block bottom box btn button buttons container content form group holder icons inner item items left link links list message msg notice outer overlay panel posts right row section slot thread top unit wrap wrapper zone".split())
 SITE = frozenset("bottom global main mobile page post primary secondary site top user reader".split())
 CLOSES = {
@@ -54,10 +55,14 @@ CLOSES = {
     "option": frozenset({"option"}), "tbody": frozenset({"thead", "tbody", "tr", "td", "th"}), "tfoot": frozenset({"tbody", "tr", "td", "th"}),
 }
 ENDS_P = BLOCKS - frozenset("body caption head html legend option tbody td tfoot th thead title tr".split())
+_P = frozenset({"p"})
 SCOPES = frozenset("article body div html main section table td th ul ol dl aside nav header footer form blockquote".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+", re.S)
-_CARELESS = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^<>]*)(?:>|(?=<)|\Z)|<", re.S)  # quotes that don't close
+# A token ends where the standard's tokeniser ends it: a quotation mark opens a value only straight after an equals
+# sign. Nothing is read twice (no quantifier gives back), so the time is linear in the page. A quoted value that
+# never ends is taken for names.
+_ATTRIBUTE = r"[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+"
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:{_ATTRIBUTE})*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|<|[^<]++", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CUT = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 
@@ -67,7 +72,7 @@ class Element:
 
     __slots__ = ("tag", "start", "children", "named", "holds_main", "size", "digest")
 
-    def __init__(self, tag: str, start: str, named: bool) -> None:
+    def __init__(self, tag: str, start: str, named: int) -> None:
         self.tag, self.start, self.children, self.named, self.holds_main, self.size, self.digest = tag, start, [], named, False, 0, b""
 
     def finish(self) -> None:
@@ -99,51 +104,64 @@ def names_furniture(token: str) -> bool:
     return first in NAMES and (last in HOLDERS or last in NAMES or last.isdigit()) or last in NAMES and first in SITE
 
 
-def _is_named(attributes: str) -> bool:
+def _is_named(attributes: str) -> int:
+    """2 if a name tells furniture, 1 if only names do that prose may have as well, else 0."""
     if "=" not in attributes:
-        return False
-    return any(names_furniture(w) for m in _NAMED.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").split())
+        return 0
+    told = 0
+    for m in _NAMED.finditer(attributes):
+        for word in (m[1] or m[2] or m[3] or "").split():
+            if names_furniture(word):
+                told = max(told, 1 if word.lower() in UNSURE else 2)
+    return told
 
 
 def parse(page: str) -> Element:
     """The tree of a page: children are elements and texts; unclosed elements end with their parent."""
-    root = Element("#root", "", False)
-    stack, open_, at, size = [root], Counter(), 0, len(page)
+    root = Element("#root", "", 0)
+    stack, at, size = [root], 0, len(page)
+    depths: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements, by tag
+    scopes: list[int] = []  # depths of those that hold off end tags of others
 
     def close(depth: int) -> None:
         while len(stack) > depth:
             element = stack.pop()
-            open_[element.tag] -= 1
+            depths[element.tag].pop()
+            if element.tag in SCOPES:
+                scopes.pop()
             element.finish()
 
+    def open_(element: Element) -> None:
+        depths[element.tag].append(len(stack))
+        if element.tag in SCOPES:
+            scopes.append(len(stack))
+        stack.append(element)
+
+    def barrier(passed: frozenset[str]) -> int:
+        """Depth of the innermost scope that is none of these."""
+        return next((d for d in reversed(scopes) if stack[d].tag not in passed), 0)
+
     while at < size:
-        m = _TOKEN.match(page, at) or _CARELESS.match(page, at)
+        m = _TOKEN.match(page, at)
         start, at = at, m.end()
-        tag = m[2] if m.re.groups else None
+        tag = m[2]
         if tag is None:
             if page[start] != "<" or at - start == 1:
                 stack[-1].children.append(m[0])
             continue
         tag = tag.lower()
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1) if open_[tag] else ():
-                if stack[depth].tag == tag:
-                    close(depth)
-                    break
-                if tag not in BLOCKS and stack[depth].tag in SCOPES:
-                    break
+            if depths[tag] and (tag in BLOCKS or depths[tag][-1] >= (scopes[-1] if scopes else 0)):
+                close(depths[tag][-1])
             continue
-        closing = CLOSES.get(tag)
-        if closing and any(open_[x] for x in closing) or not closing and tag in ENDS_P and open_["p"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                name = stack[depth].tag
-                if name in closing if closing else name == "p":
-                    close(depth)
-                    if not closing or tag in ("li", "option", "dt", "dd", "td", "th"):
-                        break
-                elif name in SCOPES:
+        closing = CLOSES.get(tag) or (_P if tag in ENDS_P else None)
+        if closing:
+            once = closing is _P or tag in ("li", "option", "dt", "dd", "td", "th")
+            while (depth := max((depths[x][-1] for x in closing if depths[x]), default=0)) > barrier(closing):
+                close(depth)
+                if once:
                     break
-        element = Element(tag, m[0], tag not in ("html", "body", "main") and _is_named(m[3]))
+        element = Element(tag, m[0], 0 if tag in ("html", "body", "main") else _is_named(m[3]))
         stack[-1].children.append(element)
         if tag in ("article", "main"):
             for above in reversed(stack):
@@ -151,16 +169,14 @@ def parse(page: str) -> Element:
                     break
                 above.holds_main = True
         if tag in RAW:
-            end = re.compile(f"</{tag}", re.I).search(page, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             element.children.append(page[at : end.start() if end else size])
             at = end.start() if end else size
-            open_[tag] += 1
-            stack.append(element)
+            open_(element)
         elif tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
             element.finish()
         else:
-            open_[tag] += 1
-            stack.append(element)
+            open_(element)
     close(1)
     root.finish()
     return root
@@ -202,7 +218,7 @@ def _text(root: Element, templates: set[int], by_name: bool) -> str:
     def dropped(e: Element, inside: int) -> bool:
         if e.tag in DROPPED and not e.holds_main:
             return True
-        if by_name and e.named and not e.holds_main:
+        if by_name and e.named > (1 if inside and e.tag in PROSE else 0) and not e.holds_main:
             return True
         return bool(templates) and _may_recur(e, inside, root.size) and e.number in templates
 
