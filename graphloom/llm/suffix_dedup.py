@@ -53,7 +53,7 @@ MOST_KEYS = 500_000
 #: Into how many shards documents are dealt.
 SHARDS = 4
 #: Bytes of a text whose anchors are found together; places within them take so many bits beside the hash.
-STRETCH, _PLACE = 1 << 27, 28
+STRETCH, _PLACE = 1 << 20, 21
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SYMBOLS = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8).digest(), "little") for b in range(256)], np.uint64)
