@@ -107,20 +107,27 @@ def numeric_values(scope: DataFrame, columns: Iterable[str]) -> DataFrame:
     return scope.select(F.explode(pairs).alias("pair")).select("pair.*").filter("value is not null")
 
 
+#: The share on either side of a quantile within which its exact place is looked for, and values up to which it is looked
+#: for among all. Approximate quantiles are off by a tenth of that share at most.
+BETWEEN, FEW_VALUES = 0.001, 10_000
+
+
 def column_quantiles(values: DataFrame, shares: tuple[float, ...]) -> DataFrame:
     """column_key and ``quantiles``, exact and interpolated as ``percentile``, of (column_key, value).
 
     No task meets all values of a column: approximate quantiles bound where each rank lies, ranks below a
-    bound are counted, and only distinct values between the bounds are ranked.
+    bound are counted, and only distinct values between the bounds are ranked, a five-hundredth of them; all are if
+    there are few.
     """
-    near = [min(max(q + d, 0.0), 1.0) for q in shares for d in (-0.01, 0.01)]
-    ends = values.groupBy("column_key").agg(F.percentile_approx("value", F.array(*map(F.lit, near)), 1000).alias("ends"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("*").alias("n"))
+    near = [min(max(q + d, 0.0), 1.0) for q in shares for d in (-BETWEEN, BETWEEN)]
+    ends = values.groupBy("column_key").agg(F.percentile_approx("value", F.array(*map(F.lit, near)), 10_000).alias("ends"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("*").alias("n"))
     # One row for each column.
     bounded = values.join(F.broadcast(ends), "column_key")
     found = None
     for i, q in enumerate(shares):
-        low = F.when(F.lit(q) <= 0.01, F.col("least")).otherwise(F.col("ends")[2 * i])
-        high = F.when(F.lit(q) >= 0.99, F.col("most")).otherwise(F.col("ends")[2 * i + 1])
+        few = F.col("n") < FEW_VALUES
+        low = F.when(few | (F.lit(q) <= BETWEEN), F.col("least")).otherwise(F.col("ends")[2 * i])
+        high = F.when(few | (F.lit(q) >= 1 - BETWEEN), F.col("most")).otherwise(F.col("ends")[2 * i + 1])
         inside = bounded.filter((F.col("value") >= low) & (F.col("value") <= high)).groupBy("column_key", "value", "n").agg(F.count("*").alias("times"))
         below = bounded.groupBy("column_key").agg(F.count_if(F.col("value") < low).alias("below"))
         upto = F.sum("times").over(Window.partitionBy("column_key").orderBy("value"))

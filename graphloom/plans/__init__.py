@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from graphloom.plans import graph, releases, warehouse
+from graphloom.plans import graph, releases, vectors, warehouse
 from graphloom.plans.base import REGISTERED, Query
 
-__all__ = ["graph", "oracle_sql", "queries", "releases", "warehouse"]
+__all__ = ["graph", "oracle_sql", "queries", "releases", "vectors", "warehouse"]
 
 
 def queries() -> dict[str, Query]:
