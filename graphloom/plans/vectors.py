@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import clusters, retrieval
+from graphloom.operators.postings import WordIndex
 from graphloom.operators.vectors import VectorIndex, neighbour_graph
 from graphloom.plans.base import query
 from graphloom.sources.files import kept, scratch, table
@@ -103,3 +104,20 @@ FROM c JOIN s USING (cluster) JOIN e USING (term) QUALIFY rank <= 10""")
 def ret_09_labels(spark: SparkSession, sf: str) -> DataFrame:
     """The ten words that tell each source's documents from the others'."""
     return clusters.cluster_labels(table(spark, sf, "documents"), "source")
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+WORD_SCORES = f"""w AS (SELECT doc_id, 'text' AS field, 1.0 AS weight, {_WORDS.format('text')} AS w FROM documents UNION ALL SELECT doc_id, 'source', 0.5, {_WORDS.format('source')} FROM documents),
+f AS (SELECT field, count(*) AS n, avg(len(w)) AS mean FROM w GROUP BY field),
+tf AS (SELECT field, doc_id, weight, len(any_value(w)) AS size, term, count(*) AS tf FROM (SELECT *, unnest(w) AS term FROM w) GROUP BY field, doc_id, weight, term),
+df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice({_WORDS.format('text')}, 1, 4)) AS term FROM benchmark),
+s AS (SELECT query_id, doc_id, round(sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (field, term) JOIN f USING (field) GROUP BY query_id, doc_id)"""
+
+
+@query("WITH " + WORD_SCORES + " SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20")
+def ret_01_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 best documents for the first four words of each benchmark item, from an index whose blocks are skipped where they can't matter."""
+    index = WordIndex.build(table(spark, sf, "documents"), scratch(spark, "words"), ["text", "source"])
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(retrieval.words(F.coalesce("text", F.lit(""))), 1, 4).alias("terms"))
+    return index.search(asked, 20, {"text": 1.0, "source": 0.5}).withColumnRenamed("doc", "doc_id")
