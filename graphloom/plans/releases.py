@@ -16,7 +16,7 @@ from graphloom.plans import standins as s
 from graphloom.plans.base import query
 from graphloom.plans.standins import PAPERS, POINTS, with_
 from graphloom.plans.warehouse import MAPPED, _mapped
-from graphloom.sources import files, merge, xml
+from graphloom.sources import files, ledger, merge, xml
 from graphloom.sources.files import kept, scratch, table
 from graphloom.streaming import ingest
 
@@ -36,49 +36,17 @@ def _text_lines(rows: DataFrame, name: str, *values: Column) -> str:
 # ---------------------------------------------------------------- bundles and manifests
 
 
-@query("SELECT count(*) AS files, 0 AS mismatched, 1 AS mismatched_if_changed FROM region")
+@query("SELECT count(DISTINCT c_nationkey) AS files, 0 AS mismatched, 1 AS mismatched_if_changed FROM customer")
 def src_03(spark: SparkSession, sf: str) -> DataFrame:
-    """Digests of files against those stated."""
-    folder, regions = scratch(spark, "digests"), table(spark, sf, "region").collect()  # five rows
-    for r in regions:
-        spark.createDataFrame([(r["r_name"],)], "value string").coalesce(1).write.mode("append").text(folder)
-    found = spark.read.format("binaryFile").load(f"{folder}/part-*").select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
-    stated = {r["file"]: r["sha256"] for r in found.collect()}
+    """Files of a release, one folder for each nation, held against stated checksums: all agree, and one that is changed does not."""
+    folder = scratch(spark, "stated")
+    table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.concat_ws(",", "c_custkey", "c_name").alias("value")).repartition("nation").write.partitionBy("nation").text(folder)
+    found = spark.read.format("binaryFile").load(f"{folder}/*/part-*").select(F.regexp_extract("path", "(nation=.*)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    stated = {r["file"]: r["sha256"] for r in found.collect()}  # as a manifest states them: one entry for each file
     wrong = [len(files.mismatched(spark, folder, d)) for d in (stated, {**stated, min(stated): "0" * 64})]
     return spark.createDataFrame([(len(stated), *wrong)], "files long, mismatched long, mismatched_if_changed long")
 
 
-@query("SELECT * FROM (VALUES ('good', 0), ('lacks a table', 1), ('old table', 1), ('unknown table', 1), ('version', 1), ('from the row', 0)) AS t(manifest, problems)")
-def src_04(spark: SparkSession, sf: str) -> DataFrame:
-    """Manifests made whole and checked."""
-    tables = {t: {"file": f"{t}.parquet"} for t in files.REQUIRED}
-    own = {"tables": tables, "bundle_version": "4"}
-    given = {
-        "good": own, "lacks a table": {**own, "tables": {"base_points": tables["base_points"], "base_clusters": {"rows": 3}}}, "old table": {**own, "tables": {**tables, "graph_points": {"file": "g"}}},
-        "unknown table": {**own, "tables": {**tables, "other": {"file": "o"}}}, "version": {**own, "bundle_version": "five"}, "from the row": {"tables": tables},
-    }
-    rows = [(name, len(files.manifest_problems(files.normalised_manifest({"bundle_manifest": m, "bundle_version": "4"})))) for name, m in given.items()]
-    return spark.createDataFrame(rows, "manifest string, problems long")
-
-
-@query("SELECT * FROM (VALUES ('authors', 1, 'json'), ('papers', 2, 'json'), ('bioconcepts', 1, 'tsv'), ('biocxml', 1, 'tar')) AS t(family, files, kind)")
-def src_16(spark: SparkSession, sf: str) -> DataFrame:
-    """Files of a release by family and kind; the manifest's checksum does not depend on the order of names."""
-    manifest = {"papers": ["b/p2.jsonl.gz", "b/p1.jsonl.gz", "b/p3.jsonl.gz"], "authors": ["a.jsonl.gz"], "bioconcepts": ["c.gz"], "biocxml": ["x.tar.gz"]}
-    if files.manifest_checksum(manifest) != files.manifest_checksum(dict(reversed(manifest.items()))):
-        raise ValueError("the checksum depends on order")
-    plan = files.file_plan(manifest, [*manifest], max_files=2)
-    return spark.createDataFrame(plan, "family string, path string, kind string").groupBy("family", "kind").agg(F.count("*").alias("files"))
-
-
-@query("SELECT * FROM (VALUES ('whole', 0), ('without papers', 1)) AS t(release, missing)")
-def src_17(spark: SparkSession, sf: str) -> DataFrame:
-    """Families a release can't be without."""
-    whole = {family: ["f.jsonl.gz"] for family in files.FAMILIES}
-    rows = [("whole", len(files.needed_missing(whole))), ("without papers", len(files.needed_missing({**whole, "papers": []})))]
-    return spark.createDataFrame(rows, "release string, missing long")
-
-
 # ---------------------------------------------------------------- release files
 
 
@@ -188,6 +156,17 @@ def src_13(spark: SparkSession, sf: str) -> DataFrame:
     return xml.entities(xml.parsed(_bioc(spark, sf)), 1).select("pmid", "start_offset", "end_offset", "entity_type", "concept_id_raw")
 
 
+@query("SELECT p_partkey AS pmid, unnest([0, 6]) AS start_offset, unnest([4, 10]) AS end_offset, unnest([3, 2]) AS entity_type, unnest(['MESH:C1', 'MESH:D1']) AS concept_id_raw FROM part WHERE p_size <> 3")
+def src_13_archives(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from compressed collections, unpacked as streams."""
+    folder = scratch(spark, "collections")
+    collection = F.concat(F.lit("<collection><source>x</source>"), F.array_join(F.collect_list("xml"), "\n"), F.lit("</collection>"))
+    # A hundred documents make a collection, so a row stays small.
+    rows = _bioc(spark, sf).withColumn("n", F.pmod(F.xxhash64("xml"), F.lit(max(1, table(spark, sf, "part").count() // 100))))
+    rows.groupBy("n").agg(collection.alias("value")).select("value").write.option("compression", "gzip").text(folder)
+    return xml.entities(xml.parsed(xml.archived_documents(spark, folder)), 1).select("pmid", "start_offset", "end_offset", "entity_type", "concept_id_raw")
+
+
 @query("SELECT p_partkey AS pmid, CASE WHEN p_size > 25 THEN 1 ELSE 4 END AS relation_type, CASE WHEN p_size > 25 THEN 'MESH:C1' ELSE 'Chemical|MESH:C2' END AS subject_entity_id, CASE WHEN p_size > 25 THEN 'MESH:D1' ELSE 'MESH:D2' END AS object_entity_id, 3 AS subject_type, 2 AS object_type FROM part WHERE p_size <> 3")
 def doc_03(spark: SparkSession, sf: str) -> DataFrame:
     """Relations of annotated XML, by nodes or by roles."""
@@ -334,13 +313,6 @@ def scl_20(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- scopes, projections, audits
 
 
-@query("SELECT * FROM (VALUES ('current', 'current'), ('selected', 'selected'), ('none', 'dataset'), ('asked for all', 'dataset')) AS t(given, shown)")
-def flt_08(spark: SparkSession, sf: str) -> DataFrame:
-    """What a table shows."""
-    given = {"current": (True, True, "selection"), "selected": (False, True, "selection"), "none": (False, False, "selection"), "asked for all": (True, True, "dataset")}
-    return spark.createDataFrame([(name, scope.table_scope(*x)) for name, x in given.items()], "given string, shown string")
-
-
 @query("SELECT r_regionkey, r_name FROM region")
 def flt_10(spark: SparkSession, sf: str) -> DataFrame:
     """A user's read-only statement."""
@@ -368,14 +340,6 @@ def flt_18(spark: SparkSession, sf: str) -> DataFrame:
     return docs.bundle_eligible(status, embeddings, texts)
 
 
-@query("SELECT * FROM (VALUES ('locked', 'selected'), ('open', 'dataset')) AS t(selection, baseline)")
-def flt_20(spark: SparkSession, sf: str) -> DataFrame:
-    """What a widget compares with."""
-    chosen = spark.range(3).select(F.col("id").alias("point_index"))
-    given = {"locked": scope.Selection(locked=True, baseline=chosen), "open": scope.Selection()}
-    return spark.createDataFrame([(name, scope.baseline_scope(x)) for name, x in given.items()], "selection string, baseline string")
-
-
 def _catalog(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.concat(F.lit("P"), "c_custkey").alias("paper_id"), F.lit("doc").alias("title"))
     return views.paper_catalog(s.points(spark, sf), documents)
@@ -549,3 +513,35 @@ def str_03(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/rows").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
+@query("""WITH f AS (SELECT 'orders' AS family, count(*) AS rows FROM orders UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'part', count(*) FROM part)
+SELECT family, rows, CASE family WHEN 'customer' THEN 2 ELSE 1 END::BIGINT AS attempts, 'published' AS status, true AS drift_refused FROM f""")
+def str_03_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """A run over three families that fails in the second, refuses a plan that drifted, and is taken up where it stopped."""
+    folder = scratch(spark, "runs")
+    sizes = {name: table(spark, sf, name).count() for name in ("orders", "customer", "part")}
+    plan = {"schema_version": 1, "source_code": "tables", "release_tag": "r1", "families": [{"family": n, "target_tables": [n], "files": [{"dataset": n, "byte_count": c, "content_kind": "parquet"}]} for n, c in sizes.items()]}
+    attempts: dict[str, int] = {}
+
+    def load(family: dict) -> None:
+        name = family["family"]
+        attempts[name] = attempts.get(name, 0) + 1
+        table(spark, sf, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        if name == "customer" and attempts[name] == 1:
+            raise RuntimeError("stopped within a family")
+
+    try:
+        ledger.Run.open(spark, folder, plan).load(load)
+    except RuntimeError:
+        pass
+    drifted = {**plan, "families": [plan["families"][0], {**plan["families"][1], "files": []}, plan["families"][2]]}
+    try:
+        ledger.Run.open(spark, folder, drifted)
+        refused = False
+    except ledger.PlanDrift:
+        refused = True
+    done = ledger.Run.open(spark, folder, plan).load(load)
+    rows = None
+    for name in sizes:
+        counted = spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("family"), F.count("*").alias("rows"), F.lit(attempts[name]).cast("long").alias("attempts"), F.lit(done.state["status"]).alias("status"), F.lit(refused).alias("drift_refused"))
+        rows = counted if rows is None else rows.unionByName(counted)
+    return rows

@@ -11,7 +11,7 @@ from graphloom.operators import retrieval, selection
 from graphloom.plans import standins as s
 from graphloom.plans.base import query
 from graphloom.plans.standins import ANNOTATIONS, CITATIONS, JOURNALS, METRICS, PAPERS, PATTERNS, RELATIONS, VOCABULARY, with_
-from graphloom.sources import files, merge
+from graphloom.sources import files, ledger, merge
 from graphloom.sources.files import kept, scratch, table
 from graphloom.streaming import ingest
 
@@ -495,8 +495,30 @@ def str_06(spark: SparkSession, sf: str) -> DataFrame:
     return merge.first_of(rows, ["day", "event_type"], [F.desc("batch")]).drop("batch")
 
 
-@query("SELECT count(*) AS n FROM customer")
+@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def str_04_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight files merged as eight batches into a keyed table whose deltas are folded as they grow (STR-04)."""
+    folder, rows = scratch(spark, "batches"), table(spark, sf, "events").select("user_id", "event_id")
+    rows.repartition(8, "event_id").write.parquet(f"{folder}/in")
+    keyed = ingest.KeyedTable(spark, f"{folder}/table", ["user_id"], ["event_id"], rows.schema)
+    ingest.load(ingest.files(spark, f"{folder}/in", rows.schema, per_trigger=1), f"{folder}/checkpoint", keyed.merge).awaitTermination()
+    return keyed.current()
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, true AS pinned, true AS refused, true AS rolled_back FROM customer")
 def snk_15(spark: SparkSession, sf: str) -> DataFrame:
-    """A version of a table, published beside the others (SNK-14, SNK-15)."""
-    path = files.publish(table(spark, sf, "customer"), scratch(spark, "published"), "customer")
-    return spark.read.parquet(path).agg(F.count("*").alias("n"))
+    """A table published behind a pointer: a second version is seen, one without its columns is refused, a reader stays
+    with its version, and after a rollback the first is read again (SNK-14, SNK-15)."""
+    table_, rows = ledger.Published(spark, scratch(spark, "published")), table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    first = table_.publish(rows)
+    reader = table_.read()
+    second = table_.publish(rows.filter("c_acctbal > 0"), expected=first)
+    fewer = table_.read()
+    try:
+        table_.publish(rows.drop("c_name"))
+        refused = False
+    except ledger.Rejected:
+        refused = True
+    pinned = reader.count() == rows.count() and fewer.count() == rows.filter("c_acctbal > 0").count() and table_.state()["version"] == second
+    back = table_.rollback() == first
+    return table_.read().select("*", F.lit(pinned).alias("pinned"), F.lit(refused).alias("refused"), F.lit(back).alias("rolled_back"))

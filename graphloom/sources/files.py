@@ -95,9 +95,10 @@ def open_bundle(spark: SparkSession, folder: str, verify: bool = True) -> Bundle
 
 
 def mismatched(spark: SparkSession, folder: str, digests: dict[str, str]) -> list[str]:
-    """Files whose SHA-256 differs from what is stated; each file is digested in one task."""
+    """Files (by their path below the folder) whose SHA-256 differs from what is stated; each is digested in one task."""
+    folder = folder.rstrip("/")
     paths = [f"{folder}/{name}" for name in digests]
-    found = spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    found = spark.read.format("binaryFile").load(paths).select(F.substring_index("path", folder.rsplit("/", 1)[-1] + "/", -1).alias("file"), F.sha2("content", 256).alias("sha256"))
     have = {r["file"]: r["sha256"] for r in found.collect()}  # one row for each file of the manifest
     return [f"digest of {name}" for name, digest in digests.items() if have.get(name) != digest]
 

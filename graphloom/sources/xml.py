@@ -1,17 +1,10 @@
 """Annotated documents in BioC XML: entities and relations of a release, read natively.
 
-``document`` elements become rows by Spark's XML functions. Archives are unpacked by a small
-helper, one task for each archive of up to 2 GB; larger ones have to be unpacked beforehand.
+``document`` elements become rows by Spark's XML functions. Archives are read as streams of text.
 """
 
 from __future__ import annotations
 
-import io
-import re
-import tarfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,25 +16,35 @@ _ANNOTATION = f"array<struct<_id: string, infon: {_INFON}, location: array<struc
 DOCUMENT = f"id string, passage array<struct<infon: {_INFON}, offset: string, text: string, annotation: {_ANNOTATION}, relation: {_RELATION}>>, relation {_RELATION}"
 # Roles by which a relation names its first and its second end.
 SUBJECT_ROLES, OBJECT_ROLES = ("subject", "subj", "arg1", "source", "role1"), ("object", "obj", "arg2", "target", "role2")
-_WHOLE = re.compile(rb"<document>.*?</document>", re.S)
+_BEGIN, _END = "<document>", "</document>"
+_CLOSING = "\0" * 1024  # two empty blocks close an archive
+
+
+def archived_documents(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
+    """``archive`` and ``xml`` of each document in archives of XML members (.tar.gz, or .tar, or .xml.gz), of any size.
+
+    Spark's text reader unpacks an archive as a stream and cuts it before each document, so neither an archive nor a
+    member is ever held whole, and archives may lie in any store that Spark reads. What stands behind a document (headers
+    of members, fillings) goes. A compressed archive is one task. A damaged archive fails the job; if ``tolerant``, the
+    documents before the damage are kept, and ``archive_report`` tells which archives lack their end.
+    """
+    whole = _pieces(spark, path, tolerant).filter(F.contains("value", F.lit(_END)))
+    return whole.select("archive", F.concat(F.lit(_BEGIN), F.substring_index("value", _END, 1), F.lit(_END)).alias("xml"))
 
 
-def archived_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``xml`` of each document in the XML members of tar archives; a damaged archive ends early."""
+def archive_report(spark: SparkSession, path: str) -> DataFrame:
+    """archive, documents, complete: whether each archive is sound to its closing blocks. Damage doesn't fail the job."""
+    pieces = _pieces(spark, path, True)
+    closed = F.contains("value", F.lit(_CLOSING)) | F.col("value").rlike(r"</collection>\s*\z")
+    told = pieces.groupBy("archive").agg(F.count_if(F.contains("value", F.lit(_END))).alias("documents"), F.bool_or(closed).alias("complete"))
+    # An archive of which nothing can be read has no pieces; of all, only the names are read here.
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"))
+    return files.join(told, "archive", "left").select("archive", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("complete", F.lit(False)).alias("complete"))
 
-    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
-                        for member in archive:
-                            if member.isfile() and member.name.lower().endswith(".xml"):
-                                found = _WHOLE.findall(archive.extractfile(member).read())
-                                yield pd.DataFrame({"xml": [x.decode("utf-8", "replace") for x in found]})
-                except (tarfile.TarError, EOFError, OSError):
-                    continue
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpacked, "xml string")
+def _pieces(spark: SparkSession, path: str, tolerant: bool) -> DataFrame:
+    """archive, value: what follows each begin of a document up to the next, and what stands before the first."""
+    return spark.read.option("lineSep", _BEGIN).option("ignoreCorruptFiles", tolerant).text(path).select(F.col("_metadata.file_path").alias("archive"), "value")
 
 
 def parsed(documents: DataFrame) -> DataFrame:
