@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from graphloom.sources.files import kept
 #: Vectors of a pack, and what ranks are added to before they are fused.
 PACKED, RANK_CONSTANT = 1024, 60
 K1, B = 1.2, 0.75
+#: Terms of a dictionary that one automaton holds.
+TERMS = 200_000
 _WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -126,16 +130,87 @@ def promoted(chunks: DataFrame, parent: str, k: int, per_parent: int = 3, key: s
 def mentions(texts: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text", term: str = "matched_text", entity: str = "entity_id") -> DataFrame:
     """key, entity, at: where each entity of a dictionary is first named, as whole words in any case.
 
-    Terms are met by their first word: words are shuffled once, texts never; a term of several
-    words is then compared with the words that follow.
+    Texts are read once by an Aho-Corasick automaton of the terms, so a text costs its length and what it names,
+    however many terms there are. A dictionary of more than ``TERMS`` terms is cut into shards of that size, and texts meet
+    one after the other; a task holds the automaton of one shard.
     """
-    longest = dictionary.agg(F.max(F.size(words(F.col(term))))).first()[0] or 1
-    terms = dictionary.select(entity, words(F.col(term)).alias("t")).filter(F.size("t") > 0).select(entity, "t", F.get("t", F.lit(0)).alias("word")).distinct()
-    spread = texts.select(key, words(F.coalesce(text, F.lit(""))).alias("w")).select(key, F.posexplode(F.transform("w", lambda x, i: F.slice("w", i + 1, longest))).alias("at", "next"))
-    here = spread.select(key, "at", "next", F.get("next", F.lit(0)).alias("word"))
-    small = terms.limit(100_001).count() <= 100_000
-    met = here.join(F.broadcast(terms) if small else terms, "word").filter(F.slice("next", 1, F.size("t")) == F.col("t"))
-    return met.groupBy(key, entity).agg(F.min("at").alias("at"))
+    terms = kept(dictionary.select(F.col(entity).alias("entity"), words(F.col(term)).alias("t")).filter(F.size("t") > 0).select("entity", F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("term")).distinct(), "terms")
+    shards = 1 + terms.count() // TERMS
+    spread = texts.select(F.col(key).alias("key"), F.concat(F.lit(" "), F.array_join(words(F.coalesce(text, F.lit(""))), " "), F.lit(" ")).alias("line"))
+    kinds = {"key": texts.schema[key].dataType.simpleString(), "entity": dictionary.schema[entity].dataType.simpleString()}
+    schema = f"key {kinds['key']}, entity {kinds['entity']}, at int"
+    if shards == 1:
+        # At most TERMS terms, whole in every worker.
+        known: dict[str, list] = {}
+        for row in terms.collect():
+            known.setdefault(row["term"], []).append(row["entity"])
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(known)
+            for batch in batches:
+                yield _named(automaton, batch.column("key").to_pylist(), batch.column("line"), schema)
+
+        found = spread.mapInArrow(read, schema)
+    else:
+        stripes = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        held = terms.select(F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int").alias("shard"), every(stripes).alias("stripe"), F.lit(0).alias("kind"), "entity", "term", F.lit(None).cast(kinds["key"]).alias("key"))
+        passing = spread.select(every(shards).alias("shard"), F.pmod(F.xxhash64("key", "line"), F.lit(stripes)).cast("int").alias("stripe"), F.lit(1).alias("kind"), F.lit(None).cast(kinds["entity"]).alias("entity"), F.col("line").alias("term"), "key")
+
+        def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, own, automaton = None, {}, None
+            for batch in batches:
+                # Runs of one shard, stripe and kind; terms come before texts.
+                names = list(zip(*(batch.column(c).to_pylist() for c in ("shard", "stripe", "kind")), strict=True))
+                starts = [i for i in range(len(names)) if not i or names[i] != names[i - 1]]
+                for start, end in zip(starts, [*starts[1:], len(names)], strict=True):
+                    part = batch.slice(start, end - start)
+                    if names[start][:2] != at:
+                        at, own, automaton = names[start][:2], {}, None
+                    if names[start][2] == 0:
+                        for t, e in zip(part.column("term").to_pylist(), part.column("entity").to_pylist(), strict=True):
+                            own.setdefault(t, []).append(e)
+                    elif own:
+                        automaton = automaton or _automaton(own)
+                        yield _named(automaton, part.column("key").to_pylist(), part.column("term"), schema)
+
+        found = held.unionByName(passing).repartition("shard", "stripe").sortWithinPartitions("shard", "stripe", "kind").mapInArrow(sharded, schema)
+    return found.groupBy("key", "entity").agg(F.min("at").alias("at")).select(F.col("key").alias(key), F.col("entity").alias(entity), "at")
+
+
+#: Kinds of keys and entities.
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+
+
+def _automaton(terms: dict[str, list]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for term, entities in terms.items():
+        automaton.add_word(term, (len(term), entities))
+    automaton.make_automaton()
+    return automaton
+
+
+def _named(automaton: ahocorasick.Automaton, keys: list, lines: pa.Array, schema: str) -> pa.RecordBatch:
+    """key, entity, at of the first place of each entity in each line of words."""
+    out: list[tuple] = []
+    for key, line in zip(keys, lines, strict=True):
+        first: dict = {}
+        line = line.as_py()
+        for end, (size, entities) in automaton.iter(line):
+            for entity in entities:
+                start = end + 1 - size
+                if start < first.get(entity, len(line)):
+                    first[entity] = start
+        if first:
+            # The words before a place are the spaces before it.
+            places, begin, count = {}, 0, 0
+            for start in sorted(set(first.values())):
+                count, begin = count + line.count(" ", begin, start), start
+                places[start] = count
+            out += [(key, entity, places[start]) for entity, start in first.items()]
+    types = [_ARROW[c.split()[1]] for c in schema.split(", ")]
+    columns = list(zip(*out, strict=True)) if out else [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "entity", "at"])
 
 
 def backlinks(pages: DataFrame, slug: str = "slug", links: str = "links") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import clusters, retrieval
+from graphloom.operators import channels, clusters, retrieval
 from graphloom.operators.postings import WordIndex
 from graphloom.operators.vectors import VectorIndex, neighbour_graph
 from graphloom.plans.base import query
@@ -121,3 +121,43 @@ def ret_01_index(spark: SparkSession, sf: str) -> DataFrame:
     index = WordIndex.build(table(spark, sf, "documents"), scratch(spark, "words"), ["text", "source"])
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(retrieval.words(F.coalesce("text", F.lit(""))), 1, 4).alias("terms"))
     return index.search(asked, 20, {"text": 1.0, "source": 0.5}).withColumnRenamed("doc", "doc_id")
+
+
+LANES = """l AS (SELECT s_nationkey AS query_id, l_partkey AS id, l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_quantity::DECIMAL(18,2) AS q, l_extendedprice::DECIMAL(18,2) AS p, l_discount::DECIMAL(18,4) AS d FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+lanes AS (
+  SELECT query_id, 'lexical' AS channel, id, sum(q)::DOUBLE AS score FROM l GROUP BY query_id, id UNION ALL
+  SELECT query_id, 'chunk_lexical', id, max(p)::DOUBLE FROM l GROUP BY query_id, id UNION ALL
+  SELECT query_id, 'dense_query', id, max(d)::DOUBLE FROM l GROUP BY query_id, id UNION ALL
+  SELECT query_id, 'entity_match', id, count(DISTINCT l_suppkey)::DOUBLE FROM l GROUP BY query_id, id UNION ALL
+  SELECT query_id, 'relation_match', id, count(*)::DOUBLE FROM l WHERE l_returnflag = 'R' GROUP BY query_id, id UNION ALL
+  SELECT n_nationkey, 'semantic_neighbor', p_partkey, p_size::DOUBLE FROM nation JOIN part ON p_size % 25 = n_nationkey),
+ranks AS (SELECT query_id, channel, id, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, id) AS rank FROM lanes QUALIFY rank <= 100),
+found AS (SELECT query_id, id, round(sum(CASE channel WHEN 'lexical' THEN 2.0 ELSE 1.0 END / (60 + rank)), 9) AS fused, array_to_string(list_sort(list(channel || ':' || rank)), ' ') AS trace FROM ranks GROUP BY query_id, id),
+cites AS (SELECT a.l_partkey AS citing, b.l_partkey AS cited FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+links AS (SELECT citing AS a, cited AS b FROM cites WHERE citing <> cited UNION SELECT cited, citing FROM cites WHERE citing <> cited),
+first AS (SELECT query_id, id AS a, fused FROM found QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) <= 30),
+met AS (SELECT query_id, b AS id, sum(fused) AS s FROM first JOIN links USING (a) GROUP BY query_id, b),
+known AS (SELECT met.* FROM met JOIN found USING (query_id, id)),
+boosts AS (SELECT query_id, id, round(s / max(s) OVER (PARTITION BY query_id), 9) AS boost FROM known),
+scored AS (SELECT query_id, id, round(fused + coalesce(boost, 0) * 0.5 / 61, 8) AS score, trace || CASE WHEN boost IS NULL THEN '' ELSE ' citation_context' END AS trace FROM found LEFT JOIN boosts USING (query_id, id))"""
+
+
+@query("WITH " + LANES + " SELECT query_id, id, score, trace, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 40")
+def ret_07(spark: SparkSession, sf: str) -> DataFrame:
+    """Six channels and a boost along citations, by nation: parts are papers, and a line item's part cites that of the next line."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("query_id")), F.col("l_suppkey") == F.col("s_suppkey")).withColumn("id", F.col("l_partkey"))
+    money = lambda c, t="decimal(18,2)": F.col(c).cast(t)
+    by = lines.groupBy("query_id", "id")
+    neighbours = table(spark, sf, "nation").join(table(spark, sf, "part").withColumn("n", F.col("p_size") % 25), F.col("n") == F.col("n_nationkey")).select(F.col("n_nationkey").alias("query_id"), F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("score"))
+    lanes = {
+        "lexical": by.agg(F.sum(money("l_quantity")).cast("double").alias("score")),
+        "chunk_lexical": by.agg(F.max(money("l_extendedprice")).cast("double").alias("score")),
+        "dense_query": by.agg(F.max(money("l_discount", "decimal(18,4)")).cast("double").alias("score")),
+        "entity_match": by.agg(F.count_distinct("l_suppkey").cast("double").alias("score")),
+        "relation_match": lines.filter("l_returnflag = 'R'").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score")),
+        "semantic_neighbor": neighbours,
+    }
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    following = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("cited"))
+    cites = line.withColumnRenamed("l_partkey", "citing").join(following, ["l_orderkey", "l_linenumber"]).select("citing", "cited")
+    return channels.search(lanes, cites, 40, {"lexical": 2.0})
