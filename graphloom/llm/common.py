@@ -30,14 +30,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back, which cuts its lineage.
+#: Files of a table for each core, where many small partitions are written as few.
+FILES_PER_CORE = 4
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in at most ``FILES_PER_CORE`` partitions for each core: without a shuffle, a task takes several, one after the other.
+
+    A task keeps its number for all of them, so what tells rows apart by the number of a Python task must be written first.
+    """
+    return df.coalesce(FILES_PER_CORE * max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back, which cuts its lineage; as ``few`` files, if asked for.
 
     The files are replicated by the file system, so a lost executor loses nothing.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (few_files(df) if few else df).write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back

@@ -217,7 +217,7 @@ def links_of(pairs: DataFrame, whole: DataFrame, idf: np.ndarray, similar: float
     """The ``pairs`` (a, b) of similar texts. Texts of many b meet one of a, which is sent once for each block of them."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
     sized = pairs.join(whole.select(F.col("node").alias("b"), "size"), "b")
-    blocks = stored(sized.groupBy("a").agg(F.ceil(F.sum(blocks_of("size")) / BLOCK).alias("blocks")), "hub-blocks")
+    blocks = stored(sized.groupBy("a").agg(F.ceil(F.sum(blocks_of("size")) / BLOCK).alias("blocks")), "hub-blocks", few=True)
     dealt = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), F.col("b").alias("node"))
     hubs = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("a").alias("node"))
     texts = dealt.union(hubs).join(whole.select("node", "whole"), "node")
@@ -235,7 +235,7 @@ def links_of(pairs: DataFrame, whole: DataFrame, idf: np.ndarray, similar: float
                     b.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    found = stored(ordered.select("a", "node", "whole").mapInArrow(task, "a long, b long"), "links")
+    found = stored(ordered.select("a", "node", "whole").mapInArrow(task, "a long, b long"), "links", few=True)
     discard(blocks)
     return found
 
@@ -263,11 +263,11 @@ def contested(members: DataFrame, labels: DataFrame) -> DataFrame:
     Per bucket: how many texts it holds, and ``main``, the label of most of them.
     """
     labelled = members.select("band", "bucket", "node", "own").join(labels.select("node", "label"), "node", "left").select("band", "bucket", "node", "own", F.coalesce("label", "node").alias("label"))
-    labelled = stored(labelled, "labelled")
+    labelled = stored(labelled, "labelled", few=True)
     shares = labelled.groupBy("band", "bucket", "label").count()
     mixed = shares.groupBy("band", "bucket").agg(F.sum("count").alias("n"), F.count("*").alias("labels"), F.max(F.struct("count", "label")).alias("most"), F.sum(F.col("count") ** 2).alias("within")).filter("labels > 1")
-    mixed = stored(mixed.select("band", "bucket", "n", F.col("most.label").alias("main"), ((F.col("n") ** 2 - F.col("within")) / 2).alias("pairs")), "mixed-buckets")
-    out = stored(labelled.join(mixed, ["band", "bucket"]), "contested")
+    mixed = stored(mixed.select("band", "bucket", "n", F.col("most.label").alias("main"), ((F.col("n") ** 2 - F.col("within")) / 2).alias("pairs")), "mixed-buckets", few=True)
+    out = stored(labelled.join(mixed, ["band", "bucket"]), "contested", few=True)
     discard(labelled, mixed)
     return out
 
@@ -291,17 +291,17 @@ def with_partners(members: DataFrame, whole: DataFrame, idf: np.ndarray, similar
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(shingles, pa.int32()), pa.array(weights, pa.float32())], ["node", "shingle", "weight"])
 
     texts = whole.join(members.select("node").distinct(), "node", "left_semi").select("node", "whole")
-    shingles = stored(texts.mapInArrow(cut, "node long, shingle int, weight float"), "contested-shingles")
-    held_twice = stored(shingles.groupBy("shingle").count().filter("count > 1").select("shingle"), "shared-shingles")
+    shingles = stored(texts.mapInArrow(cut, "node long, shingle int, weight float"), "contested-shingles", few=True)
+    held_twice = stored(shingles.groupBy("shingle").count().filter("count > 1").select("shingle"), "shared-shingles", few=True)
     total = shingles.groupBy("node").agg(F.sum("weight").alias("total"))
     common = shingles.join(held_twice, "shingle").groupBy("node").agg(F.sum("weight").alias("common"))
-    weighed = stored(total.join(common, "node").select("node", "total", "common"), "shared-weights")
+    weighed = stored(total.join(common, "node").select("node", "total", "common"), "shared-weights", few=True)
     placed = members.select("band", "bucket", "node").join(weighed, "node").withColumn("place", F.floor(1e6 * F.log("total")).cast("long"))
     reach = int(1e6 * -np.log(similar)) + 2
     least = F.min("total").over(Window.partitionBy("band", "bucket").orderBy("place").rangeBetween(-reach, reach))
     alive = placed.withColumn("least", least).filter(F.col("least") <= (1 + 1e-6) * ((1 + similar) / similar * F.col("common") - F.col("total")))
     # Of the weight, what no other text holds, in steps of 1 / 50.
-    out = stored(alive.select("band", "bucket", "node", F.floor(50 * (1 - F.col("common") / F.col("total"))).alias("own")), "members")
+    out = stored(alive.select("band", "bucket", "node", F.floor(50 * (1 - F.col("common") / F.col("total"))).alias("own")), "members", few=True)
     discard(shingles, held_twice, weighed)
     return out
 
@@ -311,9 +311,9 @@ def star_pairs(members: DataFrame, turn: int) -> DataFrame:
     # Texts with the least of their own are like most others.
     at = F.struct("own", F.xxhash64("node", "band", F.lit(turn)).alias("hash"), "node", "label")
     hubs = members.groupBy("band", "bucket").agg(F.min(F.when(F.col("label") == F.col("main"), at)).alias("x"), F.min(F.when(F.col("label") != F.col("main"), at)).alias("y"))
-    hubs = stored(hubs.select("band", "bucket", F.explode(F.array("x", "y")).alias("hub")).select("band", "bucket", F.col("hub.node").alias("a"), F.col("hub.label").alias("of")), "hubs")
+    hubs = stored(hubs.select("band", "bucket", F.explode(F.array("x", "y")).alias("hub")).select("band", "bucket", F.col("hub.node").alias("a"), F.col("hub.label").alias("of")), "hubs", few=True)
     pairs = members.join(hubs, ["band", "bucket"]).filter("label <> of").select("a", F.col("node").alias("b")).distinct()
-    pairs = stored(pairs, "star-pairs")
+    pairs = stored(pairs, "star-pairs", few=True)
     discard(hubs)
     return pairs
 
@@ -322,12 +322,12 @@ def links_across(members: DataFrame, whole: DataFrame, idf: np.ndarray, similar:
     """Links (a, b) of all pairs of contested ``members`` that share a bucket and no label."""
     few = members.filter(F.col("n") <= PAIRED).select("band", "bucket", "node", "label")
     other = few.select("band", "bucket", F.col("node").alias("b"), F.col("label").alias("other"))
-    pairs = stored(few.withColumnRenamed("node", "a").join(other, ["band", "bucket"]).filter("a < b and label <> other").select("a", "b").distinct(), "pairs")
+    pairs = stored(few.withColumnRenamed("node", "a").join(other, ["band", "bucket"]).filter("a < b and label <> other").select("a", "b").distinct(), "pairs", few=True)
     found = links_of(pairs, whole, idf, similar)
     many = members.filter(F.col("n") > PAIRED).join(whole.select("node", "size"), "node")
     before = Window.partitionBy("band", "bucket").orderBy("label", "node").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.coalesce(F.sum(blocks_of("size")).over(before), F.lit(0.0))
-    blocked = stored(many.select("band", "bucket", "node", "label", F.floor(ahead / BLOCK).alias("block")), "blocks")
+    blocked = stored(many.select("band", "bucket", "node", "label", F.floor(ahead / BLOCK).alias("block")), "blocks", few=True)
     blocks = blocked.groupBy("band", "bucket", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     left, right = (blocks.select("band", "bucket", F.col("block").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "ij")
     met = left.join(right, ["band", "bucket"]).filter("i <= j and (low_i <> high_i or low_j <> high_j or low_i <> low_j)").select("band", "bucket", "i", "j")
@@ -359,21 +359,21 @@ def links_across(members: DataFrame, whole: DataFrame, idf: np.ndarray, similar:
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     texts = sides.join(blocked, ["band", "bucket", "block"]).join(whole.select("node", "whole"), "node")
-    more = stored(texts.groupBy("band", "bucket", "i", "j").applyInPandas(settle, "a long, b long"), "links")
+    more = stored(texts.groupBy("band", "bucket", "i", "j").applyInPandas(settle, "a long, b long"), "links", few=True)
     discard(pairs, blocked)
     return [found, more]
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, label (the smallest node of its component) of every end of an edge (a, b)."""
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), f"{name}-labels")
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges", few=True)
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), f"{name}-labels", few=True)
     while True:
         of_neighbour = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         nearer = labels.join(of_neighbour, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         # A label's own label is at least as small: following it halves the paths.
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = stored(nearer.join(jump, "label", "left").select("node", F.least("label", "further").alias("label"), "was"), f"{name}-labels")
+        new = stored(nearer.join(jump, "label", "left").select("node", F.least("label", "further").alias("label"), "was"), f"{name}-labels", few=True)
         changed = new.filter("label <> was").limit(1).count()
         discard(labels)
         labels = new.drop("was")
@@ -404,23 +404,23 @@ def text_classes(documents: DataFrame, similar: float, key: str, text: str) -> t
     """
     require(documents, (key, text))
     idf = inverse_frequencies(documents, text)
-    signs = stored(signed(documents, idf, key, text), "signatures")
+    signs = stored(signed(documents, idf, key, text), "signatures", few=True)
     # Copies of one text are one text from here on, with a number of its own.
     different = signs.groupBy("digest").agg(F.min("id").alias("id"), F.first("samples").alias("samples"))
-    texts = stored(different.withColumn("node", F.monotonically_increasing_id()), "texts")
+    texts = stored(different.withColumn("node", F.monotonically_increasing_id()), "texts", few=True)
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.slice("samples", b * ROWS + 1, ROWS)).alias("bucket")))
     spread = texts.filter(F.size("samples") > 0).select("node", F.explode(band).alias("x")).select("node", "x.band", "x.bucket")
     # The first hub is that of smallest hash, so it is the same one in most buckets of a group.
     crowded = spread.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("node").alias("hash"), "node")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
     # Written first, so that both sides of the join are plain exchanges, which Spark can split where a bucket is hot.
-    crowded = stored(crowded.select("band", "bucket", F.col("hub.node").alias("a")), "crowded")
-    members = stored(spread.join(crowded, ["band", "bucket"]), "members")
+    crowded = stored(crowded.select("band", "bucket", F.col("hub.node").alias("a")), "crowded", few=True)
+    members = stored(spread.join(crowded, ["band", "bucket"]), "members", few=True)
     wanted = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("id").alias("of"), F.col("digest").alias("content"))
     rows = documents.select(*_row_key(key, text), text_or_empty(text).alias("whole"))
     # By id as well, so that the copies of a text are not dealt to one task.
     found = rows.join(wanted, (F.col("digest") == F.col("content")) & F.col("id").eqNullSafe(F.col("of")))
-    whole = stored(found.select("node", "whole", F.length("whole").alias("size")).dropDuplicates(["node"]), "candidate-texts")
-    pairs = stored(members.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "star-pairs")
+    whole = stored(found.select("node", "whole", F.length("whole").alias("size")).dropDuplicates(["node"]), "candidate-texts", few=True)
+    pairs = stored(members.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "star-pairs", few=True)
     labels = merged(None, links_of(pairs, whole, idf, similar))
     discard(crowded, pairs)
     open_ = contested(members.withColumn("own", F.lit(0)), labels)
@@ -441,10 +441,10 @@ def text_classes(documents: DataFrame, similar: float, key: str, text: str) -> t
         labels = merged(labels, links_of(pairs, whole, idf, similar))
         discard(pairs)
     labelled = texts.select("node", "digest", "id").join(labels, "node", "left").select("digest", "id", F.coalesce("label", "node").alias("label"))
-    labelled = stored(labelled, "labelled-texts")
+    labelled = stored(labelled, "labelled-texts", few=True)
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest"))
-    of_class = stored(labelled.groupBy("label").agg(least.alias("least")).select("label", F.col("least.id").alias("class_id"), F.col("least.digest").alias("content")), "classes")
-    classes = stored(labelled.join(of_class, "label").select("digest", "id", "class_id", (F.col("digest") == F.col("content")).alias("first")), "text-classes")
+    of_class = stored(labelled.groupBy("label").agg(least.alias("least")).select("label", F.col("least.id").alias("class_id"), F.col("least.digest").alias("content")), "classes", few=True)
+    classes = stored(labelled.join(of_class, "label").select("digest", "id", "class_id", (F.col("digest") == F.col("content")).alias("first")), "text-classes", few=True)
     discard(texts, members, whole, labels, labelled, of_class)
     return signs, classes
 

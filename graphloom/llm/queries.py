@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe_codec import encoded
-from graphloom.llm.common import table
+from graphloom.llm.common import few_files, table
 from graphloom.llm.conversations import damaged, repaired
 from graphloom.llm.hard_negatives import hard_negatives
 from graphloom.llm.html_main import extract
@@ -44,7 +44,7 @@ def op3_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near duplicates."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return few_files(near_duplicates(table(spark, sf_dir, "documents")))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 200-byte strings that start anywhere else as well."""
     left = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return few_files(left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,10 +211,10 @@ def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text"
             columns = {name: np.concatenate([p[i] for p in parts]) for i, name in enumerate(("anchor", "place", "first", "last"), 2)}
             yield pd.DataFrame({"doc": np.repeat([p[0] for p in parts], sizes), "uid": np.repeat([p[1] for p in parts], sizes), **columns})
 
-    places = stored(rows.filter(F.octet_length("content") >= LENGTH).mapInPandas(found, "doc long, uid long, anchor long, place int, first int, last int"), "anchors")
+    places = stored(rows.filter(F.octet_length("content") >= LENGTH).mapInPandas(found, "doc long, uid long, anchor long, place int, first int, last int"), "anchors", few=True)
     # Written first, so that both sides of the join are plain exchanges, which Spark can split where an anchor is hot.
-    shared = stored(places.groupBy("anchor").count().filter("count > 1").select("anchor"), "shared-keys")
-    kept = stored(places.join(shared, "anchor").groupBy("doc", "uid").agg(F.collect_list(F.struct("anchor", "place", "first", "last")).alias("anchors")), "shared-anchors")
+    shared = stored(places.groupBy("anchor").count().filter("count > 1").select("anchor"), "shared-keys", few=True)
+    kept = stored(places.join(shared, "anchor").groupBy("doc", "uid").agg(F.collect_list(F.struct("anchor", "place", "first", "last")).alias("anchors")), "shared-anchors", few=True)
     discard(places, shared)
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,12 +230,12 @@ def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     affected = _only(rows, kept, "left_semi")
     cut = affected.join(kept, ["doc", "uid"]).mapInPandas(contexts, "doc long, uid long, first int, anchor long, name binary, before int, context binary")
-    cut = stored(cut, "contexts")
+    cut = stored(cut, "contexts", few=True)
     shard = F.pmod(F.xxhash64("doc", "uid"), F.lit(SHARDS)).cast("int").alias("shard")
     own = cut.select("anchor", "name", "before", "context", F.lit(0).alias("x"), F.lit(STARTS - 1).alias("y"), shard)
     all_spans, written = spans_of(own)
     back = cut.select("doc", "uid", "first", "name").join(all_spans, "name").select("doc", "uid", F.transform("spans", lambda x: x + F.col("first")).alias("spans"))
-    done = stored(back.groupBy("doc", "uid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    done = stored(back.groupBy("doc", "uid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans", few=True)
     discard(kept, cut, *written)
     return done
 
@@ -248,8 +248,8 @@ def spans_of(contexts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
     Strings of a context start between ``x`` and ``y`` bytes before its anchor.
     """
-    distinct = stored(contexts.groupBy("anchor", "name").agg(*(F.first(c).alias(c) for c in ("before", "context", "x", "y", "shard")), F.count("*").alias("times")), "distinct-contexts")
-    sizes = stored(distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1"), "anchor-sizes")
+    distinct = stored(contexts.groupBy("anchor", "name").agg(*(F.first(c).alias(c) for c in ("before", "context", "x", "y", "shard")), F.count("*").alias("times")), "distinct-contexts", few=True)
+    sizes = stored(distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1"), "anchor-sizes", few=True)
     written = [distinct, sizes]
     # A context that occurs twice is a repeat throughout; it still has to meet the others.
     whole = distinct.filter("times > 1").select("name", F.array(F.lit(0), F.octet_length("context")).alias("spans"))
@@ -259,7 +259,7 @@ def spans_of(contexts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     spans = by_merge.filter(F.size("spans") > 0).union(whole)
     if sizes.filter(F.col("contexts") > MOST_CONTEXTS).limit(1).count():
         crowded = sized.filter(F.col("contexts") > MOST_CONTEXTS).select("name", "anchor", "before", "context", "x", "y", "shard")
-        parts = stored(crowded.mapInPandas(_halved, "parent binary, shift int, anchor long, name binary, before int, context binary, x int, y int, shard int"), "halved-contexts")
+        parts = stored(crowded.mapInPandas(_halved, "parent binary, shift int, anchor long, name binary, before int, context binary, x int, y int, shard int"), "halved-contexts", few=True)
         inner, more = spans_of(parts.drop("parent", "shift"))
         found = parts.select("parent", "shift", "name").join(inner, "name")
         spans = spans.union(found.select(F.col("parent").alias("name"), F.transform("spans", lambda x: x + F.col("shift")).alias("spans")))
