@@ -10,14 +10,11 @@ long text is held by one task in each stage. An empty table gives no rows.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import shared_folder, table
+from graphloom.llm.common import discard, few_files, stored, table
 from graphloom.llm.mixing import mix
 from graphloom.llm.near_dedup import without_near_duplicates
 from graphloom.llm.packing import pack
@@ -25,34 +22,21 @@ from graphloom.llm.quality_rules import keep, learn
 from graphloom.llm.suffix_dedup import removal
 
 
-#: Rows that Spark hands to Python at once; texts are long, so the usual 10 000 would take up much of an executor.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the batches of the session, where they are not smaller already."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the base rule and the learned list keep."""
-    return keep(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return few_files(keep(docs, learn(docs, table(spark, sf_dir, "labels"))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates: the one of smallest doc_id. Rows of one doc_id but unlike texts all stay."""
-    small_batches(spark)
-    return without_near_duplicates(docs)
+    return few_files(without_near_duplicates(docs))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur anywhere else; a text that was nothing else goes."""
-    small_batches(spark)
     left = removal(docs).filter("n_removed = 0 or length(kept_text) > 0").select("row", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text")).alias("left"))
     new = {"text": F.col("left"), "n_chars": F.length("left").cast("long")}
-    return left.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    return few_files(left.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns)))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,16 +48,15 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def in_written_order(docs: DataFrame) -> DataFrame:
     """The rows of a written table, partitioned and sorted as they were written: by number of file, then by row."""
     number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
-    try:
-        numbered = docs.select(F.struct(*docs.columns).alias("row"), number.alias("file"), F.col("_metadata.row_index").alias("at"))
-    except AnalysisException:
-        return docs  # not read from files: as it comes
+    numbered = docs.select(F.struct(*docs.columns).alias("row"), number.alias("file"), F.col("_metadata.row_index").alias("at"))
     return numbered.repartitionByRange("file", "at").sortWithinPartitions("file", "at").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 ids, with the ids, in the order of mixing: sequence_id rises with it from group to group."""
-    small_batches(spark)
+    """Pieces of sequences of at most 2048 ids, with the ids, in the order of mixing: sequence_id rises with it from group to group.
+
+    ``docs`` has to be a table read from the files that the stage before wrote: their order is that of mixing.
+    """
     # Executors still hold workers of earlier stages here, so few words are remembered.
     return pack(in_written_order(docs), public_tokenizers.path("word_bpe_49k.json"), 2048, 1, cache_words=60_000)
 
@@ -85,10 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written to the shared folder and read again."""
+    """The stages over ``documents``, each written to the shared folder and read again; the table of a stage goes once the next is written."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark).rstrip('/')}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
