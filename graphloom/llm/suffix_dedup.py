@@ -332,7 +332,8 @@ def removal(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     # The row key goes beside the row's own columns, whose names may be anything.
     keyed = documents.select(F.struct(*documents.columns).alias("row"), *_row_key(key, text), text_or_empty(text).cast("binary").alias("_content"))
 
-    @F.pandas_udf("struct<n_removed: long, n_spans: long, kept: binary>")
+    # One function for all, so that a task has one worker.
+    @F.pandas_udf("struct<n_removed: long, n_spans: long, kept: binary, kept_text: string>")
     def removed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for contents, stretches in batches:
             out = []
@@ -342,18 +343,14 @@ def removal(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 for begin, end in found:
                     parts.append(content[at:begin])
                     at = end
-                out.append((sum(e - b for b, e in found), len(found), b"".join([*parts, content[at:]])))
-            yield pd.DataFrame(out, columns=["n_removed", "n_spans", "kept"])
-
-    @F.pandas_udf("string")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for contents in batches:
-            yield pd.Series([c.decode("utf-8", "ignore") for c in contents], dtype=object)
+                left = b"".join([*parts, content[at:]])
+                out.append((sum(e - b for b, e in found), len(found), left, left.decode("utf-8", "ignore")))
+            yield pd.DataFrame(out, columns=["n_removed", "n_spans", "kept", "kept_text"])
 
     n_bytes = F.octet_length("_content").cast("long").alias("n_bytes")
     untouched = _only(keyed, spans, "left_anti").select("row", n_bytes, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("_content").alias("kept"), F.col("_content").cast("string").alias("kept_text"))
     changed = _only(keyed, spans, "left_semi").join(spans, ["doc", "uid"]).withColumn("_r", removed("_content", "spans"))
-    return untouched.union(changed.select("row", n_bytes, "_r.n_removed", "_r.n_spans", "_r.kept", decoded("_r.kept").alias("kept_text")))
+    return untouched.union(changed.select("row", n_bytes, "_r.n_removed", "_r.n_spans", "_r.kept", "_r.kept_text"))
 
 
 def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
