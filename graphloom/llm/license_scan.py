@@ -1,8 +1,8 @@
 """Licences of files by sparse TF-IDF cosine to templates, inherited along directories.
 
 What is compared: the whole text, its header (the comment lines it begins with), every paragraph (lines
-up to one without a letter or digit) and every line of a paragraph. Templates are whole licences and the
-notices by which they ask to be named. All are sparse vectors of words times inverse document frequency,
+up to one without a letter or digit) and every line of a paragraph. Templates are whole licences (the long ones
+in ``licence_texts``) and the notices by which they ask to be named. All are sparse vectors of words times inverse document frequency,
 ``ln((1 + N) / (1 + n)) + 1``, where n counts the files that hold the word, over all files and all words.
 
 Two exact bounds spare most of the work. A template's rarest words are taken until the rest of its
@@ -23,6 +23,8 @@ table gives no rows.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +93,8 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
+#: Whole licences, each a file named by its identifier.
+TEMPLATES += [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in sorted((resources.files(__package__) / "licence_texts").iterdir(), key=lambda f: f.name)]
 LICENCE_FILE = r"(?i)^(licen[cs]es?|copying|notice)([.-].*)?$"
 #: How the first lines of a file begin that are its header, and a line without a word.
 COMMENT, WORDLESS = r"^\s*(#|//|/\*|\*|--|;|%|<!--|\"\"\"|''')", r"\n[^\p{L}\p{N}\n]*(?=\n|$)"

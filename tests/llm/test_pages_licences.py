@@ -133,10 +133,42 @@ def test_cosines_equal_brute_force(spark, words):
     known = [(name, vector(t)) for name, t in TEMPLATES]
     want = {}
     for i, _, t in files:
-        units = [t, *t.split("\n\n"), *(x for x in t.split("\n") if x)]
-        scored = [(sum(x * v.get(w, 0) for w, x in u.items()) / length(u) / length(v), name) for u in map(vector, units) for name, v in known]
+        units = [t, *regex.split(license_scan.WORDLESS, t), *(x for x in t.split("\n") if x)]
+        scored = [(sum(x * v.get(w, 0) for w, x in u.items()) / length(u) / length(v), name) for u in map(vector, units) if u for name, v in known]
         want[i] = round(max(scored)[0], 6) if max(scored)[0] >= 0.72 else None
     found = {r.doc_id: r.own_cosine for r in scan_licences(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
     assert found.keys() == want.keys() and 15 < sum(x is not None for x in want.values()) < 60
     for i, x in want.items():
         assert found[i] == pytest.approx(x, abs=2e-6), i
+
+
+@pytest.mark.parametrize(("name", "share"), [("GPL-3.0", 1.0), ("Apache-2.0", 1.0), ("LGPL-3.0", 1.0), ("MPL-2.0", 1.0), ("CC0-1.0", 1.0), ("GPL-2.0", 0.6), ("Apache-2.0", 0.7)])
+def test_whole_licence_texts_are_known_and_inherited(spark, name, share):
+    """A licence file with the text alone, cut before its how-to-apply notes where it is not whole."""
+    text = dict(t for t in license_scan.TEMPLATES if len(t[1]) > 4000)[name]
+    rows = [(1, text[: int(share * len(text))], "a/LICENSE"), (2, "def f():\n    return 1", "a/b/c.py"), (3, "other words", "z/d.py"), (4, "the of and to in a is that for it " * 200, "z/e.txt")]
+    got = {r.doc_id: (r.own_licence, r.licence, r.inherited_from) for r in scan_licences(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    assert got[1] == (name, name, None) and got[2] == (None, name, "a") and got[3] == got[4] == (None, None, None)
+
+
+def test_inheritance_equals_walking_up(spark):
+    """The nearest directory above with a licence file, against a walk in plain Python."""
+    rng = random.Random(12)
+    texts = {"MIT": "This project is licensed under the MIT License", "Apache-2.0": "Licensed under the Apache License, Version 2.0", None: "nothing of the kind here"}
+    paths = {"/".join(rng.choices("abc", k=rng.randint(0, 4)) + [rng.choice(["LICENSE", "COPYING.txt", "x.py", "y.md"])]) for _ in range(150)}
+    rows = [(i, texts[(kind := rng.choice([None, None, "MIT", "Apache-2.0"]) if "x.py" not in p else None)], p, kind) for i, p in enumerate(sorted(paths))]
+    own = {p: kind for _, _, p, kind in rows}
+    told = {}
+    for p in sorted(own):
+        directory = p.rpartition("/")[0]
+        if own[p] and directory not in told:  # of equal cosines, the first path counts
+            told[directory] = own[p]
+    got = {r.path: (r.licence, r.inherited_from) for r in scan_licences(spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, path string")).collect()}
+    for p in own:
+        if own[p]:
+            assert got[p] == (own[p], None)
+            continue
+        above = p.rpartition("/")[0]
+        while above not in told and above:
+            above = above.rpartition("/")[0]
+        assert got[p] == ((told[above], above) if above in told else (None, None)), p
