@@ -206,6 +206,56 @@ def chunks(blocks: DataFrame, key: str = "corpus_id", target: int = CHUNK_TARGET
     return rows.select(key, "section_ordinal", F.posexplode(made).alias("chunk_ordinal", "c")).select(key, "section_ordinal", "chunk_ordinal", F.col("c.first").alias("first_block"), "c.words", "c.text")
 
 
+#: A token is a run of letters, a run of digits or a mark; kinds of blocks that stay with what is before them.
+TOKEN = r"(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}])"
+ATTACHED = ("figure_caption", "table_caption", "table_body_text")
+
+
+def token_count(text: Column) -> Column:
+    return F.size(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1))
+
+
+def pieces(blocks: DataFrame, key: str = "corpus_id", most: int = CHUNK_MOST) -> DataFrame:
+    """key, section_ordinal, block_ordinal, block_kind, piece_ordinal, tokens, text: blocks of at most ``most`` tokens.
+
+    A longer block is cut into sentences, and a longer sentence between tokens; no character but the space between
+    sentences is lost. Blocks without a token go.
+    """
+    sentences = F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\u0001"), "\u0001")
+    spaced = lambda x: F.regexp_extract_all(x, F.lit(rf"(\s*{TOKEN})"), 1)
+    runs = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(spaced(x)) - 1) / most).cast("int")), lambda j: F.array_join(F.slice(spaced(x), j * most + 1, F.lit(most)), ""))
+    refined = F.flatten(F.transform(sentences, lambda x: F.when(token_count(x) > most, runs(x)).otherwise(F.array(x))))
+    cut = F.when(token_count(F.col("text")) > most, refined).otherwise(F.array("text"))
+    rows = blocks.select(key, "section_ordinal", "block_ordinal", "block_kind", F.posexplode(cut).alias("piece_ordinal", "text"))
+    return rows.withColumn("tokens", token_count(F.col("text"))).filter("tokens > 0")
+
+
+def token_chunks(blocks: DataFrame, key: str = "corpus_id", target: int = CHUNK_TARGET, most: int = CHUNK_MOST) -> DataFrame:
+    """key, section_ordinal, chunk_ordinal, first_block, last_block, tokens, text: neighbouring pieces of one section.
+
+    A chunk closes once it has ``target`` tokens or the next piece would lead over ``most``; captions and bodies of
+    tables still join one that has reached its target, as long as they fit, so that they stay with their context.
+    No chunk has more than ``most`` tokens. A section's pieces are one row: sections are bounded by their document.
+    """
+    attached = F.col("block_kind").isin(*ATTACHED).alias("attached")
+    rows = pieces(blocks, key, most).select(key, "section_ordinal", F.struct("block_ordinal", "piece_ordinal", "tokens", attached, "text").alias("b")).groupBy(key, "section_ordinal").agg(F.array_sort(F.collect_list("b")).alias("bs"))
+    chunk = "struct<first:int,last:int,tokens:int,text:string>"
+    state = f"struct<done:array<{chunk}>,open:{chunk}>"
+
+    def step(acc: Column, b: Column) -> Column:
+        o = acc["open"]
+        fresh = F.struct(b["block_ordinal"].alias("first"), b["block_ordinal"].alias("last"), b["tokens"].alias("tokens"), b["text"].alias("text"))
+        closed = o.isNotNull() & ((o["tokens"] + b["tokens"] > most) | ((o["tokens"] >= target) & ~b["attached"]))
+        between = F.when(o["last"] == b["block_ordinal"], " ").otherwise("\n")
+        joined = F.struct(o["first"].alias("first"), b["block_ordinal"].alias("last"), (o["tokens"] + b["tokens"]).alias("tokens"), F.concat(o["text"], between, b["text"]).alias("text"))
+        done = F.when(closed, F.array_append(acc["done"], o)).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(closed | o.isNull(), fresh).otherwise(joined).alias("open")).cast(state)
+
+    start = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), F.lit(None).cast(chunk).alias("open")).cast(state)
+    made = F.aggregate("bs", start, step, lambda a: F.array_append(a["done"], a["open"]))
+    return rows.select(key, "section_ordinal", F.posexplode(made).alias("chunk_ordinal", "c")).select(key, "section_ordinal", "chunk_ordinal", F.col("c.first").alias("first_block"), F.col("c.last").alias("last_block"), "c.tokens", "c.text")
+
+
 def evidence_kind(role: Column, block_kind: Column, is_window: Column | None = None) -> Column:
     """What a chunk, or a window of its sentences, is evidence of: by the section's role where it is prose."""
     prose = block_kind == "paragraph"

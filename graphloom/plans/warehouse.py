@@ -398,6 +398,30 @@ def doc_05(spark: SparkSession, sf: str) -> DataFrame:
     return docs.chunks(rows.withColumn("section_ordinal", F.lit(0))).select("corpus_id", "chunk_ordinal", "first_block", "words")
 
 
+_TOKENS = r"len(regexp_extract_all({0}, '\p{{L}}+|\p{{N}}+|[^\s\p{{L}}\p{{N}}]'))"
+TOKEN_CHUNKS = rf"""WITH RECURSIVE lines AS (SELECT doc_id AS corpus_id, i - 1 AS block, x[i] AS text FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL))),
+b AS (SELECT *, {_TOKENS.format('text')} AS tokens FROM lines),
+sentences AS (SELECT corpus_id, block, i AS s, x[i] AS text, {_TOKENS.format('x[i]')} AS tokens FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM (SELECT corpus_id, block, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS x FROM b WHERE tokens > 384))),
+runs AS (SELECT corpus_id, block, s, unnest(range(0, (tokens + 383) // 384)) AS j, tokens FROM sentences WHERE tokens > 384),
+p AS (SELECT corpus_id, block, 0 AS s, 0 AS j, tokens, tokens < 8 AS attached FROM b WHERE tokens BETWEEN 1 AND 384
+  UNION ALL SELECT s.corpus_id, s.block, s.s, 0, s.tokens, false FROM sentences s WHERE s.tokens BETWEEN 1 AND 384
+  UNION ALL SELECT corpus_id, block, s, j, least(384, tokens - 384 * j), false FROM runs),
+n AS (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY block, s, j) AS pos FROM p),
+step AS (SELECT corpus_id, pos, tokens AS held, 0 AS chunk, block AS first_block, block AS last_block FROM n WHERE pos = 1
+  UNION ALL SELECT n.corpus_id, n.pos, CASE WHEN held + n.tokens > 384 OR (held >= 256 AND NOT n.attached) THEN n.tokens ELSE held + n.tokens END, chunk + (held + n.tokens > 384 OR (held >= 256 AND NOT n.attached))::INT,
+    CASE WHEN held + n.tokens > 384 OR (held >= 256 AND NOT n.attached) THEN n.block ELSE first_block END, n.block FROM step JOIN n ON n.corpus_id = step.corpus_id AND n.pos = step.pos + 1)
+SELECT corpus_id, chunk::BIGINT AS chunk_ordinal, min(first_block)::BIGINT AS first_block, max(last_block)::BIGINT AS last_block, max(held)::BIGINT AS tokens FROM step GROUP BY corpus_id, chunk"""
+
+
+@query(TOKEN_CHUNKS)
+def doc_05_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of all documents by tokens: lines as blocks, short ones as captions, long ones cut."""
+    rows = table(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("corpus_id"), F.posexplode(F.split("text", "\n")).alias("block_ordinal", "text"))
+    kind = F.when(docs.token_count(F.col("text")) < 8, "figure_caption").otherwise("narrative_paragraph")
+    made = docs.token_chunks(rows.withColumns({"section_ordinal": F.lit(0), "block_kind": kind}))
+    return made.select("corpus_id", "chunk_ordinal", "first_block", "last_block", "tokens")
+
+
 VECTORS = """norms AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 cosines AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score FROM norms q JOIN norms c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)"""
 
