@@ -64,7 +64,7 @@ def search(channels: dict[str, DataFrame], citations: DataFrame, k: int, weights
     found = recalled(rankings(channels, depth), weights)
     boosts = citation_context(found, citations, frontier)
     lifted = found.join(boosts, ["query_id", "id"], "left")
-    score = F.round(F.col("fused") + F.coalesce("boost", F.lit(0.0)) * BOOST / (RANK_CONSTANT + 1), 8)
+    score = F.round(F.col("fused") + F.coalesce("boost", F.lit(0.0)) * BOOST / (RANK_CONSTANT + 1), 9)
     trace = F.when(F.col("boost").isNull(), F.col("trace")).otherwise(F.concat("trace", F.lit(" citation_context")))
     scored = lifted.select("query_id", "id", score.alias("score"), trace.alias("trace"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

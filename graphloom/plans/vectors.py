@@ -139,7 +139,7 @@ first AS (SELECT query_id, id AS a, fused FROM found QUALIFY row_number() OVER (
 met AS (SELECT query_id, b AS id, sum(fused) AS s FROM first JOIN links USING (a) GROUP BY query_id, b),
 known AS (SELECT met.* FROM met JOIN found USING (query_id, id)),
 boosts AS (SELECT query_id, id, round(s / max(s) OVER (PARTITION BY query_id), 9) AS boost FROM known),
-scored AS (SELECT query_id, id, round(fused + coalesce(boost, 0) * 0.5 / 61, 8) AS score, trace || CASE WHEN boost IS NULL THEN '' ELSE ' citation_context' END AS trace FROM found LEFT JOIN boosts USING (query_id, id))"""
+scored AS (SELECT query_id, id, round(fused + coalesce(boost, 0) * 0.5 / 61, 9) AS score, trace || CASE WHEN boost IS NULL THEN '' ELSE ' citation_context' END AS trace FROM found LEFT JOIN boosts USING (query_id, id))"""
 
 
 @query("WITH " + LANES + " SELECT query_id, id, score, trace, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 40")

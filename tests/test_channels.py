@@ -16,7 +16,7 @@ def test_citations_only_lift_what_was_recalled(spark):
     assert set(got) == {(1, 10), (1, 11), (1, 12), (1, 13), (2, 10)}  # 99 was not recalled
     assert got[1, 12].trace == "dense_query:1 lexical:3 " .strip()
     assert got[1, 13].trace == "dense_query:2 citation_context"  # cites 12, which alone is in the frontier
-    assert got[1, 13].score == round(1 / 62 + 0.5 / 61, 8) and got[1, 10].score == round(1 / 61, 8)
+    assert got[1, 13].score == round(round(1 / 62, 9) + 0.5 / 61, 9) and got[1, 10].score == round(1 / 61, 9)
     assert [r for (q, r) in sorted(got) if q == 1 and got[q, r]["rank"] == 1] == [12]
     with pytest.raises(ValueError):
         channels.rankings({"rumour": lanes["lexical"]})
