@@ -318,6 +318,31 @@ def sel_05(spark: SparkSession, sf: str) -> DataFrame:
     return selection.second_gate(signals, final).select("corpus_id", "signal_kind", "family_key", "match_value", "signal_count", "contributes_to_mapped")
 
 
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+RULED = with_(PAPERS) + f""", er(i, concept, family_key, confidence) AS (VALUES {_values([(i, r[1], r[3], r[4]) for i, r in enumerate(codes.ENTITY_RULES)])}),
+rr(i, object, family_key) AS (VALUES {_values([(i, r[3], r[5]) for i, r in enumerate(codes.RELATION_RULES)])}),
+hits AS (
+  SELECT corpus_id, 'mapped_entity_rule_match' AS signal_kind, family_key, concept AS match_value, confidence = 'high' AS contributes_to_mapped FROM events JOIN er ON i = event_id % 20 JOIN papers ON pmid = user_id
+  UNION ALL SELECT corpus_id, 'mapped_relation_rule_match', family_key, object, true FROM lineitem JOIN rr ON i = (l_orderkey + l_linenumber) % 9 JOIN papers ON pmid = l_partkey)
+SELECT corpus_id, signal_kind, family_key, match_value, count(*) AS signal_count, contributes_to_mapped FROM hits GROUP BY ALL"""
+
+
+@query(RULED)
+def sel_07(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals of all sixteen entity rules and all seven relation rules: mentions and relations name the rules' concepts in turn, and others."""
+    of = lambda rules, at: F.get(F.array(*(F.struct(*(F.lit(x) for x in r)) for r in rules)), at.cast("int"))
+    p = s.papers(spark, sf)
+    entity, relation = of([(r[0], r[1]) for r in codes.ENTITY_RULES], F.col("event_id") % 20), of([r[:4] for r in codes.RELATION_RULES], (F.col("l_orderkey") + F.col("l_linenumber")) % 9)
+    mentions = table(spark, sf, "events").select(F.col("user_id").alias("pmid"), entity.alias("r")).select("pmid", F.col("r.col1").alias("entity_type"), F.col("r.col2").alias("concept_id_raw"))
+    related = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("pmid"), relation.alias("r")).select("pmid", F.col("r.col1").alias("subject_type"), F.col("r.col2").alias("relation_type"), F.col("r.col3").alias("object_type"), F.col("r.col4").alias("object_entity_id"))
+    status = p.select("corpus_id", F.lit("corpus").alias("domain_status"))
+    signals = selection.mapped_signals(p, status, s.journals(spark, sf).limit(0), s.venue_patterns(spark).limit(0), mentions, related, merge.reference_metrics(s.citations(spark, sf)))
+    return signals.select("corpus_id", "signal_kind", "family_key", "match_value", "signal_count", "contributes_to_mapped")
+
+
 @query(MAPPED + "SELECT * FROM final")
 def sel_06(spark: SparkSession, sf: str) -> DataFrame:
     """Status after promotion."""
