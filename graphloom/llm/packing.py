@@ -105,9 +105,8 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        #: The same vocabulary for parts that are cut and in lower case already.
-        self.of_parts = Tokenizer.from_file(path)
-        self.of_parts.normalizer = None
+        #: The same model, held once, for parts that are cut and in lower case already.
+        self.of_parts = Tokenizer(self.library.model)
         self.of_parts.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.shown = printable_bytes()
         self.shown[32] = " "
@@ -180,8 +179,8 @@ class WordIds:
 
 
 _LIBRARIES: dict[tuple[str, int], WordIds] = {}
-#: Rows handed on together.
-ROWS_TOGETHER = 1000
+#: Rows handed on together; each holds up to a window of ids.
+ROWS_TOGETHER = 250
 PIECES = "{key} {type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
