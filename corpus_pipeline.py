@@ -57,8 +57,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``docs`` has to be a table read from the files that the stage before wrote: their order is that of mixing.
     """
-    # Executors still hold workers of earlier stages here, so few words are remembered.
-    return pack(in_written_order(docs), public_tokenizers.path("word_bpe_49k.json"), 2048, 1, cache_words=60_000)
+    # Executors still hold workers of earlier stages here, and hand tasks to all of them in turn, so few words are remembered.
+    return pack(in_written_order(docs), public_tokenizers.path("word_bpe_49k.json"), 2048, 1, cache_words=20_000)
 
 
 STAGES = [("quality rules", quality), ("near duplicates", near_dedup), ("repeated passages", repeats), ("mixing", mixing), ("packing", packing)]
