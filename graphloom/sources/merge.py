@@ -108,11 +108,13 @@ def joined_either(rows: DataFrame, known: DataFrame, first: str, second: str, va
 def best_match(rows: DataFrame, known: DataFrame, key: str, ways: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Each row with the best of ``known`` that shares one of ``ways``; earlier ways are better.
 
-    One equality join for each way and one group for each row stand for a lateral top-1 with OR.
+    One equality join for each way and one group for each row stand for a lateral top-1 with OR. Of the known
+    rows with one value of a way only the first by ``order`` can be the best, so only that one meets the rows.
     """
     hits = None
     for rank, way in enumerate(ways):
-        hit = rows.select(key, way).join(known, way).select(key, F.struct(F.lit(rank).alias("rank"), *order).alias("hit"))
+        first = known.groupBy(way).agg(F.min(F.struct(F.lit(rank).alias("rank"), *order)).alias("hit"))
+        hit = rows.select(key, way).join(first, way).select(key, "hit")
         hits = hit if hits is None else hits.unionByName(hit)
     best = hits.groupBy(key).agg(F.min("hit").alias("hit"))
     return rows.join(best, key, "left").select(rows["*"], *(F.col(f"hit.{c}").alias(f"matched_{c}") for c in order))

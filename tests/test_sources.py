@@ -91,3 +91,14 @@ def test_materialised_authors(spark):
     assert sorted((tuple(r) for r in made["authors"].collect()), key=repr) == sorted([("A", "New name"), (None, "Other")], key=repr)
     assert sorted((r.corpus_id, r.author_ordinal, r.display_name) for r in made["paper_authors"].collect()) == [(1, 0, "New name"), (1, 1, "Other")]
     assert [(r.corpus_id, r.mention_text) for r in made["entity_annotations"].collect()] == [(1, "y")] and made["relations"].count() == 1
+
+
+def test_best_match_meets_one_known_row_for_each_value(spark):
+    """Of the known rows of one value only the best goes into the join: rows are not multiplied by a value's known rows."""
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, None, "y"), (4, None, None)], "id int, first string, second string")
+    known = spark.createDataFrame([(9 - i, "a" if i % 3 else None, "x") for i in range(8)] + [(0, "c", "y"), (1, "c", None)], "n int, first string, second string")
+    df = merge.best_match(rows, known, "id", ["first", "second"], ["n"])
+    assert {(r["id"], r["matched_n"]) for r in df.collect()} == {(1, 2), (2, 2), (3, 0), (4, None)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    joins = plan.split("Join Inner")[1:]
+    assert len(joins) == 2 and all("Aggregate [" in j for j in joins)
