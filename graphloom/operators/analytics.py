@@ -181,10 +181,17 @@ def histogram(scope: DataFrame, columns: Iterable[str], bins: int = 16, extent:
     )
 
 
+def mean_of_decimals(value: Column) -> Column:
+    """The mean of doubles, whatever the order of their sum, if all of them are decimals of twelve places at most; else as ``avg``."""
+    exact = value.try_cast("decimal(38,12)")
+    total = F.when(F.bool_and(F.coalesce(exact.cast("double") == value, F.lit(False))), F.try_sum(exact).cast("double"))
+    return F.coalesce(total / F.count(value), F.avg(value))
+
+
 def numeric_stats(scope: DataFrame, columns: Iterable[str]) -> DataFrame:
     """column_key, least, median (exact), mean and greatest; a column without values is left out."""
     values = numeric_values(scope, columns)
-    simple = values.groupBy("column_key").agg(F.min("value").alias("min_value"), F.avg("value").alias("avg_value"), F.max("value").alias("max_value"))
+    simple = values.groupBy("column_key").agg(F.min("value").alias("min_value"), mean_of_decimals(F.col("value")).alias("avg_value"), F.max("value").alias("max_value"))
     median = column_quantiles(values, (0.5,)).select("column_key", F.col("quantiles")[0].alias("median_value"))
     return simple.join(median, "column_key").select("column_key", "min_value", "median_value", "avg_value", "max_value")
 

@@ -227,3 +227,13 @@ def test_overlay_is_a_value(spark):
     o = overlay.Overlay().replace("a", ids("1", "2", "9"), ids("1", "2", "3"), ids("2")).replace("b", ids("3"), ids("1", "2", "3"), ids("2"))
     assert sorted(r.id for r in o.ids().collect()) == ["1", "3"]
     assert [r.id for r in o.clear("a").ids().collect()] == ["3"] and o.clear_all().ids() is None
+
+
+def test_means_do_not_depend_on_the_order_of_a_sum(spark):
+    """Ten times 0.1, added up one by one, is less than 1; what is no decimal of twelve places is averaged as ever."""
+    rows = spark.createDataFrame([(0.1, 1e-300, float("nan"))] * 10, "x double, y double, z double").coalesce(1)
+    found = {r["column_key"]: r["avg_value"] for r in analytics.numeric_stats(rows, ["x", "y"]).collect()}
+    assert found["x"] == 0.1
+    assert abs(found["y"] / 1e-300 - 1) < 1e-12
+    large = spark.createDataFrame([(1e30,), (3e30,), (None,)], "x double")
+    assert analytics.numeric_stats(large, ["x"]).first()["avg_value"] == 2e30
