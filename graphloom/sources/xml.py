@@ -49,7 +49,8 @@ def _pieces(spark: SparkSession, path: str, tolerant: bool) -> DataFrame:
 
 def parsed(documents: DataFrame) -> DataFrame:
     """Rows of ``DOCUMENT`` from ``xml``; documents without a number or that can't be read go."""
-    rows = documents.select(F.from_xml("xml", DOCUMENT, {"mode": "PERMISSIVE"}).alias("d")).select("d.*")
+    # Exploded, so that a document is read once: else it is read anew for each column and filter.
+    rows = documents.select(F.explode(F.array(F.from_xml("xml", DOCUMENT, {"mode": "PERMISSIVE"}))).alias("d")).select("d.*")
     return rows.filter(F.trim("id").rlike(r"^\d+$")).withColumn("pmid", F.trim("id").cast("long"))
 
 

@@ -102,3 +102,15 @@ def test_best_match_meets_one_known_row_for_each_value(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     joins = plan.split("Join Inner")[1:]
     assert len(joins) == 2 and all("Aggregate [" in j for j in joins)
+
+
+def test_documents_are_read_once(spark):
+    """XML is parsed once for a document, not anew for each column, filter or part that reads it."""
+    from graphloom.sources import xml
+
+    text_ = '<document><id>7</id><passage><offset>0</offset><text>x</text><annotation id="a"><infon key="type">Chemical</infon><infon key="identifier">C</infon><location offset="1" length="2"/><text>w</text></annotation><annotation id="b"><infon key="type">Disease</infon><infon key="identifier">D</infon><location offset="4" length="2"/><text>w</text></annotation></passage><relation id="r"><infon key="type">Association</infon><node refid="a"/><node refid="b"/></relation></document>'
+    rows = xml.parsed(spark.createDataFrame([(text_,), ("<document><id>8</id>",), (None,)], "xml string").repartition(2))
+    for made, most in ((xml.entities(rows, 1), 1), (xml.relations(rows, 1), 0)):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") <= most
+    assert [(r.pmid, r.start_offset) for r in xml.entities(rows, 1).orderBy("start_offset").collect()] == [(7, 1), (7, 4)]
+    assert [(r.pmid, r.subject_entity_id, r.object_entity_id) for r in xml.relations(rows, 1).collect()] == [(7, "C", "D")]
