@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.codes import ENTITY_TYPES, FROM_XML, RELATION_TYPES, code_of, entity_type_of, relation_name
+from graphloom.sources.files import kept
 
 _INFON = "array<struct<_key: string, _VALUE: string>>"
 _RELATION = f"array<struct<infon: {_INFON}, node: array<struct<_refid: string, _role: string>>>>"
@@ -89,6 +90,8 @@ def relations(rows: DataFrame, release: int) -> DataFrame:
     Ends are named by nodes that refer to annotations, with roles or in document order, or else
     by the ``role1`` and ``role2`` values of the relation itself.
     """
+    # Read twice below, parsed once.
+    rows = kept(rows.select("pmid", "passage", "relation"), "annotated")
     all_ = F.concat(F.coalesce("relation", F.array().cast(_RELATION)), F.coalesce(F.flatten(F.transform("passage", lambda p: F.coalesce(p["relation"], F.array().cast(_RELATION)))), F.array().cast(_RELATION)))
     found = rows.select("pmid", F.posexplode(all_).alias("no", "r"))
     infons = F.col("r.infon")
