@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.retrieval import RANK_CONSTANT
+from graphloom.sources.files import kept
 
 #: The channels that recall; ``citation_context`` stands beside them.
 RECALLING = ("lexical", "chunk_lexical", "dense_query", "entity_match", "relation_match", "semantic_neighbor")
@@ -61,7 +62,8 @@ def search(channels: dict[str, DataFrame], citations: DataFrame, k: int, weights
 
     The score is the fusion of the channels plus a boost along citations, at most ``BOOST`` times a first rank.
     """
-    found = recalled(rankings(channels, depth), weights)
+    # At most ``depth`` papers of each channel for each query; channels are ranked once for all that reads them.
+    found = kept(recalled(rankings(channels, depth), weights), "recalled")
     boosts = citation_context(found, citations, frontier)
     lifted = found.join(boosts, ["query_id", "id"], "left")
     score = F.round(F.col("fused") + F.coalesce("boost", F.lit(0.0)) * BOOST / (RANK_CONSTANT + 1), 9)

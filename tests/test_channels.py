@@ -46,3 +46,12 @@ def test_names_are_found_as_whole_words(spark, monkeypatch, limit):
     dictionary = spark.createDataFrame([(e, "k", t) for e, t in terms], "entity_id string, entity_type string, matched_text string")
     got = {(r.doc_id, r.entity_id): r["at"] for r in retrieval.mentions(df, dictionary).collect()}
     assert got == plain_mentions(texts, terms)
+
+
+def test_channels_are_ranked_once(spark):
+    """What recalls is ranked and kept once; the search that follows does not read the channels again."""
+    lane = spark.range(20).selectExpr("1L as query_id", "id", "cast(id as double) as score")
+    cites = spark.createDataFrame([(19, 18), (3, 2)], "citing long, cited long")
+    found = channels.search({"lexical": lane}, cites, 3)
+    assert "Range (0, 20" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.id for r in found.orderBy("rank").collect()][0] in (18, 19)
