@@ -41,21 +41,24 @@ def _moved(edges: DataFrame, nodes: DataFrame, total: float, resolution: float,
     half of the nodes may, so that two neighbours seldom swap places for ever. ``within`` a bound, only single
     nodes join others of their bound.
     """
+    turn = F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(2)) == 0
     size = nodes.groupBy("community").agg(F.sum("k").alias("size"), F.count("*").alias("members"))
-    other = nodes.select(F.col("id").alias("b"), F.col("community").alias("c"), F.col("bound").alias("b_bound"))
-    met = edges.filter("a <> b").join(other, "b").join(nodes.select(F.col("id").alias("a"), "k", "community", "bound"), "a")
+    # Nodes learn the size of their community, so that an edge brings it along. Edges of nodes that may not move now are not read further,
+    # and the others are shuffled twice: to their far node, and back to the one that may move, whose sums then stay where they are.
+    nodes = nodes.join(size, "community")
+    other = nodes.select(F.col("id").alias("b"), F.col("community").alias("c"), F.col("size").alias("c_size"), F.col("bound").alias("b_bound"))
+    heard = edges.filter((F.col("a") != F.col("b")) & (F.pmod(F.xxhash64("a", F.lit(round_)), F.lit(2)) == 0)).join(other, "b").select("a", "c", "c_size", "w", *(["b_bound"] if within else []))
+    met = heard.repartition("a").join(nodes.select(F.col("id").alias("a"), "k", "community", "bound"), "a")
     if within:
         met = met.filter("bound = b_bound")
-    links = met.groupBy("a", "k", "community", "c").agg(F.sum("w").alias("w"))
-    there = size.select(F.col("community").alias("c"), F.col("size").alias("c_size"))
+    links = met.groupBy("a", "k", "community", "c", "c_size").agg(F.sum("w").alias("w"))
     own: Column = F.when(F.col("c") == F.col("community"), F.col("k")).otherwise(0.0)
     gain = F.col("w") - F.lit(resolution / total) * F.col("k") * (F.col("c_size") - own)
-    scored = links.join(there, "c").select("a", "c", F.round(gain, 9).alias("gain"), (F.col("c") == F.col("community")).alias("stays"))
+    scored = links.select("a", "c", F.round(gain, 9).alias("gain"), (F.col("c") == F.col("community")).alias("stays"))
     best = scored.groupBy("a").agg(F.max(F.struct("gain", (-F.col("c")).alias("minus"))).alias("best"), F.max(F.when(F.col("stays"), F.col("gain"))).alias("kept"))
-    told = nodes.join(size.select("community", "size", "members"), "community").join(best.withColumnRenamed("a", "id"), "id", "left")
+    told = nodes.join(best.withColumnRenamed("a", "id"), "id", "left")
     # Who has no edge into its own community loses nothing of it but its share of the sizes.
     stay = F.coalesce(F.col("kept"), F.round(-F.lit(resolution / total) * F.col("k") * (F.col("size") - F.col("k")), 9))
-    turn = F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(2)) == 0
     goes = turn & F.col("best").isNotNull() & (F.col("best.gain") > stay) & (-F.col("best.minus") != F.col("community"))
     if within:
         goes = goes & (F.col("members") == 1) & (F.col("best.gain") > 0)

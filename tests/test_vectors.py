@@ -188,3 +188,17 @@ def test_graph_of_many_dimensions_is_exact(spark, monkeypatch, clustered):
     for q in want:
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=2e-6), q
         assert {i for i, s in got[q] if s > want[q][-1][1] + 2e-6} == {i for i, s in want[q] if s > want[q][-1][1] + 2e-6}
+
+
+def test_exact_neighbours_shuffle_no_copies(spark, monkeypatch):
+    """Four times the rows shuffle about four times as much, however few rows a task holds: no row is sent to several tasks."""
+    monkeypatch.setattr(vectors, "ASKING", 50)
+    written = lambda: sum(spark._jsc.sc().statusStore().executorList(True).apply(i).totalShuffleWrite() for i in range(spark._jsc.sc().statusStore().executorList(True).size()))
+    moved = []
+    for n in (750, 3000):
+        rows = vectors.units(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(6).normal(size=(n, 32)))], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+        before = written()
+        assert vectors.exact_neighbours(rows, rows, 3, 32).count() == 3 * n
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        moved.append(written() - before)
+    assert 0 < moved[1] < 4.5 * moved[0], moved
