@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +73,11 @@ def require(df: DataFrame, columns: Iterable[str]) -> None:
 def text_or_empty(column: str = "text") -> F.Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system. Workers stay for later stages, and keep what they freed
+    (of Arrow's batches above all) while other workers and the JVM beside them need it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # only some C libraries have it
+        trim(0)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import require
+from graphloom.llm.common import give_back, require
 from graphloom.llm.token_count import printable_bytes
 
 #: The most ids of a part, the windows of a group, and the ids that each is meant to lack.
@@ -200,6 +200,8 @@ def pack(documents: DataFrame, vocabulary: str, capacity: int, end_id: int, key:
         from pyspark import TaskContext
 
         library = _LIBRARIES.get((vocabulary, cache_words)) or _LIBRARIES.setdefault((vocabulary, cache_words), WordIds(vocabulary, cache_words))
+        # What earlier stages and the reading of the vocabulary left behind.
+        give_back()
         sequence = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         group: list[tuple[object, int, bytes, int]] = []
@@ -245,6 +247,8 @@ def pack(documents: DataFrame, vocabulary: str, capacity: int, end_id: int, key:
         settle()
         if rows:
             yield out()
+        batch = content = None
+        give_back()
 
     schema = PIECES.format(key=f"`{key}`", type=documents.schema[key].dataType.simpleString())
     rows = documents.select(key, F.coalesce(text, F.lit("")).alias(text))
