@@ -22,6 +22,7 @@ from itertools import islice
 from math import lcm
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,7 +88,8 @@ def mix(documents: DataFrame, weights: dict[str, float] | None = None, temperatu
     # A source's rows are ranked in buckets of bounded size, then offset by the buckets before.
     buckets = {s: max(1, n // RANKED_TOGETHER) for s, n in rows.items()}
     small = F.broadcast if len(rows) <= MOST_BROADCAST else lambda df: df
-    sizes = spark.createDataFrame(list(buckets.items()), "mix_source string, buckets int")
+    # From Arrow: rows of a list would pass Python workers of a kind of their own, which then stay beside the others.
+    sizes = spark.createDataFrame(pa.table({"mix_source": pa.array(list(buckets), pa.string()), "buckets": pa.array(list(buckets.values()), pa.int32())}))
     salted = named.join(small(sizes), "mix_source").withColumn("bucket", F.pmod("hash", "buckets").cast("int"))
     counts = salted.groupBy("mix_source", "bucket").count()
     before = Window.partitionBy("mix_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -348,6 +348,8 @@ def removal(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pd.DataFrame(out, columns=["n_removed", "n_spans", "kept", "kept_text"])
 
     n_bytes = F.octet_length("_content").cast("long").alias("n_bytes")
+    # Else a filter on what it returns (as of the pipeline) would run it once more, in a worker beside the first.
+    removed = removed.asNondeterministic()
     untouched = _only(keyed, spans, "left_anti").select("row", n_bytes, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("_content").alias("kept"), F.col("_content").cast("string").alias("kept_text"))
     changed = _only(keyed, spans, "left_semi").join(spans, ["doc", "uid"]).withColumn("_r", removed("_content", "spans"))
     return untouched.union(changed.select("row", n_bytes, "_r.n_removed", "_r.n_spans", "_r.kept", "_r.kept_text"))

@@ -60,3 +60,12 @@ def test_the_session_and_the_shared_folder_are_left_as_they_were(spark, sf_dir):
     before = spark.conf.get(name)
     corpus_pipeline.run(spark, sf_dir).count()
     assert spark.conf.get(name) == before
+
+
+def test_a_task_has_one_python_worker(spark, sf_dir):
+    """Repeated passages cut a text once, and mixing takes its counts to the executors without a worker of another kind."""
+    docs = table(spark, sf_dir, "documents")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(corpus_pipeline.repeats(spark, docs, sf_dir)).count("ArrowEvalPython") == 1
+    mixed = plan(corpus_pipeline.mixing(spark, docs, sf_dir))
+    assert "ExistingRDD" not in mixed and mixed.count("MapInPandas") > 0
