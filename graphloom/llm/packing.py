@@ -17,6 +17,7 @@ rows.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import operator
@@ -178,7 +179,12 @@ class WordIds:
             young.update(zip(unseen, self.unseen(unseen), strict=True))
 
 
-_LIBRARIES: dict[tuple[str, int], WordIds] = {}
+@functools.cache
+def word_ids(vocabulary: str, cache_words: int) -> WordIds:
+    """The one of a worker, for all of its tasks. Tasks refer to this by its name; a dictionary they refer to would come to each as a copy."""
+    return WordIds(vocabulary, cache_words)
+
+
 #: Rows handed on together; each holds up to a window of ids.
 ROWS_TOGETHER = 250
 PIECES = "{key} {type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -199,7 +205,7 @@ def pack(documents: DataFrame, vocabulary: str, capacity: int, end_id: int, key:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        library = _LIBRARIES.get((vocabulary, cache_words)) or _LIBRARIES.setdefault((vocabulary, cache_words), WordIds(vocabulary, cache_words))
+        library = word_ids(vocabulary, cache_words)
         # What earlier stages and the reading of the vocabulary left behind.
         give_back()
         sequence = TaskContext.get().partitionId() << 33

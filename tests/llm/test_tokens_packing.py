@@ -111,3 +111,21 @@ print(before, peak, held())
     before, peak, after = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
     assert peak - before > 150
     assert after - before < (peak - before) / 2
+
+
+def test_a_worker_reads_the_vocabulary_once(make, monkeypatch):
+    """Each task of a worker gets its function unpickled anew; what it reads must not come with it."""
+    import pyarrow as pa
+    from pyspark import TaskContext, cloudpickle
+
+    from graphloom.llm import packing
+
+    docs, sent, read, first = make([(1, "a text")]), [], [], packing.WordIds.__init__
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, task, schema: sent.append(cloudpickle.dumps(task)) or self)
+    pack(docs, WORDS, 2048, 1, cache_words=1234)
+    monkeypatch.setattr(packing.WordIds, "__init__", lambda self, *given: read.append(given) or first(self, *given))
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: type("Context", (), {"partitionId": lambda self: 0})()))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a text"])], ["doc_id", "text"])
+    for _ in range(3):
+        assert sum(b.num_rows for b in cloudpickle.loads(sent[0])(iter([batch]))) == 1
+    assert read == [(WORDS, 1234)]
